@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .packing import pack_documents
 from .simhash import simhash_dedup
 from .url_reputation import judge_urls, page_outcomes
 
@@ -27,5 +28,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op8_url_filter, op10_simhash)}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op8_url_filter, op9_packing, op10_simhash)}
 ORACLES: dict[str, str] = {}
