@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .common import id_crc32
 from .exact_dedup import exact_dedup
+from .line_dedup import dedup_lines
 from .packing import pack_documents
+from .quality import fit_quality, score_quality
 from .simhash import simhash_dedup
 from .url_reputation import judge_urls, page_outcomes
 
@@ -18,6 +22,18 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_lines", "n_removed")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(id_crc32(F.col("doc_id")), F.lit(3)) == 1
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), usable=~held_out)
+    scored = score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     judged = judge_urls(pages, page_outcomes(pages, table(spark, sf_dir, "labels")))
@@ -38,5 +54,34 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op8_url_filter, op9_packing, op10_simhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_line_dedup, op6_quality, op8_url_filter, op9_packing, op10_simhash)}
+ORACLES: dict[str, str] = {
+    "op1_exact_dedup": r"""
+        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+        FROM t WINDOW w AS (PARTITION BY t)""",
+    "op3_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, source, i, line FROM (
+                SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL
+            ), unnest(ls) WITH ORDINALITY AS u(line, i)
+        ), sites AS (
+            SELECT source, count(*) AS pages FROM documents GROUP BY source
+        ), counts AS (
+            SELECT source, line, count(DISTINCT doc_id) AS n FROM lines WHERE trim(line, ' ') <> '' GROUP BY source, line
+        ), bad AS (
+            SELECT c.source, c.line FROM counts c JOIN sites s ON c.source IS NOT DISTINCT FROM s.source
+            WHERE c.n > 0.08 * s.pages AND c.n >= 10
+        ), judged AS (
+            SELECT l.*, b.line IS NOT NULL AS drop_it FROM lines l
+            LEFT JOIN bad b ON l.line = b.line AND l.source IS NOT DISTINCT FROM b.source
+        ), texts AS (
+            SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT drop_it) AS kept,
+                   count(*) AS n_lines, count(*) FILTER (WHERE drop_it) AS n_removed
+            FROM judged GROUP BY doc_id
+        )
+        SELECT d.doc_id, d.source, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.kept, '') END AS text,
+               coalesce(t.n_lines, 0)::INT AS n_lines, coalesce(t.n_removed, 0)::INT AS n_removed
+        FROM documents d LEFT JOIN texts t ON d.doc_id = t.doc_id""",
+}
