@@ -48,7 +48,7 @@ def dedup_lines(
     text_col: str = "text",
     host: Column | None = None,
     ratio: float = 0.08,
-    min_pages: int = 10,
+    min_pages: int = 5,
 ) -> DataFrame:
     """All columns of docs, the text without boilerplate lines, then ``n_lines`` and ``n_removed`` (replaced if they exist).
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_crc32
+from .decontamination import find_contamination
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
 from .packing import pack_documents
@@ -34,6 +35,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     judged = judge_urls(pages, page_outcomes(pages, table(spark, sf_dir, "labels")))
@@ -54,7 +59,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_line_dedup, op6_quality, op8_url_filter, op9_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_line_dedup, op6_quality, op7_decontamination, op8_url_filter, op9_packing, op10_simhash)}
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -72,7 +77,7 @@ ORACLES: dict[str, str] = {
             SELECT source, line, count(DISTINCT doc_id) AS n FROM lines WHERE trim(line, ' ') <> '' GROUP BY source, line
         ), bad AS (
             SELECT c.source, c.line FROM counts c JOIN sites s ON c.source IS NOT DISTINCT FROM s.source
-            WHERE c.n > 0.08 * s.pages AND c.n >= 10
+            WHERE c.n > 0.08 * s.pages AND c.n >= 5
         ), judged AS (
             SELECT l.*, b.line IS NOT NULL AS drop_it FROM lines l
             LEFT JOIN bad b ON l.line = b.line AND l.source IS NOT DISTINCT FROM b.source
