@@ -13,6 +13,7 @@ from .packing import pack_documents
 from .quality import fit_quality, score_quality
 from .simhash import simhash_dedup
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .url_reputation import judge_urls, page_outcomes
 
 
@@ -33,6 +34,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(id_crc32(F.col("doc_id")), F.lit(3)) == 1
@@ -65,7 +71,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_line_dedup, op4_substring_dedup, op6_quality, op7_decontamination, op8_url_filter, op9_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_line_dedup, op4_substring_dedup, op5_suffix_dedup, op6_quality, op7_decontamination, op8_url_filter, op9_packing, op10_simhash)}
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
