@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import id_crc32
 from .decontamination import find_contamination
 from .exact_dedup import exact_dedup
+from .language_model import lm_score
 from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
@@ -25,6 +26,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(id_crc32(F.col("doc_id")), F.lit(7)) == 2
+    out = lm_score(table(spark, sf_dir, "documents"), training=~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_lines", "n_removed")
 
@@ -71,7 +78,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_line_dedup, op4_substring_dedup, op5_suffix_dedup, op6_quality, op7_decontamination, op8_url_filter, op9_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_lm_score, op3_line_dedup, op4_substring_dedup, op5_suffix_dedup, op6_quality, op7_decontamination, op8_url_filter, op9_packing, op10_simhash)}
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
