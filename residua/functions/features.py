@@ -27,26 +27,39 @@ def _lookup(table: dict[str, float], default: float | None, key: Column) -> Colu
     return got if default is None else F.coalesce(got, F.lit(default))
 
 
-def charge_at(ph: Column, counts: dict[str, Column], first: Column, last: Column) -> Column:
-    """Henderson-Hasselbalch charge; first and last residue set the pK of the termini."""
-    n_pk, c_pk = _lookup(K.PK_N_TERMINUS_OF, K.PK_N_TERMINUS, first), _lookup(K.PK_C_TERMINUS_OF, K.PK_C_TERMINUS, last)
+def _terminal_pks(first: Column, last: Column) -> tuple[Column, Column]:
+    return _lookup(K.PK_N_TERMINUS_OF, K.PK_N_TERMINUS, first), _lookup(K.PK_C_TERMINUS_OF, K.PK_C_TERMINUS, last)
+
+
+def _charge(ph: Column, counts: dict[str, Column], n_pk: Column, c_pk: Column) -> Column:
     ten = F.lit(10.0)
     plus = [counts[a] / (1 + F.pow(ten, ph - pk)) for a, pk in K.PK_POSITIVE.items()] + [1 / (1 + F.pow(ten, ph - n_pk))]
     minus = [counts[a] / (1 + F.pow(ten, F.lit(pk) - ph)) for a, pk in K.PK_NEGATIVE.items()] + [1 / (1 + F.pow(ten, c_pk - ph))]
     return _sum(plus) - _sum(minus)
 
 
+def charge_at(ph: Column, counts: dict[str, Column], first: Column, last: Column) -> Column:
+    """Henderson-Hasselbalch charge; first and last residue set the pK of the termini."""
+    return _charge(ph, counts, *_terminal_pks(first, last))
+
+
 def isoelectric_point(counts: dict[str, Column], first: Column, last: Column) -> Column:
     """Bisection on the charge, until the interval is narrow enough."""
     steps = math.ceil(math.log2((K.PI_HIGH - K.PI_LOW) / K.PI_WIDTH)) + 1
+    # Counts and pKs are part of the state, so that they are computed once and not in every step.
+    held = [*K.PK_POSITIVE, *K.PK_NEGATIVE]
+
+    def charge(s: Column) -> Column:
+        return _charge(s["ph"], {a: s[f"n_{a}"] for a in held}, s["pk_n"], s["pk_c"])
 
     def step(s: Column, _: Column) -> Column:
-        positive = charge_at(s["ph"], counts, first, last) > 0
-        low, high = F.when(positive, s["ph"]).otherwise(s["low"]), F.when(positive, s["high"]).otherwise(s["ph"])
-        moved = F.struct(low.alias("low"), high.alias("high"), ((low + high) / 2).alias("ph"))
-        return F.when(s["high"] - s["low"] > K.PI_WIDTH, moved).otherwise(s)
+        def moved(low: Column, high: Column) -> Column:
+            return F.struct(low.alias("low"), high.alias("high"), ((low + high) / 2).alias("ph"), *(s[f"n_{a}"].alias(f"n_{a}") for a in held), s["pk_n"].alias("pk_n"), s["pk_c"].alias("pk_c"))
+
+        return F.when(s["high"] - s["low"] <= K.PI_WIDTH, s).when(charge(s) > 0, moved(s["ph"], s["high"])).otherwise(moved(s["low"], s["ph"]))
 
-    start = F.struct(F.lit(K.PI_LOW).alias("low"), F.lit(K.PI_HIGH).alias("high"), F.lit(K.PI_FIRST).alias("ph"))
+    n_pk, c_pk = _terminal_pks(first, last)
+    start = F.struct(F.lit(K.PI_LOW).alias("low"), F.lit(K.PI_HIGH).alias("high"), F.lit(K.PI_FIRST).alias("ph"), *(counts[a].cast("double").alias(f"n_{a}") for a in held), n_pk.alias("pk_n"), c_pk.alias("pk_c"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["ph"])
 
 

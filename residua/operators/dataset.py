@@ -24,8 +24,8 @@ def dedup_first(df: DataFrame, key: str = "sequence", order: str = "ordinal") ->
 
 def duplicate_flags(df: DataFrame, key: str = "sequence", order: str = "ordinal") -> DataFrame:
     """df with ``is_duplicate``: not the first row of its key."""
-    first = df.groupBy(key).agg(F.min(order).alias("__first"))
-    return df.join(first, df[key].eqNullSafe(first[key])).select(*(df[c] for c in df.columns), (df[order] > F.col("__first")).alias("is_duplicate"))
+    first = df.groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__first"))
+    return df.join(first, F.col(key).eqNullSafe(F.col("__key"))).select(*df.columns, (F.col(order) > F.col("__first")).alias("is_duplicate"))
 
 
 def validated(records: DataFrame, raw: str = "sequence", min_length: int = 8, max_length: int = 80) -> DataFrame:

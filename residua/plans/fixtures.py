@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import RESIDUES
 from ..functions.features import with_features
 from ..functions.sequence import seeded_draw
+from .storage import stored
 
 BOTH_CASES = RESIDUES + RESIDUES.lower()
 #: Decision threshold of the fixed linear score.
@@ -63,7 +64,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     linear = 0.6 * F.col("gravy") + 2.0 * (F.col("fraction_basic") - F.col("fraction_acidic"))
     draw = seeded_draw(F.col("sequence"), "split")
     cut = F.lit(2**32)
-    return df.select("doc_id", "source", "source_id", "sequence", "label", F.round(1 / (1 + F.exp(-linear)), 6).alias("score"), F.when(draw < cut * 0.6, "train").when(draw < cut * 0.8, "validation").otherwise("test").alias("split"), F.concat(F.lit("cluster_"), F.substring(F.md5("sequence"), 1, 6)).alias("split_group"))
+    # Written once: queries read it several times, and its expressions are too large to be inlined everywhere.
+    return stored(df.select("doc_id", "source", "source_id", "sequence", "label", F.round(1 / (1 + F.exp(-linear)), 6).alias("score"), F.when(draw < cut * 0.6, "train").when(draw < cut * 0.8, "validation").otherwise("test").alias("split"), F.concat(F.lit("cluster_"), F.substring(F.md5("sequence"), 1, 6)).alias("split_group")))
 
 
 def count_sql(residue: str) -> str:
