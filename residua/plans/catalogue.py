@@ -13,6 +13,7 @@ from ..functions.sequence import invalid_symbols, normalize_sequence, sequence_s
 from ..operators import audits, dataset, metrics, models, relational, similarity, splitting
 from . import fixtures as X
 from .fixtures import THRESHOLD, count_sql, draw_sql, gravy_sql, share_sql
+from .storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -460,20 +461,21 @@ def batch_screening(spark, sf_dir):
 
 @query()
 def screening_record(spark, sf_dir):
-    rows = with_features(dataset.dedup_first(X.scored(spark, sf_dir).select("sequence", "source_id", "score"), "sequence", "source_id")).withColumns({"threshold": F.lit(THRESHOLD), "interpretation": audits.interpretation(F.col("score"), THRESHOLD)})
+    rows = stored(with_features(dataset.dedup_first(X.scored(spark, sf_dir).select("sequence", "source_id", "score"), "sequence", "source_id"))).withColumns({"threshold": F.lit(THRESHOLD), "interpretation": audits.interpretation(F.col("score"), THRESHOLD)})
     return audits.screening_record(rows, audits.sequence_audit(rows, 10, 42), K.CORE_FEATURES)
 
 
 @query()
 def lr_embeddings(spark, sf_dir):
     rows = X.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") == 0).cast("int").alias("label"))
-    split = splitting.random_split(rows, "vec_id")
+    split = stored(splitting.random_split(rows, "vec_id"))
     return models.fit_and_test(split, models.fit_logistic, "embedding")[3]
 
 
 def _forest_rows(spark, sf_dir):
     names = tuple(f for f in K.FEATURES if f != "isoelectric_point")
-    return names, splitting.random_split(with_features(X.lab(spark, sf_dir), names=names), "source_id")
+    # A forest reads its rows once a level, so they are written first.
+    return names, stored(splitting.random_split(stored(with_features(X.lab(spark, sf_dir), names=names)), "source_id"))
 
 
 @query()
