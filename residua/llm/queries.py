@@ -108,4 +108,45 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, d.source, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.kept, '') END AS text,
                coalesce(t.n_lines, 0)::INT AS n_lines, coalesce(t.n_removed, 0)::INT AS n_removed
         FROM documents d LEFT JOIN texts t ON d.doc_id = t.doc_id""",
+    "op8_url_filter": r"""
+        WITH p AS (
+            SELECT page_id,
+                translate(regexp_extract(coalesce(url, ''), '(?s)\A.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(coalesce(url, ''), '(?s)\A.*?://([^/?#]*)([^?#]*)', 2) AS path
+            FROM pages
+        ), y AS (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
+        ), h0 AS (
+            SELECT host, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS k
+            FROM p JOIN y ON y.doc_id = try_cast(regexp_extract(path, '/(\d+)[^/]*$', 1) AS BIGINT) GROUP BY host
+        ), h AS (
+            SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM h0
+        ), s0 AS (
+            SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM h) AS mean FROM h GROUP BY suffix
+        ), s AS (SELECT *, (SELECT STRENGTH FROM s0) AS st FROM s0
+        ), d0 AS (
+            SELECT h.domain, h.suffix, sum(h.n) AS n, sum(h.k) AS k FROM h GROUP BY 1, 2
+        ), d1 AS (
+            SELECT d0.domain, d0.n, d0.k, (s.k - d0.k + s.st * s.mean) / (s.n - d0.n + s.st) AS mean FROM d0 JOIN s USING (suffix)
+        ), d AS (SELECT *, (SELECT STRENGTH FROM d1) AS st FROM d1
+        ), o0 AS (
+            SELECT h.host, h.n, h.k, (d.k - h.k + d.st * d.mean) / (d.n - h.n + d.st) AS mean FROM h JOIN d USING (domain)
+        ), o AS (
+            SELECT host, k + st * mean AS a, n - k + st * (1 - mean) AS b FROM (SELECT *, (SELECT STRENGTH FROM o0) AS st FROM o0)
+        ), judged AS (
+            SELECT p.*, CASE
+                WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'allow example.com/en/7'
+                WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'block example.net/de/8'
+                WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'block com/en/'
+                WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'allow net/de/'
+                WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'block org/es/' END AS r
+            FROM p
+        )
+        SELECT page_id, host, path, substr(r, 7) AS rule,
+            CASE WHEN r IS NOT NULL THEN substr(r, 1, 5)
+                 WHEN a / (a + b) + 1.645e0 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) < 0.5e0 THEN 'block' ELSE 'allow' END AS verdict
+        FROM judged LEFT JOIN o USING (host)""".replace(
+        "STRENGTH",
+        """CASE WHEN sum(n * (n - 1) * mean * (1 - mean)) > 0 AND sum(pow(k - n * mean, 2)) > sum(n * mean * (1 - mean))
+            THEN least(greatest(sum(n * (n - 1) * mean * (1 - mean)) / (sum(pow(k - n * mean, 2)) - sum(n * mean * (1 - mean))) - 1, 1e0), 1e3) ELSE 1e3 END""",
+    ),
 }

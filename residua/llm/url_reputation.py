@@ -1,8 +1,8 @@
 """URL filter: explicit rules first, an empirical-Bayes host reputation for the rest. DataFrame functions only.
 
 Labelled pages are Bernoulli outcomes (1: good). Each level of host names, from the whole table to public
-suffix, registered domain and host, has a beta posterior whose prior is centred on the level above. The
-prior's strength at a level is fitted to all children of that level by moments of the beta-binomial.
+suffix, registered domain and host, has a beta posterior whose prior is centred on the level above (without
+the child's own outcomes). The prior's strength at a level is fitted to all children of that level by moments of the beta-binomial.
 A page is blocked when the upper posterior bound of its host's good rate is below ``min_good``: few bad
 pages under a good domain don't block a host, many do.
 """
@@ -79,21 +79,19 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     hosts = Scratch(outcomes.sparkSession).table(hosts.withColumns({"domain": domain, "suffix": suffix}))
     # One row: good rate of the whole table with one good and one bad outcome added.
     top = hosts.agg(((F.coalesce(F.sum("k"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("mean"))
-    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("mean", top.scalar())
-    suffixes = _posterior(suffixes, "suffix")
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(suffixes.select("suffix", F.col("posterior").alias("mean")), "suffix")
-    domains = _posterior(domains, "domain")
-    scored = _posterior(hosts.join(domains.select("domain", F.col("posterior").alias("mean")), "domain"), "host", keep=True)
+    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n_s"), F.sum("k").alias("k_s")).withColumn("mean_s", top.scalar())
+    s_s = fitted_strength(suffixes.select(F.col("n_s").alias("n"), F.col("k_s").alias("k"), F.col("mean_s").alias("mean"))).scalar()
+    suffixes = suffixes.withColumn("s_s", s_s)
+    # A child's prior is its parent's posterior without the child's own outcomes, so that none counts twice.
+    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n_d"), F.sum("k").alias("k_d")).join(suffixes, "suffix")
+    domains = domains.withColumn("mean_d", (F.col("k_s") - F.col("k_d") + F.col("s_s") * F.col("mean_s")) / (F.col("n_s") - F.col("n_d") + F.col("s_s")))
+    s_d = fitted_strength(domains.select(F.col("n_d").alias("n"), F.col("k_d").alias("k"), F.col("mean_d").alias("mean"))).scalar()
+    domains = domains.withColumn("s_d", s_d).select("domain", "n_d", "k_d", "mean_d", "s_d")
+    own = hosts.join(domains, "domain").withColumn("mean", (F.col("k_d") - F.col("k") + F.col("s_d") * F.col("mean_d")) / (F.col("n_d") - F.col("n") + F.col("s_d")))
+    own = own.withColumn("strength", fitted_strength(own).scalar())
     a, b = F.col("k") + F.col("strength") * F.col("mean"), F.col("n") - F.col("k") + F.col("strength") * (1 - F.col("mean"))
     sd = F.sqrt(a * b / (F.pow(a + b, 2) * (a + b + 1)))
-    return scored.select("host", "n", "k", "posterior", (F.col("posterior") - z * sd).alias("lower"), (F.col("posterior") + z * sd).alias("upper"))
-
-
-def _posterior(level: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Adds the posterior mean under the level's fitted prior."""
-    out = level.withColumn("strength", fitted_strength(level).scalar())
-    post = (F.col("k") + F.col("strength") * F.col("mean")) / (F.col("n") + F.col("strength"))
-    return out.withColumn("posterior", post) if keep else out.select(name, post.alias("posterior"))
+    return own.withColumn("posterior", a / (a + b)).select("host", "n", "k", "posterior", (F.col("posterior") - z * sd).alias("lower"), (F.col("posterior") + z * sd).alias("upper"))
 
 
 def judge_urls(

@@ -1,0 +1,354 @@
+"""Each operator against a plain version, and on nulls, empty and long texts, ties, empty tables and clashing columns."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+
+from residua.llm import decontamination, exact_dedup, language_model, line_dedup, merge_sort, packing, quality, simhash, sketch, substring_dedup, suffix_dedup, url_reputation
+
+WORDS = [a + b for a in ("ba", "to", "ki", "re", "su", "na") for b in ("n", "la", "mi", "sto", "ger", "")]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Prose with exact and near copies, shared passages, repeats within a document and edge cases."""
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randint(1, 300)) for _ in range(40)]
+    passage = prose(rng, 70)
+    for i in (3, 9, 21):
+        texts[i] = prose(rng, 40) + " " + passage + " " + prose(rng, 30)
+    texts[12] = texts[5] + "  "
+    texts[13] = texts[5].replace(" ", "\t\n")
+    texts[14] = texts[5].upper()
+    texts[30] = texts[21].replace(texts[21].split()[60], "changed")
+    texts[31] = "xyzzy " * 400
+    texts[32] = "A" * 700
+    texts[33] = passage + " " + passage
+    return [(i, t) for i, t in enumerate(texts)] + [(100, None), (101, ""), (102, " \n\t "), (103, "ba"), (104, "ba"), (105, prose(rng, 9000)), (106, "é" * 130 + " ß " + "é" * 130)]
+
+
+COLUMNS = "doc_id long, text string, source string, row long, rep string, key long, start long, n long, word string, gone string"
+
+
+def frame(spark, rows):
+    """The rows with columns whose names the operators use inside."""
+    return spark.createDataFrame([(i, t, "site", 7, "x", 1, 2, 3, "w", "g") for i, t in rows], COLUMNS)
+
+
+def got(df, *names):
+    return {r[0]: tuple(r)[1:] for r in df.select("doc_id", *names).collect()}
+
+
+# 1
+
+
+def test_exact_dedup(spark, corpus):
+    out = exact_dedup.exact_dedup(frame(spark, corpus), parallel_bytes=2000)
+    found = got(out, "keep_id", "group_size", "kept", "text_sha256")
+    norm = {i: __import__("re").sub("[\x20\x09-\x0d]+", " ", t or "") for i, t in corpus}
+    groups = {}
+    for i, t in norm.items():
+        groups.setdefault(t, []).append(i)
+    assert found == {i: (min(groups[t]), len(groups[t]), i == min(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in norm.items()}
+
+
+def test_exact_dedup_repeats_and_nulls(spark):
+    out = exact_dedup.exact_dedup(frame(spark, [(1, "a"), (1, "a"), (2, "a"), (None, "a"), (None, "a")])).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in out), key=str) == sorted([(1, 1, 3, True), (1, 1, 3, True), (2, 1, 3, False), (None, None, 1, True), (None, None, 1, True)], key=str)
+    assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
+
+
+def test_collisions_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "fingerprints", lambda texts, _: texts.selectExpr("id", "length(text) * 0L as n", "0L as fp", "sha"))
+    out = got(exact_dedup.exact_dedup(frame(spark, [(1, "a"), (2, "b"), (3, "b"), (4, "a")])), "keep_id", "group_size")
+    assert out == {1: (1, 2), 4: (1, 2), 2: (2, 2), 3: (2, 2)}
+
+
+def test_fingerprints_compose():
+    data = bytes(random.Random(1).randrange(256) for _ in range(200_000))
+    for which in (0, 1):
+        h = 0
+        for at in range(0, len(data), 777):
+            piece = data[at : at + 777]
+            h = exact_dedup.combine(h, exact_dedup.chunk_hash(piece, which), len(piece), which)
+        assert h == exact_dedup.fingerprint(data) >> (31 * (1 - which)) & (1 << 31) - 1
+
+
+# 2
+
+
+def test_lm_score(spark, corpus):
+    df = frame(spark, corpus)
+    from residua.llm.common import id_crc32
+    from pyspark.sql import functions as F
+
+    found = got(language_model.lm_score(df, training=F.pmod(id_crc32(F.col("doc_id")), F.lit(7)) != 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    tokens = {i: (t or "").encode().lower().split() + [None] for i, t in corpus}
+    counts = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    for i, ws in tokens.items():
+        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)
+        assert found[i][:3] == (len(ws), sum(counts[w] > 0 for w in ws), n)
+        assert found[i][3] == pytest.approx(base, rel=1e-9)
+        assert found[i][4] < 0
+    assert sum(x[4] for x in found.values()) > sum(x[3] for x in found.values())
+    assert language_model.lm_score(frame(spark, [])).count() == 0
+
+
+def test_lm_is_a_distribution_and_gradients_hold():
+    voc = language_model.Vocabulary([b"a", b"b", b"c", b"d", b"e"], np.array([9, 7, 5, 3, 2]), 4, 6)
+    gru = language_model.Gru(voc)
+    h = np.random.default_rng(0).standard_normal((3, language_model.HIDDEN)).astype(np.float32)
+    total = sum(np.exp(gru.log_probabilities(h, np.full(3, w))) for w in range(len(voc.counts)))
+    assert np.allclose(total, 1, atol=1e-5)
+    docs = [np.array([2, 3, 2, 3, 2, 3, 0], np.int32), np.array([0], np.int32), np.array([2, 3, 2, 3, 0], np.int32)]
+    before = gru.score(docs)
+    one = np.array([gru.score([d])[0] for d in docs])
+    assert np.allclose(before, one, atol=1e-4)
+    gru.train(np.concatenate([np.zeros(1, np.int32), *(docs * 200)]))
+    assert gru.score(docs).sum() > before.sum() / 2
+
+
+# 3
+
+
+def test_line_dedup(spark):
+    rows = [(i, f"own {i}\nmenu\n\nshared {i // 2}") for i in range(40)] + [(50, None), (51, ""), (52, "menu"), (53, "menu\nmenu")]
+    out = line_dedup.dedup_lines(frame(spark, rows), ratio=0.2, min_pages=3)
+    found = got(out, "text", "n_lines", "n_removed")
+    for i in range(40):
+        assert found[i] == (f"own {i}\n\nshared {i // 2}", 4, 1)
+    assert (found[50], found[51], found[52], found[53]) == ((None, 0, 0), ("", 1, 0), ("", 1, 1), ("", 2, 2))
+    assert out.columns[:10] == frame(spark, []).columns
+    assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
+
+
+# 4
+
+
+def test_substring_dedup(spark, corpus):
+    found = got(substring_dedup.substring_dedup(frame(spark, corpus)), "n_words", "n_removed", "kept_text")
+    first, expected = {}, {}
+    for i, t in sorted(corpus, key=lambda r: r[0]):
+        w = (t or "").encode().split()
+        out = [False] * len(w)
+        for p in range(len(w) - 49):
+            if first.setdefault(tuple(w[p : p + 50]), i) < i:
+                out[p : p + 50] = [True] * 50
+        expected[i] = (len(w), sum(out), b" ".join(x for x, o in zip(w, out) if not o).decode())
+    assert found == expected
+    assert substring_dedup.substring_dedup(frame(spark, [])).count() == 0
+
+
+# 5
+
+
+def test_suffix_dedup(spark, corpus):
+    found = got(suffix_dedup.suffix_dedup(frame(spark, corpus)), "n_bytes", "n_removed", "n_spans", "kept")
+    seen, expected = set(), {}
+    for i, t in sorted(corpus, key=lambda r: r[0]):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(b[p : p + 100])
+        expected[i] = (len(b), sum(gone), sum(gone[k] and not (k and gone[k - 1]) for k in range(len(b))), bytes(x for x, g in zip(b, gone) if not g))
+    assert {k: (*v[:3], bytes(v[3])) for k, v in found.items()} == expected
+    assert suffix_dedup.suffix_dedup(frame(spark, [])).count() == 0
+
+
+def test_suffix_dedup_with_small_ranges(spark, corpus, monkeypatch):
+    whole = got(suffix_dedup.suffix_dedup(frame(spark, corpus)), "n_removed")
+    for name in ("BLOCK_RECORDS", "RANGE_RECORDS"):
+        monkeypatch.setattr(suffix_dedup, name, 5)
+    monkeypatch.setattr(suffix_dedup, "RUN_RECORDS", 20)
+    assert got(suffix_dedup.suffix_dedup(frame(spark, corpus).repartition(3)), "n_removed") == whole
+
+
+def test_merge_of_front_coded_runs():
+    rng = random.Random(2)
+    runs = [sorted(bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 30))) for _ in range(7)]
+
+    def coded(run):
+        lcp, size, rest = merge_sort.front_coded(run)
+        assert merge_sort.front_decoded(lcp, size, rest) == run
+        return iter(zip(lcp.tolist(), run, run))
+
+    out = list(merge_sort.merge([coded(r) for r in runs]))
+    assert [s for _, s, _ in out] == sorted(s for r in runs for s in r)
+    for (_, a, _), (k, b, _) in zip(out, out[1:]):
+        assert k == len(__import__("os").path.commonprefix([a, b]))
+    assert list(merge_sort.merge([])) == []
+
+
+def test_sketch_never_underestimates(spark):
+    texts = spark.createDataFrame([(bytes([i % 60]),) for i in range(90)], "text binary")
+    made = sketch.build_sketch(texts, lambda t: np.array([t[0] * 0x9E3779B97F4A7C15 % (1 << 64)], np.uint64), 16)
+    keys = np.array([i * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(100)], np.uint64)
+    may = made.twice(keys)
+    assert may[:30].all() and may[30:].sum() < 3
+
+
+# 6
+
+
+def test_quality(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 60) if i % 3 else "!! ".join(rng.choice(WORDS).upper() for _ in range(60))) for i in range(150)] + [(200, None), (201, "")]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 100)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    df = frame(spark, rows)
+    out = got(quality.score_quality(df, quality.fit_quality(df, labels)), "quality_score")
+    assert all((out[i][0] >= 0.5) == (i % 3 > 0) for i in range(100, 150))
+    assert all(0 <= x[0] <= 1 for x in out.values()) and out[200] == out[201]
+    empty = quality.fit_quality(df, labels.limit(0))
+    assert {x[0] for x in got(quality.score_quality(df, empty), "quality_score").values()} == {0.5}
+    assert quality.score_quality(frame(spark, []), empty).count() == 0
+
+
+# 7
+
+
+def test_wand_finds_all_above_threshold():
+    rng = random.Random(5)
+    items = [[rng.choice(WORDS) + str(rng.randrange(4)) for _ in range(rng.randint(3, 30))] for _ in range(150)]
+    index = decontamination.Bm25Index(list(range(150)), items)
+    for _ in range(100):
+        terms = sorted({index.terms[w] for w in rng.choice(items)[:20]} | {rng.randrange(len(index.terms)) for _ in range(25)})
+        sums = {}
+        for t in terms:
+            for i, x in zip(index.postings[t].items, index.postings[t].impacts):
+                sums[i] = sums.get(i, 0) + x
+        assert {i for i, _ in index.wand(terms, 0.25)} == {i for i, s in sums.items() if s >= 0.25 - 1e-6}
+
+
+def test_decontamination(spark):
+    rng = random.Random(6)
+    items = [(k, " ".join(f"{rng.choice(WORDS)}{rng.randrange(50)}" for _ in range(rng.randint(12, 60)))) for k in range(30)]
+    rows = [(i, prose(rng, 200)) for i in range(30)]
+    rows += [(100 + k, prose(rng, 90) + " " + items[k][1].upper() + ". " + prose(rng, 300)) for k in range(10)]
+    rows += [(200, " ".join(items[11][1].split()[: len(items[11][1].split()) // 2])), (300, None), (301, ""), (302, prose(rng, 8000) + " " + items[12][1])]
+    bench = spark.createDataFrame([*items, (98, None), (99, "")], "item_id long, text string")
+    out = {(r.doc_id, r.item_id) for r in decontamination.find_contamination(frame(spark, rows), bench).collect()}
+    assert out == {(100 + k, k) for k in range(10)} | {(302, 12)}
+    assert decontamination.find_contamination(frame(spark, rows), bench.limit(0)).count() == 0
+    assert decontamination.find_contamination(frame(spark, []), bench).count() == 0
+
+
+# 8
+
+
+def test_url_rules_and_reputation(spark):
+    urls = ["http://a.COM/en/1", "https://x.example.com/en/7?q", "http://example.com/en/8", "http://s.net/de/1", "http://example.net/de/85#t", "ftp://o.org/es/", "http://bad.org/x", "http://good.org/x", "no url", None, "http://h?a/b", "x://notexample.com/en/7"]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    outcomes = spark.createDataFrame([("bad.org", 0)] * 60 + [("bad.org", None)] + [("good.org", 1)] * 60 + [("few.org", 0)] * 2 + [("ok.org", 1)] * 40, "host string, good int")
+    out = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_reputation.judge_urls(pages, outcomes).collect()}
+    assert out == {
+        0: ("a.com", "/en/1", "com/en/", "block"), 1: ("x.example.com", "/en/7", "example.com/en/7", "allow"), 2: ("example.com", "/en/8", "com/en/", "block"), 3: ("s.net", "/de/1", "net/de/", "allow"),
+        4: ("example.net", "/de/85", "example.net/de/8", "block"), 5: ("o.org", "/es/", "org/es/", "block"), 6: ("bad.org", "/x", None, "block"), 7: ("good.org", "/x", None, "allow"),
+        8: ("", "", None, "allow"), 9: ("", "", None, "allow"), 10: ("h", "", None, "allow"), 11: ("notexample.com", "/en/7", "com/en/", "block"),
+    }
+    rep = {r.host: r for r in url_reputation.host_reputation(outcomes).collect()}
+    assert rep["bad.org"].posterior < rep["few.org"].posterior < rep["good.org"].posterior and rep["few.org"].posterior > 0.05
+    assert {r.verdict for r in url_reputation.judge_urls(pages.filter("page_id in (6, 8)"), outcomes.limit(0)).collect()} == {"allow"}
+    assert url_reputation.judge_urls(pages.limit(0), outcomes).count() == 0
+
+
+# 9
+
+
+def test_packing(spark, corpus):
+    from tokenizers import Tokenizer
+
+    from residua.llm.queries import tokenizer_path
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    rows = packing.pack_documents(frame(spark, corpus), tokenizer_path(), keep_ids=True).collect()
+    by_doc = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 and r.length <= 4096
+        assert r.start == len(by_doc.setdefault(r.doc_id, b"")) // 4
+        by_doc[r.doc_id] += bytes(r.ids)
+    assert by_doc == {i: np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes() for i, t in corpus}
+    places = {}
+    for r in sorted(rows, key=lambda r: r.offset):
+        assert r.offset == places.get(r.sequence_id, 0)
+        places[r.sequence_id] = r.offset + r.length
+    assert max(places.values()) <= 4096 and len(places) <= -(-sum(r.length for r in rows) // 4096) + 1
+    assert packing.pack_documents(frame(spark, []), tokenizer_path()).count() == 0
+    assert packing.pack_documents(frame(spark, [(1, "a"), (1, "a"), (None, "b")]), tokenizer_path()).count() == 3
+
+
+def test_words_are_encoded_as_the_tokenizer_does():
+    from residua.llm.queries import tokenizer_path
+
+    words = packing.WordIds(tokenizer_path())
+    rng = random.Random(7)
+    letters = [chr(c) for c in range(9, 0x180)] + ["\u0301", "Σ", "İ", "₂", "²", "中", "\u00a0", "\u2028"]
+    for _ in range(3000):
+        s = "".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) + rng.choice(["", "'s", "'LL", " 'T", " _a_"])
+        assert np.frombuffer(words.encode(s.encode()), "<u4").tolist() == words.tokenizer.encode(s, add_special_tokens=False).ids
+
+
+def test_shards_and_levels(spark):
+    from residua.llm.common import Scratch
+
+    rng = random.Random(8)
+    pieces = spark.createDataFrame([(i, rng.choice([4096, rng.randint(1, 900), rng.randint(1000, 3000)])) for i in range(600)], "row long, length long")
+    out = packing.pack_pieces(pieces, Scratch(spark), shard_pieces=64).join(pieces, "row").collect()
+    assert len(out) == 600
+    used = Counter()
+    for r in out:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 4096 and len(used) <= 1.05 * sum(used.values()) / 4096 + 2
+
+
+# 10
+
+
+def test_simhash(spark, corpus):
+    found = got(simhash.simhash_dedup(frame(spark, corpus)), "fingerprint", "component_id")
+
+    def plain(t):
+        w = (t or "").encode().lower().split()
+        if not w:
+            return 0
+        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    fps = {i: plain(t) for i, t in corpus}
+    root = {i: i for i in fps}
+    for _ in fps:
+        for i in fps:
+            root[i] = min(root[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= 3)
+    assert found == {i: (f"{fps[i]:016x}", root[i]) for i in fps}
+    assert simhash.simhash_dedup(frame(spark, [])).count() == 0
+
+
+def test_links_connect_what_is_within_the_radius(spark, monkeypatch):
+    from residua.llm.common import Scratch
+    from residua.llm.components import connected_components
+
+    rng = np.random.default_rng(9)
+    seeds = rng.integers(0, 1 << 63, 60, np.uint64)
+    fps = np.unique(np.concatenate([seeds, *(seeds[:20] ^ (np.uint64(1) << rng.integers(0, 63, 20, np.uint64)) for _ in range(6))]))
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(simhash, "TILE", 4)
+    scratch = Scratch(spark)
+    links = simhash.fingerprint_links(spark.createDataFrame([(x,) for x in fps.view(np.int64).tolist()], "fp long"), len(fps), 3, scratch)
+    found = {r.node: r.root for r in connected_components(links, scratch).collect()}
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    label = fps.view(np.int64).copy()
+    for _ in range(8):
+        label = np.array([label[near[i]].min() for i in range(len(fps))])
+    assert [found.get(x, x) for x in fps.view(np.int64).tolist()] == label.tolist()
