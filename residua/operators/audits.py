@@ -42,6 +42,33 @@ PLAN = (
 )
 PLAN_COLUMNS = ("objective", "outcome", "method", "diagnostic", "robustness")
 
+# Question, required label, output, evaluation.
+QUESTIONS = (
+    ("Does the sequence look AMP-like?", "Curated AMP vs defensible comparator", "Binary score/class", "Discrimination, calibration, leakage control"),
+    ("How potent is it against organism X?", "Assay-specific MIC/MBC for organism/strain X", "Potency regression or ordinal class", "Error with assay/source-aware external validation"),
+    ("What organisms might it affect?", "Target panel with observed activities/inactivities", "Multilabel spectrum", "Per-target PR metrics and coverage"),
+    ("Is it selectively safe?", "Hemolysis/cytotoxicity plus antimicrobial potency", "Safety and selectivity endpoints", "Endpoint-specific error and therapeutic-index uncertainty"),
+)
+QUESTION_COLUMNS = ("question", "required_label", "output", "evaluation")
+
+# Term and definition.
+GLOSSARY = (
+    ("AMP-likeness", "Similarity to patterns learned from training labels; not experimental antimicrobial activity."),
+    ("Putative non-AMP", "A sequence used as a comparator without experimental proof of inactivity."),
+    ("Similarity leakage", "Information transfer when homologous or near-duplicate sequences occur across train and evaluation partitions."),
+    ("Calibration", "Agreement between predicted probabilities and observed outcome frequencies in the target population."),
+    ("MIC", "Minimum inhibitory concentration under a specified organism, medium, protocol, and endpoint definition."),
+    ("Therapeutic index", "A comparison of antimicrobial potency with host-toxicity endpoints; it cannot be inferred from AMP classification alone."),
+)
+
+# Name and sequence of the samples.
+SAMPLES = (
+    ("Custom sequence", "KWKLFKKIGAVLKVL"),
+    ("Short cationic example", "KLLKLLKKLLK"),
+    ("LL-37 sequence example", "LLGDFFRKSKEKIGKEFKRIVQRIKDFLRNLVPRTES"),
+    ("Acidic contrast example", "MDEDDDNQNEEGTQ"),
+)
+
 #: Limits of the sequence audit and half the width of the uncertain band.
 LOW_ENTROPY, HIGH_HYDROPHOBIC, HIGH_CHARGE_DENSITY, MARGIN = 2.5, 0.65, 0.40, 0.10
 

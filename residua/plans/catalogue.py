@@ -429,6 +429,35 @@ def analysis_plan(spark, sf_dir):
     return audits.fixed_table(spark, audits.PLAN, audits.PLAN_COLUMNS)
 
 
+@query(values_sql(audits.QUESTIONS, audits.QUESTION_COLUMNS))
+def question_matrix(spark, sf_dir):
+    return audits.fixed_table(spark, audits.QUESTIONS, audits.QUESTION_COLUMNS)
+
+
+@query(values_sql(audits.GLOSSARY, ("term", "definition")))
+def glossary(spark, sf_dir):
+    return audits.fixed_table(spark, audits.GLOSSARY, ("term", "definition"))
+
+
+@query(f"SELECT name, sequence, length(sequence)::INT AS size, sha256(sequence) AS sha FROM ({values_sql(audits.SAMPLES, ('name', 'sequence'))})")
+def sample_sequences(spark, sf_dir):
+    rows = audits.fixed_table(spark, audits.SAMPLES, ("name", "sequence"))
+    return rows.select("name", "sequence", F.length("sequence").alias("size"), sequence_sha256(F.col("sequence")).alias("sha"))
+
+
+_LANDSCAPE = ("length", "net_charge_pH7", "gravy")
+
+
+@query(f"WITH {featured_sql(_LANDSCAPE)} SELECT source_id, CASE WHEN label = 1 THEN 'AMP' ELSE 'Putative non-AMP' END AS class_name, {', '.join(_LANDSCAPE)} FROM featured")
+def charge_hydropathy_points(spark, sf_dir):
+    return featured(spark, sf_dir, _LANDSCAPE).select("source_id", relational.class_name(F.col("label")).alias("class_name"), *_LANDSCAPE)
+
+
+@query(f"WITH {X.SCORED} SELECT source_id, sequence, label, split FROM scored ORDER BY source_id LIMIT 25")
+def dataset_preview(spark, sf_dir):
+    return relational.preview(X.scored(spark, sf_dir), ("source_id", "sequence", "label", "split", "missing"), ("source_id",))
+
+
 @query(f"SELECT * FROM ({values_sql(audits.LIBRARY, audits.LIBRARY_COLUMNS)}) WHERE lower(concat_ws('|', {', '.join(audits.LIBRARY_COLUMNS)})) LIKE '%clinical%'")
 def reference_search(spark, sf_dir):
     return relational.search(audits.fixed_table(spark, audits.LIBRARY, audits.LIBRARY_COLUMNS), " Clinical ")
