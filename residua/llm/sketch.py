@@ -14,14 +14,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 DEPTH, SHARD_BITS = 2, 20
 #: log2 of cells in a row, at most: the broadcast has DEPTH * 2^(28 - 3) bytes, 64 MB.
 LEAST_BITS, MOST_BITS = 16, 28
 
 
 def sketch_bits(keys: float, spare: int = 8) -> int:
-    """log2 of the cells of a row for so many keys. Beyond the most, more keys pass by chance and none is lost."""
-    return int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1.0, spare * keys))))))
+    """log2 of the cells of a row for so many keys; it may exceed MOST_BITS."""
+    return int(max(LEAST_BITS, np.ceil(np.log2(max(1.0, spare * keys)))))
 
 
 def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -107,3 +109,44 @@ def build_sketch(texts: DataFrame, keys_of: Callable[[bytes], np.ndarray], bits:
         row, s = divmod(r.shard, shards)
         rows[row][s * width // 8 : (s + 1) * width // 8] = r.bits
     return Sketch(bits, [bytes(r) for r in rows])
+
+
+class Prefilter:
+    """Tells which keys of a document may be repeated: by the sketch, or by the keys that came with the document."""
+
+    def __init__(self, sketch=None):
+        self.sketch = sketch
+
+    def of(self, shared: np.ndarray | None) -> Callable[[np.ndarray], np.ndarray]:
+        if self.sketch is not None:
+            return self.sketch.value.twice
+        own = np.zeros(0, np.uint64) if shared is None else np.asarray(shared, np.int64).view(np.uint64)
+        return lambda keys: np.isin(keys, own)
+
+
+def prefilter(base: DataFrame, keys_of: Callable[[bytes], np.ndarray], keys: float, scratch: Scratch) -> tuple[DataFrame, Prefilter]:
+    """(id, text) to the same with a column ``shared`` for the Prefilter.
+
+    Up to MOST_BITS the sketch goes to every task. Of more keys (``keys`` is about their number) the sketch would be too
+    large to send or too full to tell anything; then the keys themselves are counted in a shuffle, of some sixteen bytes a key,
+    and each document gets back those of its own that were counted twice.
+    """
+    bits = sketch_bits(keys)
+    if bits <= MOST_BITS:
+        made = build_sketch(base, keys_of, bits)
+        return base.withColumn("shared", F.lit(None).cast("array<long>")), Prefilter(base.sparkSession.sparkContext.broadcast(made))
+    id_type = base.schema["id"].dataType.simpleString()
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, text in zip(pdf["id"], pdf["text"]):
+                k, n = np.unique(keys_of(text), return_counts=True)
+                if len(k):
+                    frame = pd.DataFrame({"id": [key] * len(k), "key": k.view(np.int64), "n": np.minimum(n, 2).astype(np.int32)})
+                    frame["id"] = frame["id"].astype(pdf["id"].dtype)
+                    yield frame
+
+    pairs = scratch.table(base.select("id", "text").mapInPandas(emit, f"id {id_type}, key long, n int"))
+    twice = pairs.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
+    own = pairs.hint("merge").join(twice, "key").groupBy(F.col("id").alias("own_id")).agg(F.collect_set("key").alias("shared"))
+    return base.join(own, F.col("id").eqNullSafe(F.col("own_id")), "left").drop("own_id"), Prefilter()

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .anchors import covered, key_runs, prefix_sums, span_hash, window_keys
 from .common import Scratch, text_of
-from .sketch import build_sketch, sketch_bits
+from .sketch import prefilter
 
 WINDOW = 50
 #: Keys a byte of text, about: a word has six bytes, and a run of equal keys about thirteen windows.
@@ -53,24 +53,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other. A null id is larger than all others, and rows without an id don't remove from each other. An empty table gives an empty table; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sketch = spark.sparkContext.broadcast(build_sketch(base, _document_keys(window), sketch_bits(size * KEYS_PER_BYTE)))
+    base, filtered = prefilter(base, _document_keys(window), size * KEYS_PER_BYTE, scratch)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Per document its runs of windows that may be repeated."""
         for pdf in batches:
             out = []
-            for text in pdf["text"]:
+            for text, shared in zip(pdf["text"], pdf["shared"]):
                 words = text.split()
                 runs: list[tuple] = []
                 if len(words) >= window:
                     symbols = word_symbols(words, 0)
                     keys = window_keys(symbols, window)
                     starts, counts = key_runs(keys)
-                    may = sketch.value.twice(keys[starts])
+                    may = filtered.of(shared)(keys[starts])
                     starts, counts = starts[may], counts[may]
                     if len(starts):
                         hashes = [span_hash(prefix_sums(s, w), starts, starts + counts + (window - 1), w) for w, s in ((0, symbols), (1, word_symbols(words, 1)))]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .anchors import covered, key_runs, mixed, prefix_sums, sliding_min, span_hash
 from .common import Scratch, text_of
 from .merge_sort import front_coded, front_decoded, merge
-from .sketch import build_sketch, sketch_bits
+from .sketch import prefilter
 
 WINDOW = 100
 #: Windows of a record, records of a run and of a block, bytes and number of sampled block heads.
@@ -137,13 +137,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty table gives an empty table; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"))
     named = base.filter(F.col("id").isNotNull())
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     gram = window // 2
-    sketch = spark.sparkContext.broadcast(build_sketch(named, lambda t: selected_keys(t, window), sketch_bits(2 * total / (window - gram + 2))))
+    named, filtered = prefilter(named, lambda t: selected_keys(t, window), 2 * total / (window - gram + 2), scratch)
     block = _BLOCK.format(id=id_type)
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,8 +167,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         found: list[tuple] = []
         for pdf in batches:
-            for key, text in zip(pdf["id"].tolist(), pdf["text"]):
-                found += [(s, key, at, n, own) for s, at, n, own in records(text, window, sketch.value.twice)]
+            for key, text, shared in zip(pdf["id"].tolist(), pdf["text"], pdf["shared"]):
+                found += [(s, key, at, n, own) for s, at, n, own in records(text, window, filtered.of(shared))]
                 if len(found) >= RUN_RECORDS:
                     yield from flush(found)
                     found = []

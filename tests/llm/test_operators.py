@@ -192,6 +192,14 @@ def test_merge_of_front_coded_runs():
     assert list(merge_sort.merge([])) == []
 
 
+def test_prefilter_without_a_sketch(spark, corpus, monkeypatch):
+    rows = frame(spark, [r for r in corpus if r[0] != 105] + [(None, corpus[3][1])])
+    words, spans = got(substring_dedup.substring_dedup(rows), "n_removed"), got(suffix_dedup.suffix_dedup(rows), "n_removed")
+    monkeypatch.setattr(sketch, "MOST_BITS", 1)
+    assert got(substring_dedup.substring_dedup(rows), "n_removed") == words
+    assert got(suffix_dedup.suffix_dedup(rows), "n_removed") == spans
+
+
 def test_sketch_never_underestimates(spark):
     texts = spark.createDataFrame([(bytes([i % 60]),) for i in range(90)], "text binary")
     made = sketch.build_sketch(texts, lambda t: np.array([t[0] * 0x9E3779B97F4A7C15 % (1 << 64)], np.uint64), 16)
