@@ -104,7 +104,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 frame["id"] = frame["id"].astype(pdf["id"].dtype)
                 yield frame
 
-    opened = scanned.select("row", "id", "words").join(by_row, "row").mapInPandas(windows, f"row long, id {id_type}, start long, w1 long, w2 long")
+    # A document without a run of windows that may be repeated loses nothing, so its text is never moved.
+    may_lose = F.size("runs") > 0
+    opened = scanned.filter(may_lose).select("row", "id", "words").join(by_row, "row").mapInPandas(windows, f"row long, id {id_type}, start long, w1 long, w2 long")
     opened = scratch.table(opened)
     least = opened.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     single = opened.hint("merge").join(least, ["w1", "w2"]).filter(later).select("row", "start", F.lit(1).cast("long").alias("n"))
@@ -125,6 +127,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 kept.append(b" ".join([w for w, x in zip(words, out.tolist()) if not x]))
             yield pd.DataFrame({"id": pdf["id"], "n_words": pdf["n_words"], "n_removed": removed, "kept_text": kept})
 
-    out = scanned.select("row", "id", "n_words", "words").join(hits, "row", "left").select("id", "n_words", "words", "gone")
+    out = scanned.filter(may_lose).select("row", "id", "n_words", "words").join(hits, "row", "left").select("id", "n_words", "words", "gone")
     out = out.mapInPandas(cut, f"id {id_type}, n_words long, n_removed long, kept_text binary")
+    out = out.unionByName(scanned.filter(~may_lose).select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("words").alias("kept_text")))
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept_text").cast("string").alias("kept_text"))
