@@ -4,16 +4,14 @@ Counts of every training token give the vocabulary, the classes and the tail's d
 output is factored: a class, then a word of the class; words are in classes of about equal weight, by falling
 count. Words beyond the vocabulary share one output, below which the tail's smoothed counts decide.
 
-Training is truncated backpropagation: every document gives a stretch in proportion to its length, stretches
-are strung into parallel streams, and state is carried from window to window. Each partition trains from
-the same weights on its own documents; the results are averaged, weighted by tokens, and the next round starts
-from the average. Scoring carries the state across windows to the end of each document.
+Training is truncated backpropagation over the whole text of every document: documents are strung into parallel
+streams, and state is carried from window to window. Each partition trains from the same weights on its own
+documents; the results are averaged, weighted by tokens, and a next round would start from the average. Scoring carries the state across windows to the end of each document.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -26,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, text_of
 
 #: Words of the model, words whose counts go to every task, and sizes of the network. All bound what is broadcast.
-MODEL_WORDS, COUNT_WORDS, EMBEDDING, HIDDEN, CLASSES = 8192, 65536, 16, 24, 32
-#: Part of each document's tokens that a round learns from, streams, window, rounds, Adagrad's rate.
-SHARE, STREAMS, WINDOW, ROUNDS, RATE = 1 / 8, 128, 16, 2, 0.1
+MODEL_WORDS, COUNT_WORDS, EMBEDDING, HIDDEN, CLASSES = 8192, 65536, 16, 24, 90
+#: Streams, window, rounds (each over all training tokens), Adagrad's rate.
+STREAMS, WINDOW, ROUNDS, RATE = 32, 16, 1, 0.05
 #: Distinct words a task counts before it sends them on.
 FLUSH = 300_000
 
@@ -162,6 +160,11 @@ class Gru:
         h = np.zeros((streams, HIDDEN), np.float32)
         for at in range(0, width, WINDOW):
             h = self._window(x[:, at : at + WINDOW].T, y[:, at : at + WINDOW].T, h, sums)
+        # What the streams' equal widths leave over goes on from the last stream.
+        h = h[-1:]
+        for at in range(streams * width, len(ids) - 1, WINDOW):
+            end = min(at + WINDOW, len(ids) - 1)
+            h = self._window(ids[at:end, None], ids[at + 1 : end + 1, None], h, sums)
 
     def _window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, sums: dict[str, np.ndarray]) -> np.ndarray:
         steps, width = x.shape
@@ -258,25 +261,18 @@ def frequent_words(counts: DataFrame, k: int) -> list:
     return counts.filter(step >= least).orderBy(F.desc("c"), "word").limit(k).collect()
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, scratch: Scratch, rounds: int = ROUNDS, share: float = SHARE) -> Gru:
+def train(texts: DataFrame, vocabulary: Vocabulary, scratch: Scratch, rounds: int = ROUNDS) -> Gru:
     """Rounds of training in every partition of (text binary) and of averaging."""
     spark = texts.sparkSession
     model = Gru(vocabulary)
-    for r in range(rounds):
+    for _ in range(rounds):
         start = spark.sparkContext.broadcast((vocabulary, model.flat()))
 
-        def fit(batches: Iterator[pd.DataFrame], r=r, start=start) -> Iterator[pd.DataFrame]:
+        def fit(batches: Iterator[pd.DataFrame], start=start) -> Iterator[pd.DataFrame]:
             voc, flat = start.value
             own, n = Gru(voc, flat), 0
             for pdf in batches:
-                parts = [np.zeros(1, np.int32)]
-                for text in pdf["text"]:
-                    words = tokens_of(text)
-                    size = max(2 * WINDOW, int(len(words) * share))
-                    at = zlib.crc32(text[:64], r) % max(1, len(words) + 1 - size)
-                    part = voc.encode(words[at : at + size])
-                    parts.append(part if at + size >= len(words) else np.append(part[:-1], np.int32(0)))
-                ids = np.concatenate(parts)
+                ids = np.concatenate([np.zeros(1, np.int32), *(voc.encode(tokens_of(text)) for text in pdf["text"])])
                 own.train(ids)
                 n += len(ids)
             if n:
@@ -305,7 +301,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, scratch: Scratch, rounds: in
     return model
 
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training: Column | None = None, rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training: Column | None = None, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     Learns from the rows that meet ``training`` (default: all), scores every row's whole text. ``base_score`` is
@@ -328,7 +324,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     c = np.array([r.c for r in head], np.int64)
     beyond = int((total.n or 0) - c[:MODEL_WORDS].sum())
     vocabulary = Vocabulary(words[:MODEL_WORDS], c[:MODEL_WORDS], ends, beyond)
-    model = train(learnt, vocabulary, scratch, rounds, share) if ends else Gru(vocabulary)
+    model = train(learnt, vocabulary, scratch, rounds) if ends else Gru(vocabulary)
     # Of words beyond the model's, and one more that was never seen.
     tail_norm = math.log10(beyond + max(0, total.v - MODEL_WORDS) + 1)
     shared = spark.sparkContext.broadcast((vocabulary, model.flat(), dict(zip(words, np.log10(c + 1.0).tolist()))))

@@ -119,6 +119,26 @@ def test_lm_is_a_distribution_and_gradients_hold():
     assert gru.score(docs).sum() > before.sum() / 2
 
 
+def test_lm_learns_from_every_token(spark, monkeypatch):
+    from residua.llm.common import Scratch
+
+    rng = random.Random(11)
+    texts = ["", "ba", prose(rng, 30), prose(rng, 1009), prose(rng, 5003)]
+    words = sorted({w.encode() for t in texts for w in t.split()})
+    voc = language_model.Vocabulary(words, np.ones(len(words)), len(texts), 0)
+    whole = np.concatenate([np.zeros(1, np.int32), *(voc.encode(t.encode().split()) for t in texts)])
+    learnt = []
+    monkeypatch.setattr(language_model.Gru, "_window", lambda self, x, y, h, sums: learnt.extend(zip(x.ravel().tolist(), y.ravel().tolist())) or h)
+    language_model.Gru(voc).train(whole)
+    assert Counter(learnt) == Counter(zip(whole[:-1].tolist(), whole[1:].tolist()))
+
+    monkeypatch.undo()
+    own = language_model.Gru(voc)
+    own.train(whole)
+    rows = spark.createDataFrame([(t.encode(),) for t in texts], "text binary").coalesce(1)
+    assert np.allclose(language_model.train(rows, voc, Scratch(spark)).flat(), own.flat(), atol=1e-4)
+
+
 # 3
 
 
