@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from residua.llm.common import Scratch
 from residua.llm.decontamination import find_contamination
 from residua.llm.line_dedup import dedup_lines
+from residua.llm.near_duplicates import near_duplicate_groups
 from residua.llm.packing import pack_documents
 from residua.llm.quality import fit_quality, score_quality
 from residua.llm.queries import tokenizer_path
-from residua.llm.simhash import simhash_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component only the row with the smallest id stays."""
-    found = simhash_dedup(docs).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    """Of rows linked by a five-word Jaccard similarity of 0.8 or more only the one with the smallest id stays."""
+    found = near_duplicate_groups(docs).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(found, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from residua.llm import decontamination, exact_dedup, language_model, line_dedup, merge_sort, packing, quality, simhash, sketch, substring_dedup, suffix_dedup, url_reputation
+from residua.llm import decontamination, exact_dedup, language_model, line_dedup, merge_sort, near_duplicates, packing, quality, simhash, sketch, substring_dedup, suffix_dedup, url_reputation
 
 WORDS = [a + b for a in ("ba", "to", "ki", "re", "su", "na") for b in ("n", "la", "mi", "sto", "ger", "")]
 
@@ -363,6 +363,23 @@ def test_simhash(spark, corpus):
     assert simhash.simhash_dedup(frame(spark, [])).count() == 0
 
 
+def test_near_duplicate_groups(spark, corpus):
+    rng = random.Random(12)
+    rows = list(corpus)
+    for i in range(60):  # copies of copies, edited little by little
+        w = rng.choice(rows[:40] + rows[47:])[1].split()
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        rows.append((200 + i, " ".join(w)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").encode().lower().split()) else set() for i, t in rows}
+    root = {i: i for i in sets}
+    for _ in range(12):
+        root = {i: min(root[j] for j in sets if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in sets}
+    found = got(near_duplicates.near_duplicate_groups(frame(spark, rows + [(None, corpus[3][1])])), "component_id")
+    assert found == {i: (root[i],) for i in sets} and len(set(root.values())) < len(root) - 20
+    assert near_duplicates.near_duplicate_groups(frame(spark, [])).count() == 0
+
+
 def test_links_connect_what_is_within_the_radius(spark, monkeypatch):
     from residua.llm.common import Scratch
     from residua.llm.components import connected_components

@@ -19,6 +19,11 @@ def test_stages_and_run(spark, tmp_path):
     rows += [(200 + i, prose(4) + " " + item + " " + prose(4)) for i in range(5)]
     rows += [(300 + i, "!! ".join(rng.choice(words).upper() for _ in range(80))) for i in range(20)]
     rows += [(400, None), (401, "")]
+    # Near copies: every 60th word of a long text edited, which leaves about 0.84 of the five-word shingles; and a far one, every 15th.
+    long = [[rng.choice(words) for _ in range(600)] for _ in range(40)]
+    rows += [(500 + i, " ".join(t)) for i, t in enumerate(long)]
+    rows += [(600 + i, " ".join(rng.choice(words) + "x" if k % 60 == i else w for k, w in enumerate(t))) for i, t in enumerate(long)]
+    rows += [(700 + i, " ".join(rng.choice(words) + "y" if k % 15 == i % 15 else w for k, w in enumerate(t))) for i, t in enumerate(long)]
     docs = spark.createDataFrame([(i, t, "en", f"src{i % 2}", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     labels = [(i, 1, 0) for i in range(0, 60, 2)] + [(300 + i, 0, 0) for i in range(0, 20, 2)]
@@ -40,6 +45,9 @@ def test_stages_and_run(spark, tmp_path):
     assert not any(100 <= i < 110 for i in kept["near_duplicates"]) and set(range(60)) <= set(kept["near_duplicates"])
     fps = [simhash((r.text or "").encode()) for r in kept["near_duplicates"].values()]
     assert all((a ^ b).bit_count() > 3 for k, a in enumerate(fps) for b in fps[:k])
+    assert not any(600 <= i < 700 for i in kept["near_duplicates"]) and {*range(500, 540), *range(700, 740)} <= set(kept["near_duplicates"])
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for r in kept["near_duplicates"].values() if (w := (r.text or "").lower().split())]
+    assert all(len(a & b) < 0.8 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
     assert set(kept["decontamination"]) == {i for i in kept["near_duplicates"] if not 200 <= i < 300}
     whole = {(r.doc_id, r.piece, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert whole == {(r.doc_id, r.piece, r.length, r.ids_crc32) for r in now.collect()}
