@@ -502,21 +502,18 @@ def lr_embeddings(spark, sf_dir):
 
 
 def _forest_rows(spark, sf_dir):
-    names = tuple(f for f in K.FEATURES if f != "isoelectric_point")
     # A forest reads its rows once a level, so they are written first.
-    return names, stored(splitting.random_split(stored(with_features(X.lab(spark, sf_dir), names=names)), "source_id"))
+    return stored(splitting.random_split(stored(with_features(X.lab(spark, sf_dir))), "source_id"))
 
 
 @query()
 def rf_features(spark, sf_dir):
-    names, rows = _forest_rows(spark, sf_dir)
-    return models.fit_and_test(rows, lambda train: models.fit_forest(train, names, 20, 6))[3]
+    return models.fit_and_test(_forest_rows(spark, sf_dir), models.fit_forest)[3]
 
 
 @query()
 def rf_importance(spark, sf_dir):
-    names, rows = _forest_rows(spark, sf_dir)
-    return models.importance_table(models.fit_forest(rows.filter("split = 'train'"), names, 20, 6), spark, names)
+    return models.importance_table(models.fit_forest(_forest_rows(spark, sf_dir).filter("split = 'train'")), spark)
 
 
 @query()

@@ -14,6 +14,39 @@ def test_every_oracle_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+@pytest.mark.parametrize("name", ("rf_features", "rf_importance"))
+def test_registered_forests_are_the_full_setting(monkeypatch, name):
+    from residua.functions.constants import FEATURES
+    from residua.operators import models
+    from residua.plans import catalogue
+
+    class Fitted(Exception):
+        pass
+
+    class Stop:
+        def __init__(self, **given):
+            raise Fitted(given)
+
+    class Frame:
+        def filter(self, _):
+            return self
+
+    monkeypatch.setattr(catalogue.X, "lab", lambda *_: Frame())
+    asked = []
+    monkeypatch.setattr(catalogue, "with_features", lambda df, names=FEATURES: asked.append(tuple(names)) or df)
+    monkeypatch.setattr(catalogue.splitting, "random_split", lambda df, *_: df)
+    monkeypatch.setattr(catalogue, "stored", lambda df: df)
+    monkeypatch.setattr(models, "training_frame", lambda df: None)
+    for stage in ("Imputer", "VectorAssembler"):
+        monkeypatch.setattr(models, stage, lambda **given: asked.append(tuple(given["inputCols"])))
+    monkeypatch.setattr(models, "RandomForestClassifier", Stop)
+    with pytest.raises(Fitted) as e:
+        catalogue.QUERIES[name](None, "")
+    given = e.value.args[0]
+    assert (given["numTrees"], given["maxDepth"], given["minInstancesPerNode"], given["featureSubsetStrategy"]) == (500, 30, 2, "sqrt")
+    assert asked[:2] == [FEATURES, FEATURES] and len(FEATURES) == 34
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 @pytest.mark.parametrize("name", CHEAP)
 def test_query_and_sql_agree(spark, name):
