@@ -88,6 +88,25 @@ def test_splits(spark, family):
         splitting.group_folds(spark.createDataFrame([("g", 1, 1)], "split_group string, n long, pos long"), 5, 1)
 
 
+def test_folds_are_balanced_at_any_number_of_groups(spark):
+    rng = random.Random(5)
+    for big in (0, 400):
+        kinds = [(n, pos, rng.randint(1, 90)) for n in range(1, 6) for pos in range(n + 1)] + ([(big, 100, 1)] if big else [])
+        total = np.maximum(1, np.sum([((n - p) * k, p * k) for n, p, k in kinds], 0))
+        have, expected = np.zeros((5, 2)), {}
+        for n, p, k in sorted(kinds, key=lambda x: (-abs(x[0] - 2 * x[1]), x)):
+            for _ in range(k):
+                keys = [(((have + np.eye(5)[f][:, None] * (n - p, p)) / total).std(0).mean(), have[f].sum()) for f in range(5)]
+                f = min(range(5), key=lambda f: (round(keys[f][0], 10), keys[f][1], f))
+                have[f] += (n - p, p)
+                expected.setdefault((n, p), [0] * 5)[f] += 1
+        assert splitting.deal_counts(kinds, 5) == [expected[n, p] for n, p, _ in kinds]
+    # One group has a fifth of the rows, the others are of one label each.
+    many = spark.range(240_001).selectExpr("concat('g', id) as split_group", "if(id = 240000, 60000L, 1L) as n", "if(id = 240000, 12000L, if(id % 5 = 0, 1L, 0L)) as pos")
+    rows = splitting.group_folds(many, 5, 1).groupBy("fold").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.count("*").alias("k")).collect()
+    assert sum(r.k for r in rows) == 240_001 and {(r.n, r.pos) for r in rows} == {(60_000, 12_000)}
+
+
 def test_cleaning_and_negatives(spark):
     rows = [(0, "a", "ACDEFGHIKL"), (1, "b", "ACDEFGHIKL"), (2, "c", "ACDX"), (3, "d", "ACD"), (4, "e", None)]
     records = spark.createDataFrame(rows, "ordinal long, record_id string, sequence string")
