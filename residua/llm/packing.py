@@ -54,19 +54,19 @@ class Pretokens(dict):
 class WordIds(dict):
     """Word to its ids. Text between white space is encoded on its own, so a text's ids are its words' ids in a row.
 
-    A word of plain characters goes pre-token by pre-token, any other to the tokenizer whole.
+    A word of plain characters goes pre-token by pre-token, any other, or one with an added token, to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pretokens = Pretokens(self.tokenizer.model)
 
     def __missing__(self, key: bytes) -> bytes:
         word = key.decode()
-        if _PLAIN.match(word):
+        if _PLAIN.match(word) and not any(t in word for t in self.added):
             got = b"".join([self.pretokens[x] for x in _PRETOKENS.findall(word.lower())])
         else:
             got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()

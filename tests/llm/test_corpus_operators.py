@@ -328,6 +328,18 @@ def test_words_are_encoded_as_the_tokenizer_does():
         assert np.frombuffer(words.encode(s.encode()), "<u4").tolist() == words.tokenizer.encode(s, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_recognised(spark):
+    from tokenizers import Tokenizer
+
+    from residua.llm.queries import tokenizer_path
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    texts = ["hello <|endoftext|> b", "a<|endoftext|>b\n<|startoftext|><|endoftext|>c", "é<|startoftext|>Σ", "<|ENDOFTEXT|> <|endof text|> <|endoftext|", "x  <|endoftext|>  y"]
+    rows = packing.pack_documents(frame(spark, list(enumerate(texts))), tokenizer_path(), keep_ids=True).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == {i: tok.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+    assert 49407 in np.frombuffer(next(r.ids for r in rows if r.doc_id == 0), "<u4")
+
+
 def test_shards_and_levels(spark):
     from residua.llm.common import Scratch
 
