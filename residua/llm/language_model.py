@@ -4,279 +4,102 @@ Counts of every training token give the vocabulary, the classes and the tail's d
 output is factored: a class, then a word of the class; words are in classes of about equal weight, by falling
 count. Words beyond the vocabulary share one output, below which the tail's smoothed counts decide.
 
-Training is truncated backpropagation over the whole text of every document: documents are strung into parallel
-streams, and state is carried from window to window. Each partition trains from the same weights on its own
-documents; the results are averaged, weighted by tokens, and a next round would start from the average. Scoring carries the state across windows to the end of each document.
+Texts are read twice: to count words, and to write each document's ids as a table that training and scoring
+read. Training is truncated backpropagation over the whole text of every document: documents are strung into
+parallel streams, and state is carried from window to window. Each partition trains from the same weights on its
+own documents; the results are averaged, weighted by tokens, and a next round would start from the average. So
+the weights depend, within limits, on how documents lie in partitions. Scoring carries the state across windows
+to the end of each document.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, text_of
+from .recurrent import Gru, Vocabulary
+from .word_hash import HashTable, binary_column, word_hashes
 
-#: Words of the model, words whose counts go to every task, and sizes of the network. All bound what is broadcast.
-MODEL_WORDS, COUNT_WORDS, EMBEDDING, HIDDEN, CLASSES = 8192, 65536, 16, 24, 90
-#: Streams, window, rounds (each over all training tokens), Adagrad's rate.
-STREAMS, WINDOW, ROUNDS, RATE = 32, 16, 1, 0.05
-#: Distinct words a task counts before it sends them on.
-FLUSH = 300_000
+#: Words of the model, and words whose counts go to every task. They bound what is broadcast.
+MODEL_WORDS, COUNT_WORDS = 8192, 1 << 18
+#: Rounds of training, each over all training tokens.
+ROUNDS = 1
+#: Bytes of text, and tokens, that a task works on at once, but for a longer document.
+TEXT_BYTES, TOKENS = 8 << 20, 4 << 20
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    """A-Z lower-cased, split at ASCII white space; the end token is not among them."""
-    return text.lower().split()
-
-
-class Vocabulary:
-    """Model words by falling count; id 0 is the end, id 1 any word beyond, then the words."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, ends: int, beyond: int):
-        self.ids = {w: i + 2 for i, w in enumerate(words)}
-        self.counts = np.concatenate([[ends, beyond], counts]).astype(np.float64) + 1
-        n = len(self.counts)
-        # End and the words beyond are classes of their own; the rest is cut at equal shares of the root counts.
-        mass = np.cumsum(np.sqrt(self.counts[2:]))
-        classes = min(CLASSES, max(1, n - 2))
-        cuts = np.searchsorted(mass, mass[-1] * np.arange(1, classes) / classes) + 3 if n > 2 else np.zeros(0, np.int64)
-        self.starts = np.unique(np.concatenate([[0, 1, 2], cuts, [n]]).clip(max=n)).astype(np.int64)
-        self.class_of = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
-
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        get = self.ids.get
-        out = np.zeros(len(words) + 1, np.int32)
-        out[:-1] = np.fromiter((get(w, 1) for w in words), np.int32, len(words))
-        return out
-
-
-def _softmax(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probabilities, log of their sum's normaliser) by row."""
-    top = a.max(1, keepdims=True)
-    e = np.exp(a - top)
-    s = e.sum(1, keepdims=True)
-    return e / s, (np.log(s) + top)[:, 0]
-
-
-class Gru:
-    NAMES = ("e", "wx", "wh", "b", "wc", "bc", "wo", "bo")
-
-    def __init__(self, vocabulary: Vocabulary, flat: np.ndarray | None = None):
-        self.v = vocabulary
-        n, c = len(vocabulary.counts), len(vocabulary.starts) - 1
-        self.shapes = {"e": (n, EMBEDDING), "wx": (EMBEDDING, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "wc": (HIDDEN, c), "bc": (c,), "wo": (HIDDEN, n), "bo": (n,)}
-        if flat is None:
-            rng = np.random.default_rng(0)
-            for k, shape in self.shapes.items():
-                scale = {"e": 0.3, "wx": 0.3, "wh": 0.2, "wc": 0.1, "wo": 0.05}.get(k, 0.0)
-                setattr(self, k, (rng.standard_normal(shape) * scale).astype(np.float32))
-            # Biases start at the counts, so the untrained model is near the unigram model.
-            by_class = np.add.reduceat(vocabulary.counts, vocabulary.starts[:-1])
-            self.bc = np.log(by_class / by_class.sum()).astype(np.float32)
-            self.bo = np.log(vocabulary.counts / by_class[vocabulary.class_of]).astype(np.float32)
-        else:
-            at = 0
-            for k, shape in self.shapes.items():
-                size = math.prod(shape)
-                setattr(self, k, flat[at : at + size].reshape(shape).astype(np.float32))
-                at += size
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
-
-    def by_class(self, targets: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
-        """(class, first word, end, rows) of the classes among the targets."""
-        cls = self.v.class_of[targets]
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(len(self.v.starts)))
-        for c in np.flatnonzero(np.diff(edges)).tolist():
-            yield c, int(self.v.starts[c]), int(self.v.starts[c + 1]), order[edges[c] : edges[c + 1]]
-
-    def log_probabilities(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural logs, class and word, of the targets given hidden states."""
-        logits = h @ self.wc + self.bc
-        _, norm = _log_norm(logits)
-        out = logits[np.arange(len(h)), self.v.class_of[targets]] - norm
-        for _, s, e, rows in self.by_class(targets):
-            if e - s > 1:
-                a = h[rows] @ self.wo[:, s:e] + self.bo[s:e]
-                out[rows] += a[np.arange(len(rows)), targets[rows] - s] - _log_norm(a)[1]
-        return out
-
-    def score(self, docs: list[np.ndarray]) -> np.ndarray:
-        """Log10 probability of each document's ids (the end id last), state carried from start to end."""
-        order = np.argsort([-len(d) for d in docs], kind="stable")
-        lengths = np.array([len(docs[i]) for i in order], np.int64)
-        flat = np.concatenate([docs[i] for i in order]) if docs else np.zeros(0, np.int32)
-        offsets = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        gx = self.e @ self.wx + self.b
-        total = np.zeros(len(docs))
-        h = np.zeros((len(docs), HIDDEN), np.float32)
-        last = np.zeros(len(docs), np.int64)  # the end id stands before a document
-        t = 0
-        while len(docs) and t < lengths[0]:
-            active = int(np.searchsorted(-lengths, -t))
-            window = int(min(max(WINDOW, 65536 // active), lengths[0] - t, 512))
-            states, targets, owners = [], [], []
-            for k in range(t, t + window):
-                n = int(np.searchsorted(-lengths, -k))
-                if not n:
-                    break
-                h = self.step(gx[last[:n]], h[:n])
-                last = flat[offsets[:n] + k]
-                states.append(h)
-                targets.append(last)
-                owners.append(np.arange(n))
-            got = self.log_probabilities(np.concatenate(states), np.concatenate(targets))
-            total[:active] += np.bincount(np.concatenate(owners), got, active)
-            t += window
-        out = np.empty(len(docs))
-        out[order] = total / math.log(10)
-        return out
-
-    def step(self, a: np.ndarray, h: np.ndarray) -> np.ndarray:
-        u = h @ self.wh
-        rz = 1 / (1 + np.exp(-(a[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])))
-        n = np.tanh(a[:, 2 * HIDDEN :] + rz[:, :HIDDEN] * u[:, 2 * HIDDEN :])
-        z = rz[:, HIDDEN:]
-        return n + z * (h - n)
-
-    def train(self, ids: np.ndarray) -> None:
-        """Truncated backpropagation over a string of documents, cut into parallel streams."""
-        streams = max(1, min(STREAMS, len(ids) // (2 * WINDOW)))
-        width = (len(ids) - 1) // streams
-        if width < 1:
-            return
-        x = ids[: streams * width].reshape(streams, width)
-        y = ids[1 : streams * width + 1].reshape(streams, width)
-        sums = {k: np.full(self.shapes[k], 1e-2, np.float32) for k in self.NAMES}
-        h = np.zeros((streams, HIDDEN), np.float32)
-        for at in range(0, width, WINDOW):
-            h = self._window(x[:, at : at + WINDOW].T, y[:, at : at + WINDOW].T, h, sums)
-        # What the streams' equal widths leave over goes on from the last stream.
-        h = h[-1:]
-        for at in range(streams * width, len(ids) - 1, WINDOW):
-            end = min(at + WINDOW, len(ids) - 1)
-            h = self._window(ids[at:end, None], ids[at + 1 : end + 1, None], h, sums)
-
-    def _window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, sums: dict[str, np.ndarray]) -> np.ndarray:
-        steps, width = x.shape
-        H = HIDDEN
-        kept, states = [], []
-        for t in range(steps):
-            h = h * (x[t] != 0)[:, None].astype(np.float32)  # after an end a new document starts
-            e = self.e[x[t]]
-            a, u = e @ self.wx + self.b, h @ self.wh
-            rz = 1 / (1 + np.exp(-(a[:, : 2 * H] + u[:, : 2 * H])))
-            n = np.tanh(a[:, 2 * H :] + rz[:, :H] * u[:, 2 * H :])
-            kept.append((h, e, u, rz, n))
-            h = n + rz[:, H:] * (h - n)
-            states.append(h)
-        hs, targets = np.concatenate(states), y.ravel()
-        scale = np.float32(1 / width)
-        p, _ = _softmax(hs @ self.wc + self.bc)
-        p[np.arange(len(hs)), self.v.class_of[targets]] -= 1
-        p *= scale
-        dh = p @ self.wc.T
-        self._learn("wc", ..., hs.T @ p, sums)
-        self._learn("bc", ..., p.sum(0), sums)
-        for _, s, e, rows in self.by_class(targets):
-            if e - s > 1:
-                part = hs[rows]
-                q, _ = _softmax(part @ self.wo[:, s:e] + self.bo[s:e])
-                q[np.arange(len(rows)), targets[rows] - s] -= 1
-                q *= scale
-                dh[rows] += q @ self.wo[:, s:e].T
-                self._learn("wo", (slice(None), slice(s, e)), part.T @ q, sums)
-                self._learn("bo", slice(s, e), q.sum(0), sums)
-        dh = dh.reshape(steps, width, H)
-        back = np.zeros((width, H), np.float32)
-        dwx, dwh, db = np.zeros_like(self.wx), np.zeros_like(self.wh), np.zeros_like(self.b)
-        de = np.empty((steps, width, EMBEDDING), np.float32)
-        for t in range(steps - 1, -1, -1):
-            h0, e, u, rz, n = kept[t]
-            r, z = rz[:, :H], rz[:, H:]
-            d = dh[t] + back
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (h0 - n) * z * (1 - z)
-            dr = dn * u[:, 2 * H :] * r * (1 - r)
-            da = np.concatenate([dr, dz, dn], 1)
-            du = np.concatenate([dr, dz, dn * r], 1)
-            dwx += e.T @ da
-            dwh += h0.T @ du
-            db += da.sum(0)
-            de[t] = da @ self.wx.T
-            back = (d * z + du @ self.wh.T) * (x[t] != 0)[:, None]
-        words, place = np.unique(x.ravel(), return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        g = np.add.reduceat(de.reshape(-1, EMBEDDING)[order], np.searchsorted(place[order], np.arange(len(words))), axis=0)
-        for name, where, grad in (("wx", ..., dwx), ("wh", ..., dwh), ("b", ..., db), ("e", words, g)):
-            self._learn(name, where, np.clip(grad, -1, 1), sums)
-        return h
-
-    def _learn(self, name: str, where, grad: np.ndarray, sums: dict[str, np.ndarray]) -> None:
-        s = sums[name]
-        s[where] += grad * grad
-        getattr(self, name)[where] -= np.float32(RATE) * grad / np.sqrt(s[where])
-
-
-def _log_norm(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    top = a.max(1, keepdims=True)
-    return top, (np.log(np.exp(a - top).sum(1, keepdims=True)) + top)[:, 0]
+def _parts(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about ``most`` bytes or tokens, one document at least."""
+    first, n = 0, len(offsets) - 1
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
+        yield first, last
+        first = last
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(text binary) to (word binary, c)."""
+    """(text binary) to (word long: a word's hash, c)."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        have: Counter = Counter()
-        for pdf in batches:
-            for text in pdf["text"]:
-                have.update(tokens_of(text))
-                if len(have) > FLUSH:
-                    yield pd.DataFrame({"word": list(have), "c": list(have.values())})
-                    have = Counter()
-        if have:
-            yield pd.DataFrame({"word": list(have), "c": list(have.values())})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = binary_column(batch.column("text"))
+            for a, b in _parts(offsets, TEXT_BYTES):
+                word, c = np.unique(word_hashes(data, offsets[a : b + 1])[0], return_counts=True)
+                yield pa.record_batch({"word": word.view(np.int64), "c": c.astype(np.int64)})
 
-    return texts.select("text").mapInPandas(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def frequent_words(counts: DataFrame, k: int) -> list:
-    """The k rows of largest c, ties by word. A histogram of log counts first gives a bound that few rows pass."""
+def frequent_words(counts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, counts) by falling count, ties by hash: all words down to a count, k of them at most."""
     step = F.floor(F.log2("c") * 16)
-    rows = sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)  # a thousand rows at most
-    seen, least = 0, 0
+    rows = sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).collect(), reverse=True)  # a thousand rows at most
+    seen, least = 0, None
     for r in rows:
-        seen, least = seen + r.n, r.step
-        if seen >= k:
+        seen += r.n
+        if seen > k:
             break
-    return counts.filter(step >= least).orderBy(F.desc("c"), "word").limit(k).collect()
+        least = r.least
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, c = (batch.column(x).to_numpy() for x in ("word", "c"))
+            yield pa.record_batch({"words": pa.array([word.tobytes()], pa.binary()), "cs": pa.array([c.tobytes()], pa.binary())})
 
-def train(texts: DataFrame, vocabulary: Vocabulary, scratch: Scratch, rounds: int = ROUNDS) -> Gru:
-    """Rounds of training in every partition of (text binary) and of averaging."""
-    spark = texts.sparkSession
+    got = counts.filter(F.col("c") >= least).select("word", "c").mapInArrow(pack, "words binary, cs binary").collect()
+    words = np.concatenate([np.frombuffer(r.words, np.uint64) for r in got])
+    c = np.concatenate([np.frombuffer(r.cs, np.int64) for r in got])
+    order = np.lexsort((words, -c))
+    return words[order], c[order]
+
+
+def train(ids: DataFrame, vocabulary: Vocabulary, scratch: Scratch, rounds: int = ROUNDS) -> Gru:
+    """Rounds of training in every partition of (ids binary, of documents) and of averaging."""
+    spark = ids.sparkSession
     model = Gru(vocabulary)
     for _ in range(rounds):
         start = spark.sparkContext.broadcast((vocabulary, model.flat()))
 
-        def fit(batches: Iterator[pd.DataFrame], start=start) -> Iterator[pd.DataFrame]:
+        def fit(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             voc, flat = start.value
             own, n = Gru(voc, flat), 0
-            for pdf in batches:
-                ids = np.concatenate([np.zeros(1, np.int32), *(voc.encode(tokens_of(text)) for text in pdf["text"])])
-                own.train(ids)
-                n += len(ids)
+            for batch in batches:
+                data, offsets = binary_column(batch.column("ids"))
+                for a, b in _parts(offsets, 2 * TOKENS):
+                    part = data[offsets[a] : offsets[b]].view(np.uint16)
+                    own.train(np.concatenate([np.zeros(1, np.uint16), part]))
+                    n += len(part)
             if n:
-                yield pd.DataFrame({"weights": [(own.flat() * np.float32(n)).tobytes()], "n": [float(n)]})
+                yield pa.record_batch({"weights": pa.array([(own.flat() * np.float32(n)).tobytes()], pa.binary()), "n": pa.array([float(n)])})
 
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total, n = None, 0.0
@@ -289,7 +112,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, scratch: Scratch, rounds: in
                 yield pd.DataFrame({"weights": [total.tobytes()], "n": [n]})
 
         # Averaged as a tree: sixteen to one, until eight are left for the driver.
-        fitted = scratch.table(texts.select("text").mapInPandas(fit, "weights binary, n double"))
+        fitted = scratch.table(ids.select("ids").mapInArrow(fit, "weights binary, n double"))
         left = fitted.count()
         while left > 8:
             left = -(-left // 16)
@@ -301,6 +124,46 @@ def train(texts: DataFrame, vocabulary: Vocabulary, scratch: Scratch, rounds: in
     return model
 
 
+def encoded(base: DataFrame, words: np.ndarray, c: np.ndarray, ends: int) -> DataFrame:
+    """(id, text, training) to rows of ids, sums over words with counts here, and the words without."""
+    shared = base.sparkSession.sparkContext.broadcast((words, c))
+    made: list = []
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not made:
+            keys, counts = shared.value
+            made.extend([HashTable(keys), np.append(np.log10(counts + 1.0), 0.0)])
+        find, logs = made[0].find, made[1]
+        for batch in batches:
+            data, offsets = binary_column(batch.column("text"))
+            for a, b in _parts(offsets, TEXT_BYTES):
+                hashes, n = word_hashes(data, offsets[a : b + 1])
+                at = find(hashes)
+                doc = np.repeat(np.arange(b - a), n)
+                known, beyond = at >= 0, (at < 0) | (at >= MODEL_WORDS)
+                log = logs[at]
+                ids = np.zeros(len(at) + b - a, np.uint16)
+                ids[np.arange(len(at)) + doc] = np.where(beyond, 1, at + 2)
+                bounds = np.concatenate([[0], np.cumsum(n + 1)])
+                rare = np.concatenate([[0], np.cumsum(n - np.bincount(doc[known], minlength=b - a))])
+                yield pa.record_batch(
+                    {
+                        "id": batch.column("id").slice(a, b - a),
+                        "training": batch.column("training").slice(a, b - a),
+                        "n_tokens": n + 1,
+                        "head_known": np.bincount(doc[known], minlength=b - a) + (ends > 0),
+                        "head_sum": np.bincount(doc, log, b - a).astype(float) + math.log10(ends + 1),
+                        "below_sum": np.bincount(doc, log * beyond, b - a).astype(float),
+                        "n_beyond": np.bincount(doc[beyond], minlength=b - a),
+                        "rare": pa.LargeListArray.from_arrays(rare, hashes[~known].view(np.int64)).cast(pa.list_(pa.int64())),
+                        "ids": pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(2 * bounds), pa.py_buffer(ids)]).cast(pa.binary()),
+                    }
+                )
+
+    schema = f"id {base.schema['id'].dataType.simpleString()}, training boolean, n_tokens long, head_known long, head_sum double, below_sum double, n_beyond long, rare array<long>, ids binary"
+    return base.select("id", "text", "training").mapInArrow(encode, schema).withColumn("row", F.monotonically_increasing_id())
+
+
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training: Column | None = None, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
@@ -308,57 +171,39 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     the add-one unigram model's log10 probability, ``score`` the recurrent model's, both with an end token after each
     document. Null counts as empty, and an empty text is its end token. Rows are scored one by one, also if they
     repeat another or have no id; rows where ``training`` is null are not learnt from. Without training rows all
-    counts are zero. Other columns are ignored.
+    counts are zero. Other columns are ignored. Words are told apart by 64 bits of hash (see word_hash).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"), (F.lit(True) if training is None else training).alias("training"))
+    base = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"), F.coalesce(F.lit(True) if training is None else training, F.lit(False)).alias("training"))
     learnt = base.filter("training")
     counts = scratch.table(count_words(learnt))
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = learnt.count()
     n_all, v_all = (total.n or 0) + ends, total.v + (ends > 0)
-    head = frequent_words(counts, COUNT_WORDS)
-    words = [bytes(r.word) for r in head]
-    c = np.array([r.c for r in head], np.int64)
+    words, c = frequent_words(counts, COUNT_WORDS)
     beyond = int((total.n or 0) - c[:MODEL_WORDS].sum())
-    vocabulary = Vocabulary(words[:MODEL_WORDS], c[:MODEL_WORDS], ends, beyond)
-    model = train(learnt, vocabulary, scratch, rounds) if ends else Gru(vocabulary)
+    vocabulary = Vocabulary(c[:MODEL_WORDS], ends, beyond)
+    table = scratch.table(encoded(base, words, c, ends))
+    model = train(table.filter("training"), vocabulary, scratch, rounds) if ends else Gru(vocabulary)
     # Of words beyond the model's, and one more that was never seen.
-    tail_norm = math.log10(beyond + max(0, total.v - MODEL_WORDS) + 1)
-    shared = spark.sparkContext.broadcast((vocabulary, model.flat(), dict(zip(words, np.log10(c + 1.0).tolist()))))
-    end_log = math.log10(ends + 1)
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        voc, flat, logs = shared.value
-        gru = Gru(voc, flat)
-        for pdf in batches:
-            ids = [voc.encode(tokens_of(text)) for text in pdf["text"]]
-            scores = gru.score(ids)
-            for at in range(0, len(pdf), 500):  # lists of rare words are large
-                part, out = pdf.iloc[at : at + 500], []
-                for text, own in zip(part["text"], ids[at : at + 500]):
-                    tokens = tokens_of(text)
-                    got = np.fromiter(map(logs.get, tokens, repeat(-1.0)), np.float64, len(tokens))
-                    known, beyond_model = got >= 0, own[:-1] == 1
-                    rare = Counter([tokens[i] for i in np.flatnonzero(~known).tolist()])
-                    # Counts of words that have counts here but no output of their own.
-                    below = float(got[known & beyond_model].sum())
-                    out.append((len(tokens) + 1, int(known.sum()) + (ends > 0), float(got[known].sum()) + end_log, below, int(beyond_model.sum()), list(rare.items())))
-                frame = pd.DataFrame(out, columns=["n_tokens", "head_known", "head_sum", "below_sum", "n_beyond", "rare"])
-                frame.insert(0, "id", part["id"].to_numpy())
-                frame["gru"] = scores[at : at + 500]
-                yield frame
-
-    table = scratch.table(
-        base.select("id", "text")
-        .mapInPandas(scored, f"id {id_type}, n_tokens long, head_known long, head_sum double, below_sum double, n_beyond long, rare array<struct<word:binary,tf:long>>, gru double")
-        .withColumn("row", F.monotonically_increasing_id())
-    )
-    rare = table.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.tf")
+    tail_norm = math.log10(beyond + total.v - len(c[:MODEL_WORDS]) + 1)
+    shared = spark.sparkContext.broadcast((vocabulary, model.flat()))
+    id_type = docs.schema[id_col].dataType.simpleString()
+    plain = ("id", "n_tokens", "head_known", "head_sum", "below_sum", "n_beyond", "row")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gru = Gru(*shared.value)
+        for batch in batches:
+            data, offsets = binary_column(batch.column("ids"))
+            scores = [gru.score(data[offsets[a] : offsets[b]].view(np.uint16), np.diff(offsets[a : b + 1]) // 2) for a, b in _parts(offsets, 2 * TOKENS)]
+            yield pa.record_batch({**{k: batch.column(k) for k in plain}, "gru": np.concatenate(scores) if scores else np.zeros(0)})
+
+    schema = f"id {id_type}, n_tokens long, head_known long, head_sum double, below_sum double, n_beyond long, row long, gru double"
+    out = table.select(*plain, "ids").mapInArrow(scored, schema)
+    rare = table.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("tf"))
     sums = rare.hint("merge").join(counts, "word").groupBy("row").agg(F.sum("tf").alias("tail_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("tail_sum"))
-    out = table.drop("rare").join(sums, "row", "left").na.fill(0, ["tail_known"]).na.fill(0.0, ["tail_sum"])
+    out = out.join(sums, "row", "left").na.fill(0, ["tail_known"]).na.fill(0.0, ["tail_sum"])
     return out.select(
         F.col("id").alias(id_col),
         "n_tokens",

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from residua.llm import decontamination, exact_dedup, language_model, line_dedup, merge_sort, near_duplicates, packing, quality, simhash, sketch, substring_dedup, suffix_dedup, url_reputation
+from residua.llm import decontamination, exact_dedup, language_model, line_dedup, merge_sort, near_duplicates, packing, quality, recurrent, simhash, sketch, substring_dedup, suffix_dedup, url_reputation, word_hash
 
 WORDS = [a + b for a in ("ba", "to", "ki", "re", "su", "na") for b in ("n", "la", "mi", "sto", "ger", "")]
 
@@ -87,55 +87,147 @@ def test_fingerprints_compose():
 # 2
 
 
-def test_lm_score(spark, corpus):
-    df = frame(spark, corpus)
-    from residua.llm.common import id_crc32
+def plain_log10(gru, ids):
+    """The model's log10 probability of ids, token by token in double precision."""
+    H = recurrent.HIDDEN
+    e, wx, wh, wc, wo = (getattr(gru, k).astype(np.float64) for k in gru.NAMES)
+    starts, h, last, total = gru.v.starts, np.zeros(H), 0, 0.0
+    for w in ids:
+        a, u = wx @ e[last], wh @ np.append(h, 1)
+        r, z = (1 / (1 + np.exp(a[k : k + H] + u[k : k + H])) for k in (0, H))
+        c = np.tanh(a[2 * H :] + r * u[2 * H :])
+        h = z * h + (1 - z) * c
+        k = int(np.searchsorted(starts, w, "right")) - 1
+        for weights, at in ((wc, k), (wo[starts[k] : starts[k + 1]], w - starts[k])):
+            logits = weights @ np.append(h, 1)
+            total += logits[at] - np.log(np.exp(logits).sum())
+        last = w
+    return total / math.log(10)
+
+
+@pytest.mark.parametrize("model_words, count_words, partitions", [(8192, 1 << 18, 3), (10, 20, 1), (3, 0, 4)])
+def test_lm_score(spark, corpus, monkeypatch, model_words, count_words, partitions):
+    """Against plain counts, and the model that was trained against a loop over tokens."""
     from pyspark.sql import functions as F
 
-    found = got(language_model.lm_score(df, training=F.pmod(id_crc32(F.col("doc_id")), F.lit(7)) != 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    tokens = {i: (t or "").encode().lower().split() + [None] for i, t in corpus}
-    counts = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
-    n, v = sum(counts.values()), len(counts)
-    for i, ws in tokens.items():
-        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)
-        assert found[i][:3] == (len(ws), sum(counts[w] > 0 for w in ws), n)
-        assert found[i][3] == pytest.approx(base, rel=1e-9)
-        assert found[i][4] < 0
-    assert sum(x[4] for x in found.values()) > sum(x[3] for x in found.values())
-    assert language_model.lm_score(frame(spark, [])).count() == 0
+    from residua.llm.common import id_crc32
 
+    rows = [*corpus, (200, "w" * 100 + " " + "w" * 101), (201, "Rare\x0bonce\x1cnot split"), (202, "only held out"), (202, "only held out"), (None, "ba to")]
+    monkeypatch.setattr(language_model, "MODEL_WORDS", model_words)
+    monkeypatch.setattr(language_model, "COUNT_WORDS", count_words)
+    made = []
+    train = language_model.train
+    monkeypatch.setattr(language_model, "train", lambda *a: made.append(train(*a)) or made[-1])
+    learnt = F.pmod(id_crc32(F.col("doc_id")), F.lit(7)) != 2
+    out = language_model.lm_score(frame(spark, rows).repartition(partitions), training=learnt).collect()
+    tokens = [(i, (t or "").encode().lower().split() + [None]) for i, t in rows]
+    counts = Counter(w for i, ws in tokens if i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    n, v, ends = sum(counts.values()), len(counts), counts.pop(None)
+    gru = made[0]
+    head = len(gru.v.counts) - 2
+    order = sorted(counts, key=lambda w: (-counts[w], int(word_hash.word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0])))
+    ids = {w: k + 2 for k, w in enumerate(order[:head])} | {None: 0}
+    assert head == (min(model_words, len(counts)) if count_words else 0) or 0 < count_words <= 20
+    tail = sum(counts[w] for w in order[head:]) + len(order[head:]) + 1
+    counts[None] = ends
+    assert Counter(str(r.doc_id) for r in out) == Counter(str(i) for i, _ in rows)
+    found = {r.doc_id: r for r in out}
+    for i, ws in tokens:
+        r = found[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(counts[w] > 0 for w in ws), n)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), rel=1e-9)
+        own = [ids.get(w, 1) for w in ws]
+        below = sum(math.log10((counts[w] + 1) / tail) for w, k in zip(ws, own) if k == 1)
+        assert r.score == pytest.approx(plain_log10(gru, own) + below, rel=1e-4, abs=1e-3)
+    if count_words > 20:
+        assert sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_lm_score_of_nothing(spark):
+    from pyspark.sql import functions as F
 
-def test_lm_is_a_distribution_and_gradients_hold():
-    voc = language_model.Vocabulary([b"a", b"b", b"c", b"d", b"e"], np.array([9, 7, 5, 3, 2]), 4, 6)
-    gru = language_model.Gru(voc)
-    h = np.random.default_rng(0).standard_normal((3, language_model.HIDDEN)).astype(np.float32)
-    total = sum(np.exp(gru.log_probabilities(h, np.full(3, w))) for w in range(len(voc.counts)))
-    assert np.allclose(total, 1, atol=1e-5)
-    docs = [np.array([2, 3, 2, 3, 2, 3, 0], np.int32), np.array([0], np.int32), np.array([2, 3, 2, 3, 0], np.int32)]
-    before = gru.score(docs)
-    one = np.array([gru.score([d])[0] for d in docs])
-    assert np.allclose(before, one, atol=1e-4)
-    gru.train(np.concatenate([np.zeros(1, np.int32), *(docs * 200)]))
-    assert gru.score(docs).sum() > before.sum() / 2
+    assert language_model.lm_score(frame(spark, [])).count() == 0
+    out = language_model.lm_score(frame(spark, [(1, "a b"), (2, None)]), training=F.lit(None).cast("boolean")).collect()
+    assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in out} == {(1, 3, 0, 0, 0.0), (2, 1, 0, 0, 0.0)}
+
+
+def test_word_hashes():
+    rng = random.Random(10)
+    texts = [b"", b" ", *(bytes(rng.choice(b"abAB\t\n \x1c\xc3\xa9") for _ in range(rng.randint(0, 400))) for _ in range(300)), b"x" * 9, b"x" * 70 + b"y", b"x" * 70 + b"z"]
+    offsets = np.cumsum([0, *map(len, texts)])
+    hashes, n = word_hash.word_hashes(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    words = [t.lower().split() for t in texts]
+    assert n.tolist() == list(map(len, words))
+    pairs = set(zip((w for ws in words for w in ws), hashes.tolist()))
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+    keys = np.unique(hashes)[::2]
+    assert word_hash.HashTable(keys).find(hashes).tolist() == [{k: i for i, k in enumerate(keys.tolist())}.get(h, -1) for h in hashes.tolist()]
+
+
+def test_lm_is_a_distribution_and_learns():
+    voc = recurrent.Vocabulary(np.array([9, 7, 5, 3, 2]), 4, 6)
+    gru = recurrent.Gru(voc)
+    h = np.ones((recurrent.HIDDEN + 1, 3), np.float32)
+    h[:-1] = np.random.default_rng(0).standard_normal((recurrent.HIDDEN, 3))
+    assert np.allclose(sum(np.exp(gru.log_probabilities(h, np.full(3, w, np.uint16))) for w in range(len(voc.counts))), 1, atol=1e-5)
+    docs = [np.array(x, np.uint16) for x in ([2, 3, 2, 3, 2, 3, 0], [0], [2, 3, 2, 3, 0])]
+    flat, lengths = np.concatenate(docs), np.array(list(map(len, docs)))
+    before = gru.score(flat, lengths)
+    assert np.allclose(before, [gru.score(d, np.array([len(d)]))[0] for d in docs], atol=1e-4)
+    gru.train(np.concatenate([np.zeros(1, np.uint16), *(docs * 200)]))
+    assert gru.score(flat, lengths).sum() > before.sum() / 2
+
+
+def test_lm_gradients(monkeypatch):
+    """Backpropagation against differences of the loss."""
+    for name, value in (("EMBEDDING", 5), ("HIDDEN", 6), ("WINDOW", 4)):
+        monkeypatch.setattr(recurrent, name, value)
+    rng = np.random.default_rng(1)
+    gru = recurrent.Gru(recurrent.Vocabulary(np.sort(rng.integers(1, 50, 30))[::-1], 7, 9, 4))
+    x, y = rng.integers(0, 32, (2, 4, 8))
+    grads = {}
+    monkeypatch.setattr(gru, "_learn", lambda name, where, grad, sums: grads.update({name: grad}))
+    start = (rng.standard_normal((6, 8)) * 0.3).astype(np.float32)
+    gru._window(x, y, start, None, 8)
+
+    def loss():
+        h, total = np.vstack([start, np.ones((1, 8))]).astype(np.float64), 0.0
+        for t in range(4):
+            h = h.copy()
+            h[:6] *= x[t] != 0
+            gru.step(x[t], h)
+            total -= gru.log_probabilities(h, y[t]).sum()
+        return total / x.size
+
+    for name in gru.NAMES:
+        setattr(gru, name, getattr(gru, name).astype(np.float64))
+    for name, grad in grads.items():
+        weights = getattr(gru, name)
+        for at in zip(*np.unravel_index(np.argsort(-np.abs(grad), axis=None)[:4], grad.shape)):
+            was, ends = weights[at], []
+            for d in (1e-2, -1e-2):
+                weights[at] = was + d
+                ends.append(loss())
+            weights[at] = was
+            assert (ends[0] - ends[1]) / 2e-2 == pytest.approx(grad[at], rel=0.02, abs=1e-4)
 
 
 def test_lm_learns_from_every_token(spark, monkeypatch):
     from residua.llm.common import Scratch
 
-    rng = random.Random(11)
-    texts = ["", "ba", prose(rng, 30), prose(rng, 1009), prose(rng, 5003)]
-    words = sorted({w.encode() for t in texts for w in t.split()})
-    voc = language_model.Vocabulary(words, np.ones(len(words)), len(texts), 0)
-    whole = np.concatenate([np.zeros(1, np.int32), *(voc.encode(t.encode().split()) for t in texts)])
+    rng = np.random.default_rng(11)
+    docs = [np.append(rng.integers(1, 40, n), 0).astype(np.uint16) for n in (0, 1, 30, 1009, 70_003)]
+    whole = np.concatenate([np.zeros(1, np.uint16), *docs])
+    voc = recurrent.Vocabulary(np.arange(40, 0, -1), len(docs), 0)
     learnt = []
-    monkeypatch.setattr(language_model.Gru, "_window", lambda self, x, y, h, sums: learnt.extend(zip(x.ravel().tolist(), y.ravel().tolist())) or h)
-    language_model.Gru(voc).train(whole)
+    monkeypatch.setattr(recurrent.Gru, "_window", lambda self, x, y, h, sums, streams: learnt.extend(zip(x.ravel().tolist(), y.ravel().tolist())) or h)
+    recurrent.Gru(voc).train(whole)
     assert Counter(learnt) == Counter(zip(whole[:-1].tolist(), whole[1:].tolist()))
 
     monkeypatch.undo()
-    own = language_model.Gru(voc)
+    own = recurrent.Gru(voc)
     own.train(whole)
-    rows = spark.createDataFrame([(t.encode(),) for t in texts], "text binary").coalesce(1)
+    rows = spark.createDataFrame([(d.tobytes(),) for d in docs], "ids binary").coalesce(1)
     assert np.allclose(language_model.train(rows, voc, Scratch(spark)).flat(), own.flat(), atol=1e-4)
 
 
