@@ -1,59 +1,25 @@
-"""What the operators of this subpackage share: the scratch folder and small column helpers."""
+"""What the operators of this subpackage share: small column helpers, and the core's scratch tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import Scratch  # noqa: F401
+
 #: The ASCII white space of all contracts: space, tab, LF, VT, FF, CR. It is what bytes.split() splits at.
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder.
-
-    A local session without one (tests) gets a temporary folder; a cluster without one is an error, since
-    a machine's own folder would lose files with the machine.
-    """
-    found = spark.sparkContext.getCheckpointDir()
-    if found is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="residua-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-class Scratch:
-    """Written tables that cut lineage; a lost executor rereads them instead of recomputing."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def path(self) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n}"
-
-    def table(self, df: DataFrame) -> DataFrame:
-        """Writes df and returns the table as read again."""
-        schema = df.schema
-        path = self.path()
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for file in df.inputFiles():
-            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(conf).delete(folder, True)
-            break
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of df has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def ascii_lower(c: Column) -> Column:
@@ -61,6 +27,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def as_text(df: DataFrame, name: str = "id") -> DataFrame:
+    """df with the column as text: pandas would make floats of whole numbers among which there is a null."""
+    return df.withColumn(name, F.col(name).cast("string"))
+
+
 def text_of(c: str) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(c).cast("string"), F.lit(""))

@@ -13,7 +13,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import InitVar, dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 K1, B = 1.2, 0.75
-#: Postings of a block, ranges of items, items of an index. More items are split over several indexes.
-BLOCK, RANGES, INDEX_ITEMS = 16, 32, 50_000
+#: Postings of a block, ranges of items; items and words of an index, which bound what is broadcast, but for a longer item.
+#: More items are split over several indexes.
+BLOCK, RANGES, INDEX_ITEMS, INDEX_WORDS = 16, 32, 50_000, 2_000_000
 SHINGLE = 5
 _WORDS = re.compile(r"\w+")
 
@@ -49,20 +50,34 @@ class Postings:
     block_most: list[float]
 
 
+@dataclass
+class Statistics:
+    """Of all items that have words, however many indexes hold them: number, words, longest item, items of each word."""
+
+    n: int = 0
+    words: int = 0
+    longest: int = 0
+    df: Counter = field(default_factory=Counter)
+
+    def add(self, words: list[str]) -> None:
+        self.n, self.words, self.longest = self.n + 1, self.words + len(words), max(self.longest, len(words))
+        self.df.update(set(words))
+
+
 @dataclass
 class Bm25Index:
-    """Postings by term id, items in the order given."""
+    """Postings by term id, items in the order given. The statistics are not sent along."""
 
     ids: list
     words: list[list[str]]
+    statistics: InitVar[Statistics]
     terms: dict[str, int] = field(default_factory=dict)
     postings: list[Postings] = field(default_factory=list)
 
-    def __post_init__(self) -> None:
+    def __post_init__(self, statistics: Statistics) -> None:
         tfs = [Counter(w) for w in self.words]
-        n = len(tfs)
-        df = Counter(t for tf in tfs for t in tf)
-        mean = sum(map(len, self.words)) / max(1, n) or 1.0
+        n, df = statistics.n, statistics.df
+        mean = statistics.words / max(1, n) or 1.0
         found: dict[str, list[tuple[int, float]]] = {}
         for i, tf in enumerate(tfs):
             size = len(self.words[i])
@@ -71,7 +86,7 @@ class Bm25Index:
             for t, x in own.items():
                 found.setdefault(t, []).append((i, float(x / total)))
         self.bounds = np.zeros((len(found) + 1, RANGES), np.float32)  # the last row is for words of no item
-        self.per_range = max(1, -(-n // RANGES))
+        self.per_range = max(1, -(-len(tfs) // RANGES))
         for t, rows in found.items():
             k = self.terms[t] = len(self.terms)
             blocks = [rows[a : a + BLOCK] for a in range(0, len(rows), BLOCK)]
@@ -79,7 +94,7 @@ class Bm25Index:
             for i, x in rows:
                 r = i // self.per_range
                 self.bounds[k, r] = max(self.bounds[k, r], x)
-        self.longest = max(map(len, self.words), default=0)
+        self.longest = statistics.longest
 
     def wand(self, terms: Sequence[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose impacts over the distinct terms add up to the threshold."""
@@ -184,38 +199,43 @@ def find_contamination(
     """Verified matches: id, item_id, score (BM25 over the item's own), similarity, question_overlap, answer_overlap.
 
     One row per document and item, of the document's best passage. Null and empty texts and items match nothing;
-    null ids are kept; repeated documents or items match each for itself. Items are read in indexes of
-    INDEX_ITEMS, whose size bounds what is broadcast; each more index is one more pass over docs.
+    null ids are kept; repeated documents or items match each for itself. Items are read twice: for the
+    statistics of all of them (a count for each word of the benchmark stays on the driver), then index by index. An index is
+    bounded by INDEX_ITEMS and INDEX_WORDS; each more index is one more pass over docs and changes no result.
     """
     spark = docs.sparkSession
-    item_type = benchmark.schema[item_col].dataType.simpleString()
-    rows = benchmark.select(F.col(item_col).alias("i"), text_of(item_text_col).alias("t")).orderBy("i", "t").toLocalIterator()
-    base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    schema = f"id {base.schema['id'].dataType.simpleString()}, item_id {item_type}, score double, similarity double, question_overlap double, answer_overlap double"
+    kinds = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), text_of(item_text_col).alias("t")).orderBy(benchmark[item_col], "t")
+    statistics = Statistics()
+    for r in items.toLocalIterator():
+        if w := words_of(r.t):
+            statistics.add(w)
+    rows = items.toLocalIterator()
+    base = docs.select(F.col(id_col).cast("string").alias("id"), text_of(text_col).alias("text"))
+    schema = "id string, item_id string, score double, similarity double, question_overlap double, answer_overlap double"
     out = None
     while True:
-        ids, words = [], []
+        ids, words, size = [], [], 0
         for r in rows:
             if w := words_of(r.t):
                 ids.append(r.i)
                 words.append(w)
-            if len(ids) == INDEX_ITEMS:
+                size += len(w)
+            if len(ids) == INDEX_ITEMS or size >= INDEX_WORDS:
                 break
         if not ids and out is not None:
             break
-        index = spark.sparkContext.broadcast(Bm25Index(ids, words))
+        index = spark.sparkContext.broadcast(Bm25Index(ids, words, statistics))
 
         def udf(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             it = index.value
             for pdf in batches:
                 hits = [(key, it.ids[i], *x) for key, text in zip(pdf["id"], pdf["text"]) for i, x in sorted(it.matches(text, threshold, similarity, part_similarity).items())]
-                frame = pd.DataFrame(hits, columns=["id", "item_id", "score", "similarity", "question_overlap", "answer_overlap"])
-                if len(frame):
-                    frame["id"] = frame["id"].astype(pdf["id"].dtype)
-                    yield frame
+                if hits:
+                    yield pd.DataFrame(hits, columns=["id", "item_id", "score", "similarity", "question_overlap", "answer_overlap"])
 
         found = base.mapInPandas(udf, schema)
         out = found if out is None else out.unionByName(found)
-        if len(ids) < INDEX_ITEMS:
+        if len(ids) < INDEX_ITEMS and size < INDEX_WORDS:
             break
-    return out.withColumnRenamed("id", id_col)
+    return out.withColumns({"id": F.col("id").cast(kinds[0]), "item_id": F.col("item_id").cast(kinds[1])}).withColumnRenamed("id", id_col)

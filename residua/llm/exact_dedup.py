@@ -95,8 +95,12 @@ def fingerprints(texts: DataFrame, parallel_bytes: int) -> DataFrame:
         .select("id", "n", "sha", "k", F.expr(f"substring(text, cast(k * {CHUNK} + 1 as int), {CHUNK})").alias("piece"))
         .repartition("id", "sha", "k")
         .select("id", "n", "sha", "k", F.pandas_udf(_chunk_hashes, "h1 long, h2 long, p1 long, p2 long")("piece").alias("h"))
+        # Rows that repeat id and text have the same chunks: they are combined once and come back as often as they were.
+        .groupBy("id", "n", "sha", "k")
+        .agg(F.first("h").alias("h"), F.count(F.lit(1)).alias("copies"))
         .groupBy("id", "n", "sha")
-        .agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("hs"))
+        .agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("hs"), F.max("copies").alias("copies"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     )
 
     def joined(which: int) -> Column:
@@ -104,8 +108,6 @@ def fingerprints(texts: DataFrame, parallel_bytes: int) -> DataFrame:
             "hs", F.lit(0).cast("long"), lambda a, x: F.pmod(a * x["h"][f"p{which + 1}"] + x["h"][f"h{which + 1}"], F.lit(PRIMES[which]))
         )
 
-    # Repeated rows of one huge document add their chunks twice; k tells, so each k counts once.
-    chunks = chunks.withColumn("hs", F.array_distinct("hs"))
     return small.unionByName(chunks.select("id", "n", (F.shiftleft(joined(0), 31).bitwiseOR(joined(1))).alias("fp"), "sha"))
 
 
@@ -152,6 +154,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     moved = collided.select("id", "fp", "n", "sha").distinct().join(own, ["fp", "n", "sha"]).select("id", "sha", "own_keep")
     verdict = claims.join(moved, ["id", "sha"], "left").select("id", F.coalesce("own_keep", "rep").alias("keep_id"), "sha")
     verdict = scratch.table(verdict)
+    scratch.drop(fps, claims, shared)
     sizes = verdict.groupBy("keep_id", "sha").agg(F.count(F.lit(1)).alias("group_size"))
     out = verdict.hint("merge").join(sizes, ["keep_id", "sha"]).select("id", "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), "sha")
     return out.unionByName(no_id).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))

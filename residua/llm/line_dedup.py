@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import Scratch, text_of, unused
+from .url_reputation import url_parts
 
 #: Boilerplate lines, over all hosts, up to which they go to every task; more of them are joined by host.
 BROADCAST_LINES = 20_000
@@ -59,15 +60,27 @@ def dedup_lines(
     """
     scratch = Scratch(docs.sparkSession)
     host = F.col("source") if host is None else host
+    drop, site, own_site, left = unused(docs, "drop", "host", "own_host", "left")
     pages = docs.select(host.cast("string").alias("host"), text_of(text_col).alias("text"))
     found = scratch.table(boilerplate_lines(pages, ratio, min_pages))
-    by_host = found.groupBy("host").agg(F.collect_list("h").alias("__drop")).select(F.col("host").alias("__host"), "__drop")
+    by_host = found.groupBy("host").agg(F.collect_list("h").alias(drop)).select(F.col("host").alias(site), drop)
     if found.count() <= BROADCAST_LINES:
         by_host = F.broadcast(by_host)
-    joined = docs.withColumn("__own_host", host.cast("string")).join(by_host, F.col("__own_host").eqNullSafe(F.col("__host")), "left")
+    joined = docs.withColumn(own_site, host.cast("string")).join(by_host, F.col(own_site).eqNullSafe(F.col(site)), "left")
     lines = lines_of(F.col(text_col).cast("string"))
-    kept = F.filter(lines, lambda x: ~F.array_contains("__drop", _hash(x)))
-    joined = joined.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)), "__kept": F.when(F.col("__drop").isNull(), lines).otherwise(kept)})
-    joined = joined.withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")), "n_removed": F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines") - F.size("__kept"))})
-    text = F.when(F.col(text_col).isNotNull() & (F.col("n_removed") > 0), F.array_join("__kept", "\n")).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, text).drop("__drop", "__host", "__own_host", "__kept")
+    kept = F.filter(lines, lambda x: ~F.array_contains(drop, _hash(x)))
+    joined = joined.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)), left: F.when(F.col(drop).isNull(), lines).otherwise(kept)})
+    joined = joined.withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")), "n_removed": F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines") - F.size(left))})
+    text = F.when(F.col(text_col).isNotNull() & (F.col("n_removed") > 0), F.array_join(left, "\n")).otherwise(F.col(text_col))
+    return joined.withColumn(text_col, text).drop(drop, site, own_site, left)
+
+
+def dedup_page_lines(pages: DataFrame, url_col: str = "url", html_col: str = "html", ratio: float = 0.08, min_pages: int = 5) -> DataFrame:
+    """All columns of pages, ``host``, ``text`` without its host's boilerplate lines, ``n_lines`` and ``n_removed``.
+
+    Columns of these names are replaced. Text is what stands between tags, a line each, trimmed, without empty lines. The host
+    is the url's (see url_reputation); a null url, or one without a host, has the empty host. A null html has a null text.
+    """
+    text = F.regexp_replace(F.regexp_replace(html_col, r"[ \t\n\f\r]*(<[^>]*>[ \t\n\f\r]*)+", "\n"), r"\A\n|\n\z", "")
+    out = pages.withColumns({"host": url_parts(F.col(url_col))[0], "text": text})
+    return dedup_lines(out, "text", F.col("host"), ratio, min_pages)

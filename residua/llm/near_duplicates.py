@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import Scratch, text_of
-from .components import connected_components
 from .simhash import CELLS, TILE, labels_of
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 33

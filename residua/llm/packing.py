@@ -8,6 +8,7 @@ packed again together with what other shards left, until the rest fits one shard
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import Scratch, as_text, text_of
 
 SEQUENCE, END_ID = 4096, 1
 #: Pieces of a shard on average; a shard's result is refilled where a sequence keeps a larger gap than this part of it.
@@ -51,6 +52,17 @@ class Pretokens(dict):
         return got
 
 
+#: The normaliser and pre-tokenizer for which words are encoded one by one. With any other a text is encoded whole.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordIds(dict):
     """Word to its ids. Text between white space is encoded on its own, so a text's ids are its words' ids in a row.
 
@@ -61,6 +73,8 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        self.by_word = made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == PRE_TOKENIZER and made["model"]["type"] == "BPE" and not made["model"]["dropout"]
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pretokens = Pretokens(self.tokenizer.model)
 
@@ -75,6 +89,8 @@ class WordIds(dict):
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a text in UTF-8."""
+        if not self.by_word:
+            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         for cache in (self, self.pretokens):
             if len(cache) > CACHE:
                 cache.clear()
@@ -99,13 +115,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 for k, at in enumerate(range(0, len(data), size * 4)):
                     part = data[at : at + size * 4]
                     out.append((key, k, at // 4, len(part) // 4, zlib.crc32(part), *((part,) if keep_ids else ())))
-            frame = pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32", *(("ids",) if keep_ids else ())])
-            frame["id"] = frame["id"].astype(pdf["id"].dtype)
-            yield frame
+            yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32", *(("ids",) if keep_ids else ())])
 
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"))
-    schema = f"id {base.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return base.mapInPandas(udf, schema)
+    schema = "id string, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    return as_text(base).mapInPandas(udf, schema).withColumn("id", F.col("id").cast(base.schema["id"].dataType))
 
 
 def pack_shard(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,7 +161,8 @@ def pack_pieces(pieces: DataFrame, scratch: Scratch, size: int = SEQUENCE, shard
     """(row, length), row unique, to (row, sequence_id, offset).
 
     Level 0 packs all pieces in shards. Sequences left loose are dissolved and their pieces go to the next
-    level, which has fewer of them and so fewer shards, until a level has one shard.
+    level, which has fewer of them and so fewer shards, until a level has one shard. A level that leaves nearly all
+    of its pieces loose (pieces of which no two fit together, say) is the last one too, and its sequences stay as they are.
     """
     todo = pieces.select("row", "length")
     n = todo.count()
@@ -156,24 +171,23 @@ def pack_pieces(pieces: DataFrame, scratch: Scratch, size: int = SEQUENCE, shard
     while n:
         shards = -(-n // shard_pieces)
         last = shards == 1
-        base = level << 56
+        base = level << 56  # shards stay below 2^24, sequences of a shard below 2^32
 
         def pack(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["length", "row"], ignore_index=True)
             where, offset, gap = pack_shard(pdf["length"].to_numpy(), size)
             loose = (gap > size * LOOSE)[where] if not last else np.zeros(len(pdf), bool)
             ids = base + (int(pdf["shard"].iloc[0]) << 32) + where
-            return pdf[["row", "length"]].assign(sequence_id=np.where(loose, -1, ids), offset=offset)
+            return pdf[["row", "length"]].assign(sequence_id=ids, offset=offset, loose=loose)
 
-        packed = todo.withColumn("shard", _shard_key(shards, level)).groupBy("shard").applyInPandas(pack, "row long, length long, sequence_id long, offset long")
+        packed = todo.withColumn("shard", _shard_key(shards, level)).groupBy("shard").applyInPandas(pack, "row long, length long, sequence_id long, offset long, loose boolean")
         packed = scratch.table(packed)
-        done.append(packed.filter("sequence_id >= 0").select("row", "sequence_id", "offset"))
+        todo, before = packed.filter("loose").select("row", "length"), n
+        n, level = todo.count(), level + 1
+        last = n > before * 0.9
+        done.append(packed.filter(F.lit(last) | ~F.col("loose")).select("row", "sequence_id", "offset"))
         if last:
             break
-        todo, before = packed.filter("sequence_id < 0").select("row", "length"), n
-        n, level = todo.count(), level + 1
-        if n > before * 0.9:  # almost nothing fitted: larger shards would not help either
-            shard_pieces = max(shard_pieces, n)
     out = done[0] if done else pieces.select("row", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).limit(0)
     for more in done[1:]:
         out = out.unionByName(more)

@@ -70,14 +70,18 @@ class QualityModel:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def vote(self, z: np.ndarray) -> np.ndarray:
-        """The share of label 1 among the k nearest labelled vectors, by similarity; 0.5 if there are none."""
+        """The share of label 1 among the k nearest labelled vectors, and what ties with the k-th, by similarity; 0.5 if there are none."""
         n = len(self.labels)
         if not n:
             return np.full(len(z), 0.5)
         s = z @ self.vectors.T
-        near = np.argpartition(-s, self.k - 1, axis=1)[:, : self.k] if self.k < n else np.broadcast_to(np.arange(n), s.shape)
-        w = np.maximum(np.take_along_axis(s, near, 1), 1e-6).astype(np.float64) ** self.power
-        return (w * self.labels[near]).sum(1) / w.sum(1)
+        if self.k < n:
+            # All that are as near as the k-th vote, so that ties need no order.
+            s = np.where(s >= -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1 : self.k], s, 0)
+        rows, near = np.nonzero(s > 0) if self.k < n else np.divmod(np.arange(s.size), n)
+        w = np.maximum(s[rows, near], 1e-6).astype(np.float64) ** self.power
+        total = np.bincount(rows, w, len(s))
+        return np.where(total > 0, np.bincount(rows, w * self.labels[near], len(s)) / np.maximum(total, 1e-300), 0.5)
 
 
 def labelled_sample(labels: DataFrame, id_col: str, label_col: str, usable: Column, per_class: int) -> DataFrame:
@@ -139,8 +143,8 @@ def fit_quality(
     return model
 
 
-def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs and ``quality_score`` (0 to 1; an existing column of that name is replaced).
+def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
+    """All columns of docs and ``score_col`` (0 to 1; an existing column of that name is replaced).
 
     Every text is scored whole, null as empty; repeated rows get equal scores.
     """
@@ -155,4 +159,4 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
                 parts.append(m.vote(m.project(rows)))
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.withColumn("quality_score", F.pandas_udf(udf, "double")(text_of(text_col).cast("binary")))
+    return docs.withColumn(score_col, F.pandas_udf(udf, "double")(text_of(text_col).cast("binary")))

@@ -9,7 +9,7 @@ from .common import id_crc32
 from .decontamination import find_contamination
 from .exact_dedup import exact_dedup
 from .language_model import lm_score
-from .line_dedup import dedup_lines
+from .line_dedup import dedup_lines, dedup_page_lines
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
 from .simhash import simhash_dedup
@@ -36,6 +36,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_lines", "n_removed")
 
 
+def line_dedup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_page_lines(table(spark, sf_dir, "pages")).select("page_id", "host", "text", "n_lines", "n_removed")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -78,7 +82,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_lm_score, op3_line_dedup, op4_substring_dedup, op5_suffix_dedup, op6_quality, op7_decontamination, op8_url_filter, op9_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_lm_score, op3_line_dedup, op4_substring_dedup, op5_suffix_dedup, op6_quality, op7_decontamination, op8_url_filter, op9_packing, op10_simhash, line_dedup_pages)}
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -108,6 +112,40 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, d.source, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.kept, '') END AS text,
                coalesce(t.n_lines, 0)::INT AS n_lines, coalesce(t.n_removed, 0)::INT AS n_removed
         FROM documents d LEFT JOIN texts t ON d.doc_id = t.doc_id""",
+    "line_dedup_pages": r"""
+        WITH p AS (
+            SELECT page_id, html IS NULL AS no_html,
+                translate(regexp_extract(coalesce(url, ''), '(?s)\A.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_replace(regexp_replace(html, '[ \t\n\f\r]*(<[^>]*>[ \t\n\f\r]*)+', chr(10), 'g'), '\A\n|\n\z', '', 'g') AS text
+            FROM pages
+        ), lines AS (
+            SELECT page_id, host, i, line FROM (SELECT page_id, host, string_split(text, chr(10)) AS ls FROM p WHERE NOT no_html), unnest(ls) WITH ORDINALITY AS u(line, i)
+        ), sites AS (
+            SELECT host, count(*) AS pages FROM p GROUP BY host
+        ), bad AS (
+            SELECT host, line FROM lines JOIN sites USING (host) WHERE trim(line, ' ') <> ''
+            GROUP BY host, line, pages HAVING count(DISTINCT page_id) > 0.08 * pages AND count(DISTINCT page_id) >= 5
+        ), texts AS (
+            SELECT page_id, string_agg(l.line, chr(10) ORDER BY i) FILTER (WHERE b.line IS NULL) AS kept, count(*) AS n_lines, count(b.line) AS n_removed
+            FROM lines l LEFT JOIN bad b ON l.line = b.line AND l.host = b.host GROUP BY page_id
+        )
+        SELECT p.page_id, p.host, CASE WHEN no_html THEN NULL ELSE coalesce(kept, '') END AS text, coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_removed, 0)::INT AS n_removed
+        FROM p LEFT JOIN texts USING (page_id)""",
+    "op4_substring_dedup": r"""
+        WITH words AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+        ), windows AS (
+            SELECT doc_id, p, array_to_string(ws[p:p + 49], ' ') AS w FROM words, unnest(range(1, len(ws) - 48)) AS u(p)
+        ), firsts AS (
+            SELECT hash(w) AS a, md5_number(w) AS b, min(doc_id) AS first FROM windows GROUP BY 1, 2 HAVING min(doc_id) < max(doc_id)
+        ), gone AS (
+            SELECT DISTINCT doc_id, k FROM windows JOIN firsts ON hash(w) = a AND md5_number(w) = b AND doc_id > first, unnest(range(p, p + 50)) AS v(k)
+        ), lists AS (
+            SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id
+        )
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_removed,
+               sha256(array_to_string(CASE WHEN ks IS NULL THEN ws ELSE list_filter(ws, lambda w, i: NOT list_contains(ks, i)) END, ' ')) AS kept_sha256
+        FROM words LEFT JOIN lists USING (doc_id)""",
     "op8_url_filter": r"""
         WITH p AS (
             SELECT page_id,

@@ -16,15 +16,16 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import Scratch, text_of
-from .components import connected_components
 
 SEED = 42
-#: Rows of a block at least, blocks at most (their boxes go to every task), rows of a tile.
-BLOCK_ROWS, MAX_BLOCKS, TILE = 1 << 16, 2000, 256
+#: Rows of a block on average, rows of a tile. A block's box of sixteen bytes goes to every task.
+BLOCK_ROWS, TILE = 1 << 16, 256
 #: Cells of one exclusive-or.
 CELLS = 1 << 20
 
@@ -118,16 +119,16 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
 def fingerprint_links(fps: DataFrame, n: int, radius: int, scratch: Scratch) -> DataFrame:
     """Distinct fingerprints (fp), n of them, to links (u, v) that connect what lies within the radius."""
     key = F.concat(*(F.hex(F.bit_count(F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255)))) for k in range(8)))
-    ranged = fps.withColumn("key", key).repartitionByRange(max(1, min(MAX_BLOCKS, -(-n // BLOCK_ROWS))), "key", "fp").sortWithinPartitions("key", "fp")
+    ranged = fps.withColumn("key", key).repartitionByRange(max(1, -(-n // BLOCK_ROWS)), "key", "fp").sortWithinPartitions("key", "fp")
 
     def pack(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [x["fp"].to_numpy(np.int64) for x in rows]
         if parts and len(all_fps := np.concatenate(parts).view(np.uint64)):
             pops = byte_counts(all_fps)
-            yield pd.DataFrame({"block": [int(all_fps[0]) % (1 << 62)], "low": [pops.min(0).tobytes()], "high": [pops.max(0).tobytes()], "fps": [all_fps.tobytes()]})
+            yield pd.DataFrame({"block": [TaskContext.get().partitionId()], "low": [pops.min(0).tobytes()], "high": [pops.max(0).tobytes()], "fps": [all_fps.tobytes()]})
 
     blocks = scratch.table(ranged.select("fp").mapInPandas(pack, "block long, low binary, high binary, fps binary"))
-    boxes = sorted(blocks.select("block", "low", "high").collect())  # MAX_BLOCKS rows at most, by the number of partitions
+    boxes = sorted(blocks.select("block", "low", "high").collect())  # a row a block
     names = np.array([x.block for x in boxes], np.int64)
     low, high = (np.array([list(x[k]) for x in boxes], np.int16).reshape(-1, 8) for k in ("low", "high"))
 

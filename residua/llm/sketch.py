@@ -2,7 +2,8 @@
 
 Partitions send the cells they touch, sorted, each twice at most; every shard of cells is added up by one task,
 saturating at two. What is left is one bit a cell: reached twice or more. A key that occurs twice finds all its
-bits set; a key that occurs once finds them set only if every cell is shared.
+bits set; a key that occurs once finds them set only if every cell is shared. All cells of a key lie in one shard. So
+a sketch of any size serves: a small one goes to every task, of a larger one each shard meets the keys that belong to it.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 DEPTH, SHARD_BITS = 2, 20
-#: log2 of cells in a row, at most: the broadcast has DEPTH * 2^(28 - 3) bytes, 64 MB.
+#: log2 of the cells of a row, at least, and of the largest sketch that is broadcast: DEPTH * 2^(28 - 3) bytes, 64 MB.
 LEAST_BITS, MOST_BITS = 16, 28
+#: A shard of more than so many times the mean keys is dealt to several tasks.
+UNEVEN = 4
 
 
 def sketch_bits(keys: float, spare: int = 8) -> int:
@@ -26,9 +29,13 @@ def sketch_bits(keys: float, spare: int = 8) -> int:
     return int(max(LEAST_BITS, np.ceil(np.log2(max(1.0, spare * keys)))))
 
 
-def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
-    """A row's cell of each key (uint64, spread over all bits)."""
-    return (keys >> np.uint64(64 - bits)) if row == 0 else ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits))
+def cells(keys: np.ndarray, row: int, bits: int, inside: int) -> np.ndarray:
+    """A row's cell of each key (uint64, spread over all bits): the shard by the key's first bits, in it one of 2^inside by the row."""
+    first = keys >> np.uint64(64 - bits)
+    if row == 0:
+        return first
+    other = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - inside)
+    return (first >> np.uint64(inside) << np.uint64(inside)) | other
 
 
 def packed(a: np.ndarray) -> bytes:
@@ -43,40 +50,40 @@ def unpacked(data: bytes) -> np.ndarray:
 class Sketch:
     """The merged bits; ``twice`` tells which keys may have been counted twice."""
 
-    def __init__(self, bits: int, rows: list[bytes]):
-        self.bits, self.rows = bits, [np.frombuffer(r, np.uint8) for r in rows]
+    def __init__(self, bits: int, inside: int, rows: list[bytes]):
+        self.bits, self.inside, self.rows = bits, inside, [np.frombuffer(r, np.uint8) for r in rows]
 
     def __reduce__(self):
-        return Sketch, (self.bits, [r.tobytes() for r in self.rows])
+        return Sketch, (self.bits, self.inside, [r.tobytes() for r in self.rows])
 
     def twice(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), bool)
+        """Also of one shard of a sketch, for the keys that belong to it."""
+        out, place = np.ones(len(keys), bool), np.uint64(8 * len(self.rows[0]) - 1)
         for row, bitmap in enumerate(self.rows):
-            c = cells(keys, row, self.bits)
+            c = cells(keys, row, self.bits, self.inside) & place
             out &= (bitmap[(c >> np.uint64(3)).astype(np.int64)] >> (c & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return out
 
 
-def build_sketch(texts: DataFrame, keys_of: Callable[[bytes], np.ndarray], bits: int) -> Sketch:
-    """texts has one binary column ``text``; keys_of gives the keys that a text counts, each as often as it counts.
+def merged_shards(texts: DataFrame, keys_of: Callable[[bytes], np.ndarray], bits: int) -> DataFrame:
+    """(shard, row0, row1 binary): the sketch's bits. texts has one binary column ``text``; keys_of gives the keys that a
+    text counts, each as often as it counts.
 
     A batch sends at most two counts a cell, so a key that fills a batch is no larger message than any other.
     """
-    shards = 1 << max(0, bits - SHARD_BITS)
-    width = 1 << min(bits, SHARD_BITS)
+    inside = min(bits, SHARD_BITS)
+    width = 1 << inside
 
     def touch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def flush(found: list[np.ndarray]) -> pd.DataFrame:
+        def flush(found: list[np.ndarray]) -> Iterator[pd.DataFrame]:
             keys = np.concatenate(found)
-            out = []
             for row in range(DEPTH):
-                c = np.sort(cells(keys, row, bits).astype(np.uint32))
+                c = np.sort(cells(keys, row, bits, inside))
                 c = c[np.concatenate([np.ones(min(2, len(c)), bool), c[2:] != c[:-2]])]  # at most two of a cell
-                edges = np.searchsorted(c, np.arange(shards + 1, dtype=np.uint64) * width)
-                for s in range(shards):
-                    if edges[s] < edges[s + 1]:
-                        out.append((row * shards + s, packed(c[edges[s] : edges[s + 1]])))
-            return pd.DataFrame(out, columns=["shard", "cells"])
+                shard = (c // np.uint64(width)).astype(np.int64)
+                starts = np.flatnonzero(np.diff(shard, prepend=-1))
+                places = (c & np.uint64(width - 1)).astype(np.uint32)
+                yield pd.DataFrame({"shard": shard[starts], "row": row, "cells": [packed(x) for x in np.split(places, starts[1:])]})
 
         found, n = [], 0
         for pdf in batches:
@@ -86,29 +93,76 @@ def build_sketch(texts: DataFrame, keys_of: Callable[[bytes], np.ndarray], bits:
                     found.append(k)
                     n += len(k)
                 if n > 1 << 21:
-                    yield flush(found)
+                    yield from flush(found)
                     found, n = [], 0
         if found:
-            yield flush(found)
+            yield from flush(found)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[int, np.ndarray] = {}
+        now, have = None, None
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame({"shard": [now], **{f"row{k}": [np.packbits(x >= 2, bitorder="little").tobytes()] for k, x in enumerate(have)}})
+
         for pdf in batches:
-            for shard, data in zip(pdf["shard"], pdf["cells"]):
-                have = counts.setdefault(shard, np.zeros(width, np.uint8))
-                c = (unpacked(data) & np.uint32(width - 1)).astype(np.int64)
+            for shard, row, data in zip(pdf["shard"], pdf["row"], pdf["cells"]):
+                if shard != now:
+                    if now is not None:
+                        yield out()
+                    now, have = shard, np.zeros((DEPTH, width), np.uint8)
+                c = unpacked(data)
                 first = np.concatenate([[True], c[1:] != c[:-1]])
-                have[c[first]] = np.minimum(have[c[first]] + 1, 2)
-                have[c[~first]] = 2
-        for shard, have in counts.items():
-            yield pd.DataFrame({"shard": [shard], "bits": [np.packbits(have >= 2, bitorder="little").tobytes()]})
+                own = have[row]
+                own[c[first]] = np.minimum(own[c[first]] + 1, 2)
+                own[c[~first]] = 2
+        if now is not None:
+            yield out()
 
-    merged = texts.select("text").mapInPandas(touch, "shard int, cells binary").repartition(F.col("shard")).mapInPandas(add, "shard int, bits binary")
+    sent = texts.select("text").mapInPandas(touch, "shard long, row int, cells binary")
+    return sent.repartition(F.col("shard")).sortWithinPartitions("shard").mapInPandas(add, "shard long, row0 binary, row1 binary")
+
+
+def build_sketch(texts: DataFrame, keys_of: Callable[[bytes], np.ndarray], bits: int) -> Sketch:
+    """The whole sketch on the driver, for a broadcast."""
+    width = 1 << min(bits, SHARD_BITS)
     rows = [bytearray(1 << (bits - 3)) for _ in range(DEPTH)]
-    for r in merged.toLocalIterator():  # DEPTH * 2^bits bits in all
-        row, s = divmod(r.shard, shards)
-        rows[row][s * width // 8 : (s + 1) * width // 8] = r.bits
-    return Sketch(bits, [bytes(r) for r in rows])
+    for r in merged_shards(texts, keys_of, bits).toLocalIterator():  # DEPTH * 2^bits bits in all
+        for k in range(DEPTH):
+            rows[k][r.shard * width // 8 : (r.shard + 1) * width // 8] = r[f"row{k}"]
+    return Sketch(bits, min(bits, SHARD_BITS), [bytes(r) for r in rows])
+
+
+def estimated_twice(pairs: DataFrame, shards: DataFrame, bits: int) -> DataFrame:
+    """(id string, key) to those whose key the sketch estimates at two or more: keys go to the task that has their shard.
+
+    Of a shard with far more keys than others (a key of very many documents is in it) each of several tasks has a copy.
+    """
+    inside = min(bits, SHARD_BITS)
+    shard = F.shiftrightunsigned("key", 64 - bits + inside) if bits > inside else F.lit(0).cast("long")
+    keyed = pairs.withColumn("shard", shard)
+    sizes = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    mean = sizes.agg(F.avg("n")).first()[0] or 1.0
+    # A quarter of the shards at most.
+    hot = F.broadcast(sizes.filter(F.col("n") > UNEVEN * mean).select("shard", F.ceil(F.col("n") / mean).cast("long").alias("copies")))
+    copies = F.coalesce("copies", F.lit(1).cast("long"))
+    keys = keyed.join(hot, "shard", "left").select("shard", F.pmod(F.xxhash64("id"), copies).alias("copy"), F.lit(1).alias("kind"), "id", "key", F.lit(None).cast("binary").alias("row0"), F.lit(None).cast("binary").alias("row1"))
+    tables = shards.join(hot, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("id"), F.lit(0).cast("long").alias("key"), "row0", "row1")
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sketch = None
+        for pdf in batches:
+            kinds = pdf["kind"].to_numpy()
+            cuts = np.unique(np.concatenate([np.flatnonzero(kinds == 0), [0, len(pdf)]]))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                part = pdf.iloc[a:b]
+                if kinds[a] == 0:
+                    sketch = Sketch(bits, inside, [part["row0"].iloc[0], part["row1"].iloc[0]])
+                    part = part.iloc[1:]
+                if len(part):
+                    yield part[["id", "key"]][sketch.twice(part["key"].to_numpy(np.int64).view(np.uint64))]
+
+    both = tables.unionByName(keys).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind")
+    return both.mapInPandas(test, "id string, key long")
 
 
 class Prefilter:
@@ -127,26 +181,24 @@ class Prefilter:
 def prefilter(base: DataFrame, keys_of: Callable[[bytes], np.ndarray], keys: float, scratch: Scratch) -> tuple[DataFrame, Prefilter]:
     """(id, text) to the same with a column ``shared`` for the Prefilter.
 
-    Up to MOST_BITS the sketch goes to every task. Of more keys (``keys`` is about their number) the sketch would be too
-    large to send or too full to tell anything; then the keys themselves are counted in a shuffle, of some sixteen bytes a key,
-    and each document gets back those of its own that were counted twice.
+    The sketch grows with the keys (``keys`` is about their number). Up to MOST_BITS it goes to every task. A larger one
+    stays a table of shards in the shared folder: the keys go to it, some sixteen bytes each, and each document gets back those
+    of its own that are estimated at two or more. Both ways ask the same bits.
     """
     bits = sketch_bits(keys)
     if bits <= MOST_BITS:
         made = build_sketch(base, keys_of, bits)
         return base.withColumn("shared", F.lit(None).cast("array<long>")), Prefilter(base.sparkSession.sparkContext.broadcast(made))
-    id_type = base.schema["id"].dataType.simpleString()
+    kind = base.schema["id"].dataType
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key, text in zip(pdf["id"], pdf["text"]):
-                k, n = np.unique(keys_of(text), return_counts=True)
-                if len(k):
-                    frame = pd.DataFrame({"id": [key] * len(k), "key": k.view(np.int64), "n": np.minimum(n, 2).astype(np.int32)})
-                    frame["id"] = frame["id"].astype(pdf["id"].dtype)
-                    yield frame
-
-    pairs = scratch.table(base.select("id", "text").mapInPandas(emit, f"id {id_type}, key long, n int"))
-    twice = pairs.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
-    own = pairs.hint("merge").join(twice, "key").groupBy(F.col("id").alias("own_id")).agg(F.collect_set("key").alias("shared"))
+            found = [np.unique(keys_of(text)) for text in pdf["text"]]
+            own = pdf["id"].take(np.repeat(np.arange(len(found)), list(map(len, found))))
+            if len(own):
+                yield pd.DataFrame({"id": own.reset_index(drop=True), "key": np.concatenate(found).view(np.int64)})
+
+    shards = scratch.table(merged_shards(base, keys_of, bits))
+    pairs = scratch.table(base.select(F.col("id").cast("string").alias("id"), "text").mapInPandas(emit, "id string, key long"))
+    own = estimated_twice(pairs, shards, bits).groupBy(F.col("id").cast(kind).alias("own_id")).agg(F.collect_set("key").alias("shared"))
     return base.join(own, F.col("id").eqNullSafe(F.col("own_id")), "left").drop("own_id"), Prefilter()

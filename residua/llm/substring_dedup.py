@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import covered, key_runs, prefix_sums, span_hash, window_keys
-from .common import Scratch, text_of
+from .common import Scratch, as_text, text_of
 from .sketch import prefilter
 
 WINDOW = 50
@@ -53,7 +53,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other. A null id is larger than all others, and rows without an id don't remove from each other. An empty table gives an empty table; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    id_type = docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     base, filtered = prefilter(base, _document_keys(window), size * KEYS_PER_BYTE, scratch)
@@ -80,7 +80,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield frame
 
     scanned = scratch.table(
-        base.mapInPandas(scan, f"id {id_type}, n_words long, runs array<struct<key:long,c1:long,c2:long,start:long,n:long>>, words binary").withColumn("row", F.monotonically_increasing_id())
+        as_text(base)
+        .mapInPandas(scan, "id string, n_words long, runs array<struct<key:long,c1:long,c2:long,start:long,n:long>>, words binary")
+        .withColumns({"id": F.col("id").cast(kind), "row": F.monotonically_increasing_id()})
     )
     # Numbers stand for ids, so that null ids have an order: by id, nulls last.
     runs = scanned.select("row", "id", F.explode("runs").alias("r")).select("row", "id", "r.*")
@@ -100,14 +102,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 words = text.split()
                 at = np.concatenate([np.arange(s["start"], s["start"] + s["n"]) for s in spans])
                 h = [_signed(span_hash(prefix_sums(word_symbols(words, w), w), at, at + window, w)) for w in (0, 1)]
-                frame = pd.DataFrame({"row": row, "id": key, "start": at, "w1": h[0], "w2": h[1]})
-                frame["id"] = frame["id"].astype(pdf["id"].dtype)
-                yield frame
+                yield pd.DataFrame({"row": row, "id": key, "start": at, "w1": h[0], "w2": h[1]})
 
     # A document without a run of windows that may be repeated loses nothing, so its text is never moved.
     may_lose = F.size("runs") > 0
-    opened = scanned.filter(may_lose).select("row", "id", "words").join(by_row, "row").mapInPandas(windows, f"row long, id {id_type}, start long, w1 long, w2 long")
-    opened = scratch.table(opened)
+    opened = as_text(scanned.filter(may_lose).select("row", "id", "words").join(by_row, "row")).mapInPandas(windows, "row long, id string, start long, w1 long, w2 long")
+    opened = scratch.table(opened.withColumn("id", F.col("id").cast(kind)))
     least = opened.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     single = opened.hint("merge").join(least, ["w1", "w2"]).filter(later).select("row", "start", F.lit(1).cast("long").alias("n"))
     hits = whole.unionByName(single).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
@@ -128,6 +128,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pd.DataFrame({"id": pdf["id"], "n_words": pdf["n_words"], "n_removed": removed, "kept_text": kept})
 
     out = scanned.filter(may_lose).select("row", "id", "n_words", "words").join(hits, "row", "left").select("id", "n_words", "words", "gone")
-    out = out.mapInPandas(cut, f"id {id_type}, n_words long, n_removed long, kept_text binary")
+    out = as_text(out).mapInPandas(cut, "id string, n_words long, n_removed long, kept_text binary").withColumn("id", F.col("id").cast(kind))
     out = out.unionByName(scanned.filter(~may_lose).select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("words").alias("kept_text")))
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept_text").cast("string").alias("kept_text"))

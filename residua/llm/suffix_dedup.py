@@ -17,23 +17,27 @@ from __future__ import annotations
 import struct
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import covered, key_runs, mixed, prefix_sums, sliding_min, span_hash
-from .common import Scratch, text_of
+from .common import Scratch, as_text, text_of
 from .merge_sort import front_coded, front_decoded, merge
 from .sketch import prefilter
 
 WINDOW = 100
-#: Windows of a record, records of a run and of a block, bytes and number of sampled block heads.
-RECORD_WINDOWS, RUN_RECORDS, BLOCK_RECORDS, SAMPLE = 128, 100_000, 1000, 20_000
-#: Records of a range, about.
-RANGE_RECORDS = 60_000
+#: Windows of a record, records of a run and of a block.
+RECORD_WINDOWS, RUN_RECORDS, BLOCK_RECORDS = 128, 100_000, 1000
+#: Records of a range, about; sampled block heads (four a range at least) and their bytes, which bound what is collected.
+RANGE_RECORDS, SAMPLE, HEAD = 60_000, 200_000, 64
+#: Distinct records of one gram that a task compares at once.
+GROUP_RECORDS = 10_000
 #: Bytes that are worked on at once.
 SEGMENT = 1 << 20
 _SYMBOLS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -157,7 +161,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     last = r[0]
                 elif r[1:3] != first[-1][1:3]:
                     gone.append(r)
-            run = xxhash.xxh64_intdigest(repr(found[0])) >> 1
+            run = TaskContext.get().partitionId() << 32 | next(numbers)
             for k in range(0, len(first), BLOCK_RECORDS):
                 part = first[k : k + BLOCK_RECORDS]
                 yield pd.DataFrame([{"run": run, "seq": k, "head": part[0][0], **_block(part), "gone_ids": [], "gone_at": b"", "gone_n": b""}])
@@ -166,6 +170,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pd.DataFrame([{"run": run, "seq": -1, "head": None, **_block([]), "gone_ids": [r[1] for r in part], "gone_at": np.array([r[2] for r in part], "<i8").tobytes(), "gone_n": np.array([r[3] for r in part], "<u2").tobytes()}])
 
         found: list[tuple] = []
+        numbers = count()
         for pdf in batches:
             for key, text, shared in zip(pdf["id"].tolist(), pdf["text"], pdf["shared"]):
                 found += [(s, key, at, n, own) for s, at, n, own in records(text, window, filtered.of(shared))]
@@ -178,8 +183,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = scratch.table(named.mapInPandas(sort, f"run long, seq long, head binary, {block}, gone_ids array<{id_type}>, gone_at binary, gone_n binary"))
     blocks = runs.filter("seq >= 0")
     n_blocks = blocks.count()
-    n_ranges = max(1, n_blocks * BLOCK_RECORDS // RANGE_RECORDS)
-    heads = sorted(bytes(r.head) for r in blocks.select("head").orderBy(F.xxhash64("run", "seq")).limit(SAMPLE).collect())
+    n_ranges = max(1, min(n_blocks * BLOCK_RECORDS // RANGE_RECORDS, SAMPLE // 4))
+    heads = sorted(bytes(r.head) for r in blocks.select(F.expr(f"substring(head, 1, {HEAD})").alias("head")).orderBy(F.xxhash64("run", "seq")).limit(SAMPLE).collect())
     splitters = [heads[len(heads) * k // n_ranges] for k in range(1, n_ranges)] if heads else []
 
     def cut_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,7 +214,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def one_range(by_run: dict[int, list]) -> Iterator[pd.DataFrame]:
             hits, edge = _Hits(), []
             group: list[list] = []  # [string, id, start, n, own] of the distinct records of one gram, earliest of each
-            first_group = True
+            first_group, split = True, False
+
+            def edges_out() -> Iterator[pd.DataFrame]:
+                for k in range(0, len(edge), 50_000):
+                    yield pd.DataFrame(edge[k : k + 50_000], columns=["w", "id", "start"])
+                edge.clear()
 
             def resolve(at_edge: bool) -> None:
                 if not group or len(group) == 1 and not group[0][4] and not at_edge:
@@ -235,18 +245,22 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     elif (key, start) != (best[1], best[2]):
                         hits.add(key, start, n)
                     continue
-                if group and lcp < gram:
-                    resolve(first_group)
-                    first_group = False
+                if (group or split) and lcp < gram:
+                    resolve(first_group or split)
+                    first_group = split = False
                     group = []
                 group.append([s, key, start, n, own])
+                if len(group) >= GROUP_RECORDS:  # a gram of very many texts: parts of it meet as ranges do
+                    resolve(True)
+                    group, split = [], True
                 if len(hits.rows) > 50_000:
                     yield hits.frame()
+                if len(edge) > 200_000:
+                    yield from edges_out()
             resolve(True)
             if hits.rows:
                 yield hits.frame()
-            for k in range(0, len(edge), 50_000):
-                yield pd.DataFrame(edge[k : k + 50_000], columns=["w", "id", "start"])
+            yield from edges_out()
 
         def shaped(frame: pd.DataFrame) -> pd.DataFrame:
             if "w" not in frame:
@@ -295,5 +309,5 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             frame.insert(0, "id", pdf["id"])
             yield frame
 
-    out = base.join(by_doc, "id", "left").mapInPandas(cut, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    out = as_text(base.join(by_doc, "id", "left")).mapInPandas(cut, "id string, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")

@@ -68,6 +68,12 @@ def test_exact_dedup_repeats_and_nulls(spark):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
 
 
+def test_exact_dedup_of_repeated_huge_rows(spark):
+    big = "ab " * 200_000
+    out = exact_dedup.exact_dedup(frame(spark, [(1, big), (1, big), (2, big), (3, "c")])).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in out) == [(1, 1, 3, True), (1, 1, 3, True), (2, 1, 3, False), (3, 3, 1, True)]
+
+
 def test_collisions_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "fingerprints", lambda texts, _: texts.selectExpr("id", "length(text) * 0L as n", "0L as fp", "sha"))
     out = got(exact_dedup.exact_dedup(frame(spark, [(1, "a"), (2, "b"), (3, "b"), (4, "a")])), "keep_id", "group_size")
@@ -245,6 +251,22 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_with_clashing_names_and_ties(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(i, "a\nb" if i < 5 else "b", 1, 2, 3, 4, "left") for i in range(10)], "doc_id long, text string, drop int, host int, own_host int, n_lines int, left string")
+    out = line_dedup.dedup_lines(rows, host=F.lit("h"), ratio=0.5, min_pages=1)
+    assert out.columns == [*rows.columns, "n_removed"]
+    # Exactly at the ratio a line stays.
+    assert got(out, "text", "drop", "host", "own_host", "left", "n_lines") == {i: ("a" if i < 5 else "", 1, 2, 3, "left", 2 if i < 5 else 1) for i in range(10)}
+
+
+def test_line_dedup_of_pages(spark):
+    rows = [(i, f"http://h{i % 2}.org/{i}", f"<ul><li>menu {i % 2}</li></ul><p>own {i}</p>") for i in range(20)] + [(30, None, None), (31, "no url", "<p>x")]
+    out = line_dedup.dedup_page_lines(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: (r.host, r.text, r.n_lines, r.n_removed) for r in out} == {i: (f"h{i % 2}.org", f"own {i}", 2, 1) for i in range(20)} | {30: ("", None, 0, 0), 31: ("", "x", 1, 0)}
+
+
 # 4
 
 
@@ -280,6 +302,32 @@ def test_suffix_dedup(spark, corpus):
     assert suffix_dedup.suffix_dedup(frame(spark, [])).count() == 0
 
 
+def test_suffix_dedup_of_repeated_rows(spark, monkeypatch):
+    """Runs of several partitions that start with the same record, and one gram in many texts."""
+    rng = random.Random(13)
+    shared = [prose(rng, 60) for _ in range(30)]
+    first = "\0" * 300 + prose(rng, 90)  # its record sorts before all others
+    common = "c" + prose(rng, 12)[:60]
+    rows = [(i, prose(rng, 40) + shared[i] + prose(rng, 40)) for i in range(30)] + [(100 + i, prose(rng, 40) + shared[i] + prose(rng, 40)) for i in range(30)]
+    rows += [(200 + i, common + prose(rng, 30)) for i in range(25)] + [(300, first)] * 3 + [(301, first)]
+    df = spark.createDataFrame([(i, t, k % 3) for k, (i, t) in enumerate(rows)], "doc_id long, text string, p int").repartitionByRange(3, "p")
+    seen, expected = {}, {}
+    for i, t in dict(rows).items():
+        b = t.encode()
+        for p in range(len(b) - 99):
+            seen.setdefault(b[p : p + 100], (i, p))
+    for i, t in dict(rows).items():
+        b, gone = t.encode(), bytearray(len(t.encode()))
+        for p in range(len(b) - 99):
+            if seen[b[p : p + 100]] != (i, p):
+                gone[p : p + 100] = b"\1" * 100
+        expected[i] = sum(gone)
+    for records in (10_000, 4):
+        monkeypatch.setattr(suffix_dedup, "GROUP_RECORDS", records)
+        out = suffix_dedup.suffix_dedup(df).collect()
+        assert len(out) == len(rows) and {(r.doc_id, r.n_removed) for r in out} == set(expected.items())
+
+
 def test_suffix_dedup_with_small_ranges(spark, corpus, monkeypatch):
     whole = got(suffix_dedup.suffix_dedup(frame(spark, corpus)), "n_removed")
     for name in ("BLOCK_RECORDS", "RANGE_RECORDS"):
@@ -304,6 +352,21 @@ def test_merge_of_front_coded_runs():
     assert list(merge_sort.merge([])) == []
 
 
+def test_large_ids_beside_null_ids(spark, corpus):
+    """No operator takes ids through floats."""
+    from residua.llm.queries import tokenizer_path
+
+    big = (1 << 62) + 1
+    rows = [(None, corpus[3][1]), (big, corpus[3][1]), (big + 2, corpus[3][1] + " x")]
+    bench = spark.createDataFrame([(None, corpus[3][1]), (big, corpus[3][1])], "item_id long, text string")
+    df = frame(spark, rows).coalesce(1)
+    ids = {None, big, big + 2}
+    for out in (exact_dedup.exact_dedup(df), language_model.lm_score(df), line_dedup.dedup_lines(df), substring_dedup.substring_dedup(df), suffix_dedup.suffix_dedup(df), decontamination.find_contamination(df, bench.coalesce(1)), packing.pack_documents(df, tokenizer_path()), simhash.simhash_dedup(df)):
+        assert {r.doc_id for r in out.collect()} == ids
+    assert {r.item_id for r in decontamination.find_contamination(df, bench.coalesce(1)).collect()} == {None, big}
+    assert {r.doc_id for r in near_duplicates.near_duplicate_groups(df).collect()} == {big, big + 2}
+
+
 def test_prefilter_without_a_sketch(spark, corpus, monkeypatch):
     rows = frame(spark, [r for r in corpus if r[0] != 105] + [(None, corpus[3][1])])
     words, spans = got(substring_dedup.substring_dedup(rows), "n_removed"), got(suffix_dedup.suffix_dedup(rows), "n_removed")
@@ -312,6 +375,30 @@ def test_prefilter_without_a_sketch(spark, corpus, monkeypatch):
     assert got(suffix_dedup.suffix_dedup(rows), "n_removed") == spans
 
 
+def test_a_sketch_in_shards_tells_the_same(spark, monkeypatch):
+    """Every key that occurs twice passes, the others mostly don't, whether the sketch goes to the keys or the keys to its shards."""
+    from residua.llm.common import Scratch
+
+    rng = np.random.default_rng(14)
+    keys = rng.integers(0, 1 << 63, 3000, np.uint64) * np.uint64(2)
+    docs = [np.concatenate([keys[k::60], keys[:40]]) for k in range(60)]  # the first forty are in all documents
+    base = spark.createDataFrame([(i if i % 7 else None, d.tobytes()) for i, d in enumerate(docs)], "id long, text binary")
+    keys_of = lambda t: np.frombuffer(t, np.uint64)
+    monkeypatch.setattr(sketch, "SHARD_BITS", 11)
+    found = {}
+    for most in (28, 1):
+        monkeypatch.setattr(sketch, "MOST_BITS", most)
+        rows, filtered = sketch.prefilter(base, keys_of, len(keys), Scratch(spark))
+        found[most] = {}
+        for r in rows.collect():
+            own = keys_of(bytes(r.text))
+            found[most][str(r.id), bytes(r.text)] = set(own[filtered.of(r.shared)(own)].tolist())
+    common = set(keys[:40].tolist())
+    # A null id gets back what all null ids have: more may pass, never less.
+    assert found[1].keys() == found[28].keys() and all(common <= k <= found[1][at] and len(k) < 50 for at, k in found[28].items())
+    assert all(k == found[1][at] for at, k in found[28].items() if at[0] != "None")
+
+
 def test_sketch_never_underestimates(spark):
     texts = spark.createDataFrame([(bytes([i % 60]),) for i in range(90)], "text binary")
     made = sketch.build_sketch(texts, lambda t: np.array([t[0] * 0x9E3779B97F4A7C15 % (1 << 64)], np.uint64), 16)
@@ -336,13 +423,34 @@ def test_quality(spark):
     assert quality.score_quality(frame(spark, []), empty).count() == 0
 
 
+def test_quality_votes(spark):
+    """Against a plain vote, with ties at the k-th neighbour."""
+    rng = np.random.default_rng(15)
+    vectors = rng.standard_normal((30, 8)).astype(np.float32)
+    vectors[20:] = vectors[10:20]
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    model = quality.QualityModel(np.eye(8, dtype=np.float32), vectors, rng.integers(0, 2, 30).astype(float), 5, 8.0)
+    z = model.project(np.concatenate([rng.standard_normal((40, 8)).astype(np.float32), vectors[10:12]]))
+    for row, vote in zip(z, model.vote(z)):
+        s = [float(row @ v) for v in vectors]
+        least = sorted(s, reverse=True)[4] - 1e-7
+        near = [(x**8, y) for x, y in zip(s, model.labels) if x >= least and x > 0]
+        assert vote == pytest.approx(sum(w * y for w, y in near) / sum(w for w, _ in near), abs=1e-4)
+    order = rng.permutation(30)
+    shuffled = quality.QualityModel(model.weights, vectors[order], model.labels[order], 5, 8.0)
+    assert np.allclose(shuffled.vote(z), model.vote(z))
+
+
 # 7
 
 
 def test_wand_finds_all_above_threshold():
     rng = random.Random(5)
     items = [[rng.choice(WORDS) + str(rng.randrange(4)) for _ in range(rng.randint(3, 30))] for _ in range(150)]
-    index = decontamination.Bm25Index(list(range(150)), items)
+    statistics = decontamination.Statistics()
+    for words in items:
+        statistics.add(words)
+    index = decontamination.Bm25Index(list(range(150)), items, statistics)
     for _ in range(100):
         terms = sorted({index.terms[w] for w in rng.choice(items)[:20]} | {rng.randrange(len(index.terms)) for _ in range(25)})
         sums = {}
@@ -352,6 +460,59 @@ def test_wand_finds_all_above_threshold():
         assert {i for i, _ in index.wand(terms, 0.25)} == {i for i, s in sums.items() if s >= 0.25 - 1e-6}
 
 
+def test_decontamination_with_several_indexes(spark, monkeypatch):
+    rng = random.Random(16)
+    items = [(k, " ".join(f"{rng.choice(WORDS)}{rng.randrange(30)}" for _ in range(rng.randint(12, 60)))) for k in range(40)]
+    rows = [(i, prose(rng, 60) + " " + " ".join(items[i][1].split()[: rng.randint(8, 60)]) + " " + prose(rng, 60)) for i in range(40)]
+    rows += [rows[3], (None, rows[4][1])]
+    bench = spark.createDataFrame([*items, items[5], (None, items[6][1])], "item_id long, text string")
+    found = {}
+    for size, words in ((50_000, 2_000_000), (7, 2_000_000), (1000, 100)):
+        monkeypatch.setattr(decontamination, "INDEX_ITEMS", size)
+        monkeypatch.setattr(decontamination, "INDEX_WORDS", words)
+        out = decontamination.find_contamination(frame(spark, rows), bench, threshold=0.4, similarity=0.3, part_similarity=0.1)
+        found[size] = sorted((str(r.doc_id), str(r.item_id), round(r.score, 9), r.similarity, r.question_overlap, r.answer_overlap) for r in out.collect())
+    assert found[50_000] == found[7] == found[1000]
+    pairs = Counter(x[:2] for x in found[7])
+    assert len(pairs) > 20 and pairs["3", "3"] == 2 * pairs["2", "2"] or pairs["3", "3"] in (0, 2)
+    assert pairs["4", "4"] == pairs["None", "4"] and pairs["5", "5"] in (0, 2) and pairs["6", "6"] == pairs["6", "None"]
+
+
+def test_decontamination_against_plain_bm25(spark):
+    """All passages and items, scored and compared one by one."""
+    rng = random.Random(17)
+    items = [(k, " ".join(f"{rng.choice(WORDS)}{rng.randrange(12)}" for _ in range(rng.randint(3, 25)))) for k in range(25)]
+    rows = [(i, " ".join(w for k in range(rng.randint(0, 4)) for w in (prose(rng, rng.randint(0, 40)), " ".join(rng.choice(items)[1].split()[: rng.randint(5, 30)])))) for i in range(60)]
+    words = {k: t.split() for k, t in items}
+    n, mean = len(words), sum(map(len, words.values())) / len(words)
+    df = Counter(w for ws in words.values() for w in set(ws))
+    size = max(map(len, words.values()))
+
+    def impact(k, w):
+        f, x = words[k].count(w), len(words[k])
+        return math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * x / mean))
+
+    def overlap(part, passage):
+        m = min(5, len(part))
+        own, there = ({tuple(x[i : i + m]) for i in range(len(x) - m + 1)} for x in (part, passage))
+        return len(own & there) / len(own)
+
+    expected = {}
+    for i, t in rows:
+        ws = t.lower().split()
+        for at in range(0, max(1, len(ws) - size), size):
+            passage = ws[at : at + 2 * size]
+            for k, own in words.items():
+                total = sum(impact(k, w) for w in set(own))
+                score = sum(impact(k, w) for w in set(own) & set(passage)) / total
+                cut = -(-2 * len(own) // 3)
+                parts = [overlap(p, passage) for p in (own, own[:cut], own[cut:] or own)]
+                if score >= 0.6 and parts[0] >= 0.8 and min(parts[1:]) >= 0.5:
+                    expected[i, k] = max(expected.get((i, k), (0.0,)), (score, *parts))
+    out = decontamination.find_contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): pytest.approx((r.score, r.similarity, r.question_overlap, r.answer_overlap), abs=1e-5) for r in out} == expected and len(expected) > 20
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     items = [(k, " ".join(f"{rng.choice(WORDS)}{rng.randrange(50)}" for _ in range(rng.randint(12, 60)))) for k in range(30)]
@@ -445,6 +606,28 @@ def test_shards_and_levels(spark):
     assert max(used.values()) <= 4096 and len(used) <= 1.05 * sum(used.values()) / 4096 + 2
 
 
+def test_pieces_of_which_no_two_fit_stay_in_shards(spark):
+    from residua.llm.common import Scratch
+
+    pieces = spark.range(2000).selectExpr("id as row", "2100L as length")
+    out = packing.pack_pieces(pieces, Scratch(spark), shard_pieces=100).collect()
+    assert len(out) == len({r.sequence_id for r in out}) == 2000 and {r.offset for r in out} == {0}
+    assert max(Counter(r.sequence_id >> 32 for r in out).values()) < 200
+
+
+def test_another_tokenizer_encodes_whole_texts(tmp_path):
+    from tokenizers import Tokenizer
+
+    from residua.llm.queries import tokenizer_path
+
+    made = __import__("json").loads(Tokenizer.from_file(tokenizer_path()).to_str())
+    made["normalizer"] = {"type": "NFC"}
+    (tmp_path / "t.json").write_text(__import__("json").dumps(made))
+    words = packing.WordIds(str(tmp_path / "t.json"))
+    text = "Hello  World, it's é"
+    assert not words.by_word and np.frombuffer(words.encode(text.encode()), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 # 10
 
 
@@ -467,6 +650,23 @@ def test_simhash(spark, corpus):
     assert simhash.simhash_dedup(frame(spark, [])).count() == 0
 
 
+def test_simhash_of_repeated_rows_and_null_ids(spark):
+    rows = [(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (3, "a b c d"), (None, "x y z w"), (9, None)]
+    out = simhash.simhash_dedup(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.component_id) for r in out) == Counter([(5, 3), (5, 3), (None, 3), (3, 3), (None, None), (9, 9)])
+
+
+def test_blocks_whose_fingerprints_differ_in_the_first_bits_only(spark, monkeypatch):
+    from residua.llm.common import Scratch
+    from residua.operators.components import connected_components
+
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 2)
+    fps = [k << 62 | 5 for k in range(4)] + [k << 62 | 0xFFFF0005 for k in range(4)]
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    roots = connected_components(simhash.fingerprint_links(df, 8, 3, Scratch(spark)), Scratch(spark)).collect()
+    assert len(roots) == 8 and len({r.root for r in roots}) == 2
+
+
 def test_near_duplicate_groups(spark, corpus):
     rng = random.Random(12)
     rows = list(corpus)
@@ -486,7 +686,7 @@ def test_near_duplicate_groups(spark, corpus):
 
 def test_links_connect_what_is_within_the_radius(spark, monkeypatch):
     from residua.llm.common import Scratch
-    from residua.llm.components import connected_components
+    from residua.operators.components import connected_components
 
     rng = np.random.default_rng(9)
     seeds = rng.integers(0, 1 << 63, 60, np.uint64)
