@@ -81,10 +81,10 @@ def instability_index(sequence: Column) -> Column:
     return 10.0 / n * F.when(n > 1, total).otherwise(0.0)
 
 
-def feature_columns(sequence: Column, names: tuple[str, ...] = K.FEATURES) -> dict[str, Column]:
-    """The named features of a canonical sequence; null stays null."""
+def feature_columns(sequence: Column, names: tuple[str, ...] = K.FEATURES, counts: dict[str, Column] | None = None) -> dict[str, Column]:
+    """The named features of a canonical sequence; null stays null. counts: the residues' counts, if they are columns already."""
     n = F.length(sequence)
-    counts = {a: residue_count(sequence, a) for a in K.RESIDUES}
+    counts = counts or {a: residue_count(sequence, a) for a in K.RESIDUES}
     first, last = F.substr(sequence, F.lit(1), F.lit(1)), F.substr(sequence, n, F.lit(1))
     charge = charge_at(F.lit(7.0), counts, first, last)
     made = {
@@ -105,8 +105,13 @@ def feature_columns(sequence: Column, names: tuple[str, ...] = K.FEATURES) -> di
 
 
 def with_features(df: DataFrame, sequence: str = "sequence", names: tuple[str, ...] = K.FEATURES) -> DataFrame:
-    """df with the named feature columns, in their order; existing ones are replaced."""
-    return df.withColumns(feature_columns(F.col(sequence), names))
+    """df with the named feature columns, in their order; existing ones are replaced.
+
+    Residues are counted in a projection of their own: expressions that share them would count anew in each.
+    """
+    counted = {a: f"__count_{a}" for a in K.RESIDUES}
+    rows = df.withColumns({c: residue_count(F.col(sequence), a) for a, c in counted.items()})
+    return rows.withColumns(feature_columns(F.col(sequence), names, {a: F.col(c) for a, c in counted.items()})).drop(*counted.values())
 
 
 def feature_label(name: Column) -> Column:

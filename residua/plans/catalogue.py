@@ -40,8 +40,7 @@ def r6_sql(e: str, name: str) -> str:
 
 def features_of(names: tuple[str, ...], base=X.pep, keys: tuple[str, ...] = ("source_id",)):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        made = feature_columns(F.col("sequence"), names)
-        return base(spark, sf_dir).select(*keys, *(r6(c).alias(n) for n, c in made.items()))
+        return with_features(base(spark, sf_dir), names=names).select(*keys, *(r6(F.col(n)).alias(n) for n in names))
 
     return run
 
@@ -129,8 +128,7 @@ FIVE = ("net_charge_pH7", "gravy", "hydrophobic_moment", "fraction_hydrophobic",
 
 
 def featured(spark, sf_dir, names):
-    made = feature_columns(F.col("sequence"), names)
-    return X.lab(spark, sf_dir).select("source_id", "sequence", "label", *(r6(c).alias(n) for n, c in made.items()))
+    return with_features(X.lab(spark, sf_dir), names=names).select("source_id", "sequence", "label", *(r6(F.col(n)).alias(n) for n in names))
 
 
 def featured_sql(names) -> str:

@@ -30,9 +30,9 @@ def pep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, k, source_id, sequence)."""
     letters = F.upper(F.regexp_replace("text", f"[^{BOTH_CASES}]", ""))
     cut = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "source", letters.alias("s"), (10 + F.col("doc_id") % 40).cast("int").alias("w"))
-    rows = cut.filter("length(s) > 0").select("doc_id", "source", F.explode(F.expr("sequence(0, (length(s) - 1) div w)")).alias("k"), "s", "w")
-    rows = rows.select("doc_id", "source", F.col("k").cast("long").alias("k"), F.concat_ws(":", F.col("doc_id").cast("string"), F.col("k").cast("string")).alias("source_id"), F.expr("substr(s, cast(k * w + 1 as int), w)").alias("sequence"))
-    return rows.filter("length(sequence) >= 5")
+    # One walk over the letters: a substr for each peptide would start anew from the text's first letter.
+    rows = cut.select("doc_id", "source", F.posexplode(F.expr("regexp_extract_all(s, concat('.{1,', w, '}'), 0)")).alias("k", "sequence"))
+    return rows.filter("length(sequence) >= 5").select("doc_id", "source", F.col("k").cast("long").alias("k"), F.concat_ws(":", F.col("doc_id").cast("string"), F.col("k").cast("string")).alias("source_id"), "sequence")
 
 
 PEP = f"""letters AS (
