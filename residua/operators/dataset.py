@@ -140,16 +140,38 @@ def build_dataset(records: DataFrame, parents: DataFrame, min_length: int = 8, m
     return assign_splits(stored(labelled_union(positives, negatives, seed)), split_mode, threshold, seed), report
 
 
+#: Weights of the residues in alphabetical order, for the toy's two classes.
+TOY_WEIGHTS = {
+    1: (7, 1, 1, 1, 5, 2, 1, 8, 13, 8, 5, 2, 2, 3, 12, 3, 3, 7, 2, 7),
+    0: (7, 2, 7, 8, 4, 7, 3, 6, 3, 7, 5, 4, 4, 6, 3, 7, 6, 5, 2, 6),
+}
+
+
 def toy_sequences(spark: SparkSession, per_class: int = 120, low: int = 10, high: int = 42, seed: int = 7) -> DataFrame:
-    """A labelled toy table: cationic-rich against acidic-rich random peptides, unique over both classes."""
-    # Residue weights of the two classes.
-    weights = {1: {"K": 5, "R": 4, "L": 4, "I": 3, "A": 3, "G": 2, "W": 2, "F": 2, "V": 2}, 0: {"D": 4, "E": 4, "S": 3, "T": 3, "N": 3, "Q": 3, "G": 2, "A": 2, "P": 2}}
+    """(sequence, label): random peptides of two compositions, unique over both classes.
+
+    A candidate's length and residues are drawn by md5 of seed, label and its number, so any engine draws the same.
+    """
     out = None
-    for label, w in weights.items():
-        pool = "".join(a * (1 + 2 * w.get(a, 0)) for a in RESIDUES)
+    for label, weights in TOY_WEIGHTS.items():
+        pool = "".join(a * w for a, w in zip(sorted(RESIDUES), weights))
         size = F.lit(low) + F.pmod(seeded_draw(F.col("id"), f"{seed}|{label}|size"), F.lit(high - low + 1)).cast("int")
         residues = F.transform(F.sequence(F.lit(1), size), lambda i: F.substr(F.lit(pool), (F.pmod(seeded_draw(F.concat_ws("|", "id", i), f"{seed}|{label}"), F.lit(len(pool))) + 1).cast("int"), F.lit(1)))
-        rows = spark.range(2 * per_class).select("id", F.array_join(residues, "").alias("sequence"))
-        rows = dedup_first(rows, "sequence", "id").orderBy("id").limit(per_class).select("sequence", F.lit(label).alias("label"))
-        out = rows if out is None else out.unionByName(rows.join(out, "sequence", "left_anti"))
+        rows = dedup_first(spark.range(2 * per_class).select("id", F.array_join(residues, "").alias("sequence")), "sequence", "id")
+        if out is not None:
+            rows = rows.join(out, "sequence", "left_anti")
+        rows = rows.orderBy("id").limit(per_class).select("sequence", F.lit(label).alias("label"))
+        out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def toy_dataset(spark: SparkSession, per_class: int = 120, seed: int = 7) -> DataFrame:
+    """The toy table with the columns of a dataset: ids ``toy_%04d`` by falling label and draw, a random split."""
+    from .splitting import random_split
+
+    rows = toy_sequences(spark, per_class, seed=seed)
+    place = F.row_number().over(Window.orderBy(F.desc("label"), seeded_draw(F.col("sequence"), f"{seed}|id"), "sequence")) - 1  # 2 * per_class rows
+    # Names of classes and source.
+    named = rows.withColumns({"class_name": F.when(F.col("label") == 1, "Synthetic AMP-like").otherwise("Synthetic non-AMP-like"), "source": F.lit("Synthetic UI smoke-test data"), "source_id": F.format_string("toy_%04d", place)})
+    named = named.withColumns({"parent_id": F.col("source_id"), "sequence_sha256": sequence_sha256(F.col("sequence")), "length": F.length("sequence")})
+    return random_split(named, "sequence", 42)

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.features import feature_columns, scaled_position, with_features
-from ..functions.sequence import invalid_symbols, normalize_sequence, sequence_sha256, without_gaps
+from ..functions.sequence import cluster_id, edit_similarity, fragment, fragment_id, invalid_symbols, normalize_sequence, parent_sequence, sequence_sha256, status_title, without_gaps
 from ..operators import audits, dataset, metrics, models, relational, similarity, splitting
+from ..sources import fasta, tables
 from . import fixtures as X
 from .fixtures import THRESHOLD, count_sql, draw_sql, gravy_sql, share_sql
-from .storage import stored
+from .storage import Scratch, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -358,17 +359,29 @@ def pr_points(spark, sf_dir):
 _INT = metrics.INTERVALS
 
 
-@query(f"""WITH {X.SCORED}, t AS (SELECT source_id, label, score, row_number() OVER (PARTITION BY label ORDER BY source_id) - 1 AS place FROM scored WHERE split = 'test'),
+@query(f"""WITH {X.SCORED}, t AS (SELECT source_id, label, score, row_number() OVER (PARTITION BY label ORDER BY {draw_sql('source_id', '42|place')}, source_id) - 1 AS place FROM scored WHERE split = 'test'),
     sizes AS (SELECT label, count(*) AS size FROM t GROUP BY label), draws AS (
-        SELECT b, s.label, {draw_sql("b || '|' || s.label || '|' || i", 42)} % size AS place FROM sizes s, unnest(range(0, size)) u(i), range(0, 100) v(b)),
+        SELECT b, s.label, {draw_sql("b || '|' || s.label || '|' || i", 42)} % size AS place FROM sizes s, unnest(range(0, size)) u(i), range(0, 1000) v(b)),
     drawn AS (SELECT b, t.label, score FROM draws JOIN t USING (label, place)), {metrics_sql('drawn', 'b')},
     bounds AS ({' UNION ALL '.join(f"SELECT '{x}' AS metric, quantile_cont({x}, 0.025) AS lower, quantile_cont({x}, 0.975) AS upper FROM m" for x in _INT)})
     SELECT metric, round(lower, 6) AS lower, round(upper, 6) AS upper FROM bounds""")
 def bootstrap_intervals(spark, sf_dir):
-    out = metrics.bootstrap_intervals(X.scored(spark, sf_dir).filter("split = 'test'"), "source_id", THRESHOLD, 100)
+    out = metrics.bootstrap_intervals(X.scored(spark, sf_dir).filter("split = 'test'"), "source_id", THRESHOLD)
     return out.select("metric", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"))
 
 
+@query(f"""WITH {X.SCORED}, held AS (SELECT * FROM scored WHERE split <> 'train'), {metrics_sql('held', 'split')}
+    SELECT CASE split WHEN 'test' THEN 'held-out test' ELSE 'validation' END AS dataset, n, {', '.join(f'round({m}, 3) AS {c}' for c, m in metrics.REPORT.items() if m != 'n')} FROM m""")
+def metric_report(spark, sf_dir):
+    return metrics.metric_report(X.scored(spark, sf_dir), THRESHOLD)
+
+
+@query(f"""WITH {X.SCORED} SELECT count(DISTINCT split) = 3 AS three_splits, bool_and(score BETWEEN 0 AND 1) AS scores_in_range, true AS threshold_in_range, true AS test_rows_counted,
+    count(*) = count(DISTINCT sequence) AS no_duplicates, (SELECT count(*) FROM (SELECT 1 FROM scored GROUP BY split_group HAVING count(DISTINCT split) > 1)) = 0 AS no_leakage FROM scored""")
+def prediction_audit(spark, sf_dir):
+    return metrics.prediction_audit(X.scored(spark, sf_dir), THRESHOLD)
+
+
 _COMPARED = ("roc_auc", "average_precision", "balanced_accuracy", "f1", "mcc")
 
 
@@ -514,9 +527,143 @@ def rf_importance(spark, sf_dir):
     return models.importance_table(models.fit_forest(_forest_rows(spark, sf_dir).filter("split = 'train'")), spark)
 
 
-@query()
+def toy_sql() -> str:
+    """Candidates of both classes by the same draws, the first 120 new ones of each by number."""
+    parts = []
+    for label, weights in dataset.TOY_WEIGHTS.items():
+        pool = "".join(a * w for a, w in zip(sorted(K.RESIDUES), weights))
+        place = draw_sql("id || '|' || i", f"7|{label}")
+        size = draw_sql("id", f"7|{label}|size")
+        parts.append(f"cand{label} AS (SELECT min(id) AS id, sequence FROM (SELECT id, array_to_string(list_transform(range(1, 11 + {size} % 33), lambda i: '{pool}'[({place} % {len(pool)} + 1)::INT]), '') AS sequence FROM range(0, 240) r(id)) GROUP BY sequence)")
+    return f"""{', '.join(parts)}, ones AS (SELECT sequence, 1 AS label FROM cand1 ORDER BY id LIMIT 120), zeros AS (
+        SELECT sequence, 0 AS label FROM cand0 WHERE sequence NOT IN (SELECT sequence FROM ones) ORDER BY id LIMIT 120), toy AS (
+        SELECT *, printf('toy_%04d', row_number() OVER (ORDER BY label DESC, {draw_sql('sequence', '7|id')}, sequence) - 1) AS source_id,
+               row_number() OVER (PARTITION BY label ORDER BY {draw_sql('sequence', '42|split')}, sequence) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM (SELECT * FROM ones UNION ALL SELECT * FROM zeros))"""
+
+
+@query(f"""WITH {toy_sql()} SELECT sequence, label, CASE WHEN label = 1 THEN 'Synthetic AMP-like' ELSE 'Synthetic non-AMP-like' END AS class_name, 'Synthetic UI smoke-test data' AS source, source_id, source_id AS parent_id,
+    sha256(sequence) AS sequence_sha256, length(sequence)::INT AS length, 'row_' || sha256(sequence) AS split_group, CASE WHEN i < round(n * 0.2e0) THEN 'test' WHEN i < round(n * 0.4e0) THEN 'validation' ELSE 'train' END AS split FROM toy""")
 def toy_dataset(spark, sf_dir):
-    return dataset.toy_sequences(spark)
+    return dataset.toy_dataset(spark)
+
+
+def written(spark) -> str:
+    """A new folder beside the stored tables."""
+    return Scratch(spark).path()
+
+
+_FASTA = "'P' || p_partkey || ' ' || p_name"
+
+
+@query(f"WITH {X.PARTS} SELECT 'P' || p_partkey AS record_id, {_FASTA} AS description, sequence FROM parts JOIN (SELECT p_partkey, p_name FROM part) USING (p_partkey)")
+def fasta_round_trip(spark, sf_dir):
+    """FASTA written and read again, in as many files as there are partitions."""
+    names = X.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("P"), "p_partkey", F.lit(" "), "p_name").alias("description"))
+    path = written(spark)
+    fasta.write_fasta(X.parts(spark, sf_dir).join(names, "p_partkey").select(F.col("p_partkey").alias("record_id"), "description", "sequence").repartition(7), path)
+    return fasta.read_fasta(spark, path).select("record_id", "description", "sequence")
+
+
+@query(f"WITH {X.SCORED} SELECT sequence, label, source, source_id, split, split_group FROM scored")
+def csv_round_trip(spark, sf_dir):
+    path = written(spark)
+    names = ("sequence", "label", "source", "source_id", "split", "split_group")
+    kinds = dict(x.split() for x in tables.DATASET_SCHEMA.split(", "))
+    tables.write_csv(X.scored(spark, sf_dir).select(*names), path)
+    return tables.read_csv(spark, path, ", ".join(f"{n} {kinds[n]}" for n in names))
+
+
+@query("SELECT vec_id, 's' || vec_id AS sequence, (label = 0)::INT AS label, CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, 'g' || label AS split_group, 'toy-encoder' AS model_name, len(embedding)::INT AS size, round(list_sum(embedding::DOUBLE[]), 4) + 0e0 AS total FROM embeddings")
+def bundle_round_trip(spark, sf_dir):
+    rows = X.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("s"), "vec_id").alias("sequence"), (F.col("label") == 0).cast("int").alias("label"), F.when(F.col("vec_id") % 5 == 0, "test").otherwise("train").alias("split"), F.concat(F.lit("g"), "label").alias("split_group"), "embedding")
+    path = written(spark)
+    tables.write_bundle(rows, path, "toy-encoder")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return tables.read_bundle(spark, path).select(F.expr("bigint(substr(sequence, 2))").alias("vec_id"), "sequence", "label", "split", "split_group", "model_name", F.size("embedding").alias("size"), (F.round(total, 4) + F.lit(0.0)).alias("total"))
+
+
+@query(f"""WITH {X.NORMALISED} SELECT doc_id, pos, CASE error_code WHEN 'missing' THEN 'Sequence is missing.' WHEN 'empty' THEN 'Sequence is empty.' WHEN 'no_residues' THEN 'No amino-acid residues were found.'
+    WHEN 'invalid_symbol' THEN 'Only the 20 canonical one-letter amino-acid codes are accepted. Invalid symbol(s): ' || array_to_string(list_sort(list_distinct(string_split(regexp_replace(s, '[{K.RESIDUES}]', '', 'g'), ''))), ', ') || '.'
+    WHEN 'too_short' THEN 'Sequence is too short (' || length(s) || ' aa); minimum is 5.' ELSE 'Sequence is too long (' || length(s) || ' aa); maximum is 200.' END AS message FROM normalised WHERE error_code IS NOT NULL""")
+def validation_messages(spark, sf_dir):
+    got = X.raw(spark, sf_dir).select("doc_id", "pos", normalize_sequence(F.col("raw"))["error"].alias("message"))
+    return got.filter("message is not null")
+
+
+@query(f"WITH {X.RAW}, c AS (SELECT doc_id, pos, upper(regexp_replace(raw, '[\\s-]+', '', 'g')) AS s FROM raw WHERE raw IS NOT NULL) SELECT doc_id, pos, CASE WHEN regexp_full_match(s, '[{K.RESIDUES}]+') THEN s ELSE '' END AS parent FROM c")
+def parent_cleaning(spark, sf_dir):
+    return X.raw(spark, sf_dir).filter("raw is not null").select("doc_id", "pos", parent_sequence(F.col("raw")).alias("parent"))
+
+
+@query(f"WITH {X.PEP}, f AS (SELECT *, k % 3 AS start, 5 - k % 3 AS size FROM pep) SELECT source_id, substr(sequence, start + 1, size) AS fragment, source_id || ':' || (start + 1) || '-' || (start + size) AS fragment_id, printf('cluster_%06d', k) AS cluster FROM f")
+def fragment_ids(spark, sf_dir):
+    rows = X.pep(spark, sf_dir).withColumns({"start": (F.col("k") % 3).cast("int"), "size": (5 - F.col("k") % 3).cast("int")})
+    return rows.select("source_id", fragment(F.col("sequence"), F.col("start"), F.col("size")).alias("fragment"), fragment_id(F.col("source_id"), F.col("start"), F.col("size")).alias("fragment_id"), cluster_id(F.col("k")).alias("cluster"))
+
+
+@query("SELECT event_type, array_to_string(list_transform(string_split(replace('real_' || event_type, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title, count(*) AS n FROM events GROUP BY event_type")
+def status_titles(spark, sf_dir):
+    rows = X.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("event_type", status_title(F.concat(F.lit("real_"), "event_type")).alias("title"), "n")
+
+
+@query(f"""WITH {X.SCORED}, one AS (SELECT sequence, min(score) AS score FROM scored GROUP BY sequence) SELECT sequence, round(score, 6) AS score, {THRESHOLD}e0 AS threshold, {_INTERPRET} AS interpretation, 5 AS checks,
+    round({gravy_sql()}, 6) + 0e0 AS gravy, {sum(e[1] == 'Not evaluated' for e in audits.EVIDENCE)} AS unmeasured FROM one""")
+def screening_record_fields(spark, sf_dir):
+    """The JSON records, read again."""
+    made = F.from_json("record", "score double, threshold double, interpretation string, features map<string,double>, audit array<struct<check:string>>, unmeasured_endpoints array<string>").alias("r")
+    return screening_record(spark, sf_dir).select("sequence", made).select("sequence", F.round("r.score", 6).alias("score"), "r.threshold", "r.interpretation", F.size("r.audit").alias("checks"), (F.col("r.features")["gravy"] + F.lit(0.0)).alias("gravy"), F.size("r.unmeasured_endpoints").alias("unmeasured"))
+
+
+@query(f"SELECT size, 0::BIGINT AS misplaced FROM ({ORACLES['target_lengths']})")
+def negative_fragment_checks(spark, sf_dir):
+    """Per fragment its size and what is wrong with it: repeated, forbidden, or not what its id says of its parent."""
+    got = stored(negative_fragments(spark, sf_dir))
+    parents = _parents(spark, sf_dir).select(F.col("id").cast("string").alias("parent_id"), parent_sequence(F.col("sequence")).alias("parent"))
+    ends = F.split(F.element_at(F.split("source_id", ":"), -1), "-")
+    cut = got.withColumns({"first": ends[0].cast("int"), "last": ends[1].cast("int")}).join(parents, "parent_id", "left")
+    bad = F.coalesce(F.expr("substr(parent, first, last - first + 1)") != F.col("sequence"), F.lit(True)).cast("long")
+    repeated = got.groupBy("sequence").agg((F.count(F.lit(1)) - 1).alias("repeats"))
+    forbidden = X.parts(spark, sf_dir).select("sequence", F.lit(1).cast("long").alias("forbidden")).distinct()
+    each = cut.withColumn("bad", bad).join(repeated, "sequence").join(forbidden, "sequence", "left")
+    return each.select(F.length("sequence").alias("size"), (F.col("bad") + F.col("repeats") + F.coalesce("forbidden", F.lit(0).cast("long"))).alias("misplaced"))
+
+
+@query(f"WITH {X.PARTS}, p AS (SELECT DISTINCT sequence FROM parts) SELECT sequence, true AS near_its_representative, 0::BIGINT AS near_representatives_before FROM p")
+def similarity_group_checks(spark, sf_dir):
+    """What must hold of greedy groups: all are near their representative, which is near no representative before it."""
+    rows = stored(similarity.greedy_groups(X.parts(spark, sf_dir)))
+    leaders = rows.filter("sequence = representative").select("sequence", "group_number")
+    pairs = similarity.similar_pairs(leaders)
+    number = leaders.select(F.col("sequence").alias("a"), "group_number")
+    late = pairs.join(number, "a").groupBy(F.col("a").alias("representative")).agg(F.count(F.lit(1)).alias("k"))
+    near = edit_similarity(F.col("sequence"), F.col("representative")) >= 0.8
+    return rows.join(late, "representative", "left").select("sequence", near.alias("near_its_representative"), F.coalesce("k", F.lit(0).cast("long")).alias("near_representatives_before"))
+
+
+@query(f"""WITH {X.PARTS}, p AS (SELECT sequence, max(label) AS label FROM parts GROUP BY sequence)
+    SELECT count(*) AS "rows", sum(label)::BIGINT AS amps, 0::BIGINT AS duplicate_rows, 0::BIGINT AS conflicting_sequences, 0::BIGINT AS leaking_groups, 0::BIGINT AS one_class_splits, true AS even FROM p""")
+def similarity_split_checks(spark, sf_dir):
+    """The split is sound: integrity_report finds nothing, and no split is far from its share."""
+    rows = stored(similarity_split(spark, sf_dir))
+    shares = rows.groupBy("split").agg(F.count(F.lit(1)).alias("k"))
+    total = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("amps"))
+    want = F.when(F.col("split") == "train", 0.6).otherwise(0.2)
+    even = shares.agg((F.max(F.abs(F.col("k") / total.select("rows").scalar() - want)) < 0.1).alias("even"))
+    return splitting.integrity_report(rows).select(total.select("rows").scalar().alias("rows"), total.select("amps").scalar().alias("amps"), "*", even.scalar().alias("even"))
+
+
+@query("SELECT count(*) AS predicted, true AS scores_in_range, true AS threshold_in_range, 2 AS report_rows, 8 AS intervals FROM embeddings")
+def fit_checks(spark, sf_dir):
+    """A model of embeddings fitted, predicted with and reported on, with intervals."""
+    rows = X.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") == 0).cast("int").alias("label"))
+    split = stored(splitting.random_split(rows, "vec_id"))
+    model, threshold, out, _ = models.fit_and_test(split, models.fit_logistic, "embedding")
+    out = stored(out)
+    report, intervals = models.fit_report(out, threshold, "vec_id")
+    sound = intervals.filter("lower <= upper and estimate is not null").count()  # eight rows
+    made = models.predict(model, split, threshold, "embedding")
+    return made.agg(F.count(F.lit(1)).alias("predicted"), F.min(F.col("score").between(0, 1)).alias("scores_in_range")).withColumns({"threshold_in_range": F.lit(0 < threshold < 1), "report_rows": F.lit(report.count()), "intervals": F.lit(sound)})
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

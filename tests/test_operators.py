@@ -206,3 +206,74 @@ def test_models(spark, tmp_path):
     assert len(table) == 34 and table[0].importance >= table[-1].importance
     emb = models.embed(peps.limit(3), lambda seqs: [np.ones((len(s), 2)) * len(s) for s in seqs]).collect()
     assert all(r.embedding == [float(len(r.sequence))] * 2 for r in emb)
+
+
+def test_prediction_audit_and_report(spark):
+    rows = [("A" * (i + 5), ("train", "validation", "test")[i % 3], f"g{i}", i % 2, 0.1 + 0.08 * (i % 10)) for i in range(30)]
+    df = spark.createDataFrame(rows, "sequence string, split string, split_group string, label int, score double")
+    assert all(metrics.prediction_audit(df, 0.5, 10).first())
+    bad = df.unionByName(spark.createDataFrame([("AAAAA", "other", "g1", 1, 1.5), ("C", "test", "gx", 0, None)], df.schema))
+    got = metrics.prediction_audit(bad, 1.0, 10).first().asDict()
+    assert got == dict.fromkeys(got, False)
+    assert not metrics.prediction_audit(df.limit(0), 0.5).first().three_splits
+    report = {r["dataset"]: r for r in metrics.metric_report(df, 0.5).collect()}
+    assert set(report) == {"validation", "held-out test"} and report["validation"].n == 10 and report["validation"].asDict().keys() == {"dataset", *metrics.REPORT}
+
+
+def test_predict_from_raw_text(spark):
+    rng = random.Random(3)
+    rows = sorted({("".join(rng.choice("KRLA" if i % 2 else "DESG") for _ in range(12)), i % 2) for i in range(60)})
+    df = spark.createDataFrame(rows, "sequence string, label int")
+    model = models.fit_forest(with_features(df), trees=10, depth=4)
+    metadata = {"kind": models.FOREST_KIND, "threshold": 0.5}
+    out = models.predict_sequences(model, metadata, spark.createDataFrame([(">h\nkrl-aKRLAKRLA",), ("DESGDESGDESG",)], "raw string"), "raw")
+    assert out.columns == ["sequence", *FEATURES, "score", "threshold", "interpretation", "binary_prediction"]
+    assert {r.sequence: r.binary_prediction for r in out.collect()} == {"KRLAKRLAKRLA": 1, "DESGDESGDESG": 0}
+    assert models.predict_sequences(model, metadata, df.limit(0)).count() == 0
+    with pytest.raises(Exception, match="Invalid symbol"):
+        models.predict_sequences(model, metadata, spark.createDataFrame([("XXXXXX",)], "sequence string")).collect()
+    with pytest.raises(ValueError, match="Unsupported model kind"):
+        models.predict_sequences(model, {"threshold": 0.5}, df)
+    with pytest.raises(ValueError, match="encoder"):
+        models.predict_sequences(model, {"kind": models.EMBEDDING_KIND, "threshold": 0.5}, df)
+
+
+def test_predict_with_an_encoder(spark):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(x.tolist(), int(x[0] > 0)) for x in rng.standard_normal((80, 2))], "embedding array<double>, label int")
+    model = models.fit_logistic(rows)
+
+    def encoder(sequences):
+        return [np.array([[1.0 if a == "K" else -1.0, 0.0] for a in s]) for s in sequences]
+
+    out = models.predict_sequences(model, {"kind": models.EMBEDDING_KIND, "threshold": 0.5}, spark.createDataFrame([("KKKKKA",), ("AAAAAA",)], "sequence string"), encoder=encoder).collect()
+    assert {r.sequence: r.binary_prediction for r in out} == {"KKKKKA": 1, "AAAAAA": 0}
+
+
+def test_thresholds_are_checked(spark):
+    df = spark.createDataFrame([("ACDEF",)], "sequence string")
+    for bad in (0, -1, 1.1):
+        with pytest.raises(ValueError, match="similarity threshold"):
+            similarity.greedy_groups(df, bad)
+
+
+def test_toy_dataset(spark):
+    rows = dataset.toy_dataset(spark).collect()
+    assert len(rows) == len({r.sequence for r in rows}) == len({r.source_id for r in rows}) == 240
+    assert sorted(r.source_id for r in rows) == [f"toy_{i:04d}" for i in range(240)] and all(r.source_id < "toy_0120" for r in rows if r.label)
+    assert {r.split for r in rows} == {"train", "validation", "test"} and all(10 <= r.length <= 42 for r in rows)
+
+
+def test_scratch_is_deleted(spark):
+    import os
+
+    from residua.plans import storage
+
+    storage.clean(spark)
+    scratch = storage.Scratch(spark)
+    a, b = scratch.table(spark.range(3)), scratch.table(spark.range(4))
+    scratch.drop(a)
+    folder = scratch.root.removeprefix("file:")
+    assert os.listdir(folder) == ["2"] and b.count() == 4
+    storage.clean(spark)
+    assert not os.path.exists(folder)

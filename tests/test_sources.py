@@ -18,6 +18,41 @@ def test_fasta(spark, tmp_path):
         fasta.read_fasta(spark, str(tmp_path / "empty.fasta"))
 
 
+def test_fasta_in_many_splits_and_files(spark, tmp_path):
+    """No record is lost where a file is cut, and no preamble is kept where files share a partition."""
+    whole = [(f"id{i}", f"id{i} of {i % 7}", "ACDEFGHIKL" * (1 + i % 9)) for i in range(1000)]
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "a.fasta").write_text("a preamble\nof two lines\n" + "".join(f">{d}\n{s}\n" for _, d, s in whole[:600]))
+    (tmp_path / "many" / "b.fasta").write_text("junk\n" + "".join(f">{d}\n{s}\n" for _, d, s in whole[600:999]))
+    (tmp_path / "many" / "c.fasta").write_text(f">{whole[999][1]}\n{whole[999][2]}")
+    (tmp_path / "many" / "d.fasta").write_text("only junk\n")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("2000", "777", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = fasta.read_fasta(spark, str(tmp_path / "many"))
+            assert sorted((r.record_id, r.description, r.sequence) for r in rows.collect()) == sorted(whole)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_download_and_discovery(spark, tmp_path):
+    data = tables.write_downloaded_fasta(spark, ["junk", ">a", "AC ", ">b", "D", ">c"], str(tmp_path / "d.fasta"), "s", "u", "q", 2)
+    text = ">a\nAC\n>b\nD\n"
+    assert (data["records"], data["sha256"], data["query"]) == (2, hashlib.sha256(text.encode()).hexdigest(), "q")
+    assert "".join(r[0] + "\n" for r in spark.read.text(str(tmp_path / "d.fasta")).collect()) == text
+    assert tables.file_sha256(spark, str(tmp_path / "d.fasta")).first().sha256 == data["sha256"]
+    assert fasta.read_fasta(spark, str(tmp_path / "d.fasta")).count() == 2
+    with pytest.raises(RuntimeError):
+        tables.write_downloaded_fasta(spark, ["junk"], str(tmp_path / "e"), "s", "u", "q")
+    with pytest.raises(ValueError):
+        tables.write_downloaded_fasta(spark, [">a"], str(tmp_path / "e"), "s", "u", "q", 0)
+    for name, more in (("m1", '"model_name": "One"'), ("m2", '"scientific_status": "synthetic_ui_demo_only"'), ("m3", '"x": 1')):
+        spark.createDataFrame([(f'{{"threshold": 0.5, "version": 1, {more}}}',)], "value string").coalesce(1).write.text(str(tmp_path / name / "metadata"))
+    found = tables.discover_models(spark, [str(tmp_path / n) for n in ("m1", "none", "m2", "m3")])
+    assert {k: v[0].rsplit("/", 1)[1] for k, v in found.items()} == {"One": "m1", "Toy UI model — synthetic data": "m2", "m3": "m3"}
+
+
 def test_tables(spark, tmp_path):
     df = spark.createDataFrame([("ACDEF", "x")], "sequence string, other string")
     tables.write_csv(df, str(tmp_path / "c"), one_file=True)
