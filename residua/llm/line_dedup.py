@@ -50,8 +50,10 @@ def dedup_lines(
     host: Column | None = None,
     ratio: float = 0.08,
     min_pages: int = 5,
+    counts: dict[str, str] | None = None,
 ) -> DataFrame:
-    """All columns of docs, the text without boilerplate lines, then ``n_lines`` and ``n_removed`` (replaced if they exist).
+    """All columns of docs, the text without boilerplate lines, then ``n_lines`` and ``n_removed`` (replaced if they exist;
+    ``counts`` may give them other names).
 
     ``host`` (default: column ``source``) groups pages; null is a host of its own. A line is boilerplate when it is on
     more than ``ratio`` of the host's pages and on ``min_pages`` at least, so that a host of few pages loses nothing.
@@ -69,9 +71,10 @@ def dedup_lines(
     joined = docs.withColumn(own_site, host.cast("string")).join(by_host, F.col(own_site).eqNullSafe(F.col(site)), "left")
     lines = lines_of(F.col(text_col).cast("string"))
     kept = F.filter(lines, lambda x: ~F.array_contains(drop, _hash(x)))
-    joined = joined.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)), left: F.when(F.col(drop).isNull(), lines).otherwise(kept)})
-    joined = joined.withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")), "n_removed": F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines") - F.size(left))})
-    text = F.when(F.col(text_col).isNotNull() & (F.col("n_removed") > 0), F.array_join(left, "\n")).otherwise(F.col(text_col))
+    n_lines, n_removed = (counts or {}).get("n_lines", "n_lines"), (counts or {}).get("n_removed", "n_removed")
+    joined = joined.withColumns({n_lines: F.coalesce(F.size(lines), F.lit(0)), left: F.when(F.col(drop).isNull(), lines).otherwise(kept)})
+    joined = joined.withColumns({n_lines: F.when(F.col(text_col).isNull(), 0).otherwise(F.col(n_lines)), n_removed: F.when(F.col(text_col).isNull(), 0).otherwise(F.col(n_lines) - F.size(left))})
+    text = F.when(F.col(text_col).isNotNull() & (F.col(n_removed) > 0), F.array_join(left, "\n")).otherwise(F.col(text_col))
     return joined.withColumn(text_col, text).drop(drop, site, own_site, left)
 
 

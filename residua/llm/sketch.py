@@ -30,11 +30,12 @@ def sketch_bits(keys: float, spare: int = 8) -> int:
 
 
 def cells(keys: np.ndarray, row: int, bits: int, inside: int) -> np.ndarray:
-    """A row's cell of each key (uint64, spread over all bits): the shard by the key's first bits, in it one of 2^inside by the row."""
-    first = keys >> np.uint64(64 - bits)
+    """A row's cell of each key: the shard by the key's hash, in it one of 2^inside by the row. Keys may be small hashes only."""
+    spread = keys * np.uint64(0x9E3779B97F4A7C15)
+    first = spread >> np.uint64(64 - bits)
     if row == 0:
         return first
-    other = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - inside)
+    other = ((spread ^ (spread >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - inside)
     return (first >> np.uint64(inside) << np.uint64(inside)) | other
 
 
@@ -133,19 +134,17 @@ def build_sketch(texts: DataFrame, keys_of: Callable[[bytes], np.ndarray], bits:
 
 
 def estimated_twice(pairs: DataFrame, shards: DataFrame, bits: int) -> DataFrame:
-    """(id string, key) to those whose key the sketch estimates at two or more: keys go to the task that has their shard.
+    """(id string, key, shard) to (id, key) of those whose key the sketch estimates at two or more: keys go to the task that has their shard.
 
     Of a shard with far more keys than others (a key of very many documents is in it) each of several tasks has a copy.
     """
     inside = min(bits, SHARD_BITS)
-    shard = F.shiftrightunsigned("key", 64 - bits + inside) if bits > inside else F.lit(0).cast("long")
-    keyed = pairs.withColumn("shard", shard)
-    sizes = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    sizes = pairs.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
     mean = sizes.agg(F.avg("n")).first()[0] or 1.0
     # A quarter of the shards at most.
     hot = F.broadcast(sizes.filter(F.col("n") > UNEVEN * mean).select("shard", F.ceil(F.col("n") / mean).cast("long").alias("copies")))
     copies = F.coalesce("copies", F.lit(1).cast("long"))
-    keys = keyed.join(hot, "shard", "left").select("shard", F.pmod(F.xxhash64("id"), copies).alias("copy"), F.lit(1).alias("kind"), "id", "key", F.lit(None).cast("binary").alias("row0"), F.lit(None).cast("binary").alias("row1"))
+    keys = pairs.join(hot, "shard", "left").select("shard", F.pmod(F.xxhash64("id"), copies).alias("copy"), F.lit(1).alias("kind"), "id", "key", F.lit(None).cast("binary").alias("row0"), F.lit(None).cast("binary").alias("row1"))
     tables = shards.join(hot, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("id"), F.lit(0).cast("long").alias("key"), "row0", "row1")
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,16 +188,17 @@ def prefilter(base: DataFrame, keys_of: Callable[[bytes], np.ndarray], keys: flo
     if bits <= MOST_BITS:
         made = build_sketch(base, keys_of, bits)
         return base.withColumn("shared", F.lit(None).cast("array<long>")), Prefilter(base.sparkSession.sparkContext.broadcast(made))
-    kind = base.schema["id"].dataType
+    kind, inside = base.schema["id"].dataType, min(bits, SHARD_BITS)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [np.unique(keys_of(text)) for text in pdf["text"]]
             own = pdf["id"].take(np.repeat(np.arange(len(found)), list(map(len, found))))
             if len(own):
-                yield pd.DataFrame({"id": own.reset_index(drop=True), "key": np.concatenate(found).view(np.int64)})
+                keys = np.concatenate(found)
+                yield pd.DataFrame({"id": own.reset_index(drop=True), "key": keys.view(np.int64), "shard": (cells(keys, 0, bits, inside) >> np.uint64(inside)).astype(np.int64)})
 
     shards = scratch.table(merged_shards(base, keys_of, bits))
-    pairs = scratch.table(base.select(F.col("id").cast("string").alias("id"), "text").mapInPandas(emit, "id string, key long"))
+    pairs = scratch.table(base.select(F.col("id").cast("string").alias("id"), "text").mapInPandas(emit, "id string, key long, shard long"))
     own = estimated_twice(pairs, shards, bits).groupBy(F.col("id").cast(kind).alias("own_id")).agg(F.collect_set("key").alias("shared"))
     return base.join(own, F.col("id").eqNullSafe(F.col("own_id")), "left").drop("own_id"), Prefilter()

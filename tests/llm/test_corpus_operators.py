@@ -375,6 +375,17 @@ def test_prefilter_without_a_sketch(spark, corpus, monkeypatch):
     assert got(suffix_dedup.suffix_dedup(rows), "n_removed") == spans
 
 
+def test_a_sketch_spreads_small_keys():
+    """Keys are the smallest of some hashes each, so their first bits say little."""
+    rng = np.random.default_rng(18)
+    keys = rng.integers(0, 1 << 58, 20_000, np.uint64)
+    for bits, inside in ((18, 18), (18, 10)):
+        for row in (0, 1):
+            assert len(np.unique(sketch.cells(keys, row, bits, inside))) > 18_500
+    pairs = sketch.cells(keys, 0, 18, 10) << np.uint64(18) | sketch.cells(keys, 1, 18, 10)
+    assert len(np.unique(pairs)) > 19_900
+
+
 def test_a_sketch_in_shards_tells_the_same(spark, monkeypatch):
     """Every key that occurs twice passes, the others mostly don't, whether the sketch goes to the keys or the keys to its shards."""
     from residua.llm.common import Scratch
