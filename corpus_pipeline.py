@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm.common import Scratch
+from residua.llm.common import Scratch, unused
 from residua.llm.decontamination import find_contamination
 from residua.llm.line_dedup import dedup_lines
 from residua.llm.near_duplicates import near_duplicate_groups
@@ -21,27 +21,39 @@ from residua.llm.queries import tokenizer_path
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the quality classifier rejects: a score below 0.5."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model).filter("quality_score >= 0.5").select(*docs.columns)
+    (score,) = unused(docs, "quality_score")
+    return score_quality(docs, model, score_col=score).filter(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts a source's boilerplate lines from its documents; a changed text gets its new n_chars."""
-    out = dedup_lines(docs)
+    counts = dict(zip(("n_lines", "n_removed"), unused(docs, "n_lines", "n_removed")))
+    out = dedup_lines(docs, counts=counts)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(counts["n_removed"]) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows linked by a five-word Jaccard similarity of 0.8 or more only the one with the smallest id stays."""
-    found = near_duplicate_groups(docs).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    """Of rows linked by a five-word Jaccard similarity of 0.8 or more only the one with the smallest id stays.
+
+    Rows that repeat an id are told apart by their text: of those that repeat both one stays, of others that share an id all go if
+    one of them is a near duplicate of a smaller id.
+    """
+    (gone,) = unused(docs, "gone")
+    found = near_duplicate_groups(docs).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(gone)).distinct()
+    kept = docs.join(found, F.col("doc_id") == F.col(gone), "left_anti").select(*docs.columns)
+    repeated = kept.groupBy(F.col("doc_id").alias(gone)).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & F.col(gone).isNotNull()).select(gone)
+    once = kept.join(repeated, F.col("doc_id") == F.col(gone), "left_anti")
+    again = kept.join(repeated, F.col("doc_id") == F.col(gone), "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    (gone,) = unused(docs, "gone")
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found, F.col("doc_id") == F.col(gone), "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
