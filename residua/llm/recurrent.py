@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Sizes of the network: embedding, hidden state, classes of words.
-EMBEDDING, HIDDEN, CLASSES = 16, 24, 64
+EMBEDDING, HIDDEN, CLASSES = 16, 24, 90
 #: Parallel streams, steps of a window, Adagrad's rate.
 STREAMS, WINDOW, RATE = 512, 16, 0.2
 #: What Adagrad's sums of squares start from.
