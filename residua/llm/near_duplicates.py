@@ -2,8 +2,10 @@
 
 Where the similarity is 0.8, shingle sets are at an angle that makes 19.4 of 128 bits differ on average; the
 radius is 3.4 standard deviations above that, while of unrelated texts 64 bits differ. All pairs of distinct shingle
-sets are compared, block by block. Links connect candidates to components, and in a component the sets themselves decide:
-what a chain of pairs at or above the similarity connects is one group.
+sets are compared, block by block and tile by tile; tiles whose population counts differ by more than the radius are skipped. Links
+connect candidates to components, and in a component the sets themselves decide: what a chain of pairs at or above the
+similarity connects is one group. A component's sets are dealt to blocks of bounded size, and every two of its blocks
+meet in a task, which returns a spanning forest of the links it has verified.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .simhash import CELLS, TILE, labels_of
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 33
 #: Rows of a block on average.
 BLOCK_ROWS = 1 << 16
+#: Shingles on average of a block of a component's sets, eight bytes each; a task holds two blocks.
+BLOCK_SHINGLES = 1 << 20
 
 
 def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -44,21 +48,33 @@ def fingerprint(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(counts * 2 > len(shingles), bitorder="little").view(np.uint64)
 
 
+def populations(fps: np.ndarray) -> np.ndarray:
+    """Population counts of 128-bit fingerprints, a row of two numbers each."""
+    return np.bitwise_count(fps).sum(1, dtype=np.int16)
+
+
 def set_key(shingles: np.ndarray) -> bytes:
     """Equal for equal sets."""
     return hashlib.sha256(shingles.tobytes()).digest()[:16]
 
 
 def links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as two arrays of row numbers, of the pairs within the radius: of a with b, which count on after a, or in a alone."""
+    """A spanning forest, as two arrays of row numbers, of the pairs within the radius: of a with b, which count on after a, or in a alone.
+
+    Both come in the order of their population counts.
+    """
     other, first = (a, 0) if b is None else (b, len(a))
+    pops, step = populations(other), CELLS // TILE
     o0, o1 = np.ascontiguousarray(other[:, 0]), np.ascontiguousarray(other[:, 1])
     found_u, found_v = [], []
     for at in range(0, len(a), TILE):
         tile = a[at : at + TILE]
-        for k in range(at if b is None else 0, len(other), CELLS // TILE):
-            d = np.bitwise_count(tile[:, :1] ^ o0[None, k : k + CELLS // TILE])
-            d += np.bitwise_count(tile[:, 1:] ^ o1[None, k : k + CELLS // TILE])
+        own = populations(tile)
+        for k in range(at if b is None else 0, len(other), step):
+            if max(own[0] - pops[k : k + step][-1], pops[k] - own[-1]) > radius:
+                continue
+            d = np.bitwise_count(tile[:, :1] ^ o0[None, k : k + step])
+            d += np.bitwise_count(tile[:, 1:] ^ o1[None, k : k + step])
             i, j = np.nonzero(d <= radius)
             u, v = i + at, j + k + first
             if b is None:
@@ -66,15 +82,15 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray,
             if len(u):
                 nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
                 label = labels_of(len(nodes), ends[: len(u)], ends[len(u) :])
-                own = label != np.arange(len(nodes))
-                found_u.append(nodes[own])
-                found_v.append(nodes[label[own]])
+                moved = label != np.arange(len(nodes))
+                found_u.append(nodes[moved])
+                found_v.append(nodes[label[moved]])
     if not found_u:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     nodes, ends = np.unique(np.concatenate(found_u + found_v), return_inverse=True)
     label = labels_of(len(nodes), ends[: len(ends) // 2], ends[len(ends) // 2 :])
-    own = label != np.arange(len(nodes))
-    return nodes[own], nodes[label[own]]
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
 
 
 def candidate_links(rows: DataFrame, n: int, radius: int, scratch: Scratch) -> DataFrame:
@@ -83,7 +99,8 @@ def candidate_links(rows: DataFrame, n: int, radius: int, scratch: Scratch) -> D
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         fps = np.stack([pdf["f0"].to_numpy(np.int64), pdf["f1"].to_numpy(np.int64)], 1)
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "nodes": [pdf["node"].to_numpy(np.int64).tobytes()], "fps": [fps.tobytes()]})
+        order = np.argsort(populations(fps.view(np.uint64)), kind="stable")
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "nodes": [pdf["node"].to_numpy(np.int64)[order].tobytes()], "fps": [fps[order].tobytes()]})
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -130,8 +147,8 @@ def similar_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """One row per document with an id: id, ``component_id`` (smallest id of its group of near duplicates).
 
-    Null and empty texts have no shingles and are copies of each other. Other columns are ignored. A group's sets of
-    shingles (eight bytes a shingle, a set once) are compared in one task.
+    Null and empty texts have no shingles and are copies of each other. Rows that repeat
+    an id have a row each. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"))
@@ -149,22 +166,30 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for root, node, first, key, text in zip(pdf["root"], pdf["node"], pdf["first"], pdf["key"], pdf["text"]):
+            for root, node, blocks, key, text in zip(pdf["root"], pdf["node"], pdf["blocks"], pdf["key"], pdf["text"]):
                 s = shingle_set(text, words)
                 if set_key(s) == key:  # another row may have the same id
-                    yield pd.DataFrame({"root": [root], "node": [node], "first": [first], "shingles": [s[:, 0].tobytes()]})
+                    yield pd.DataFrame({"root": [root], "node": [node], "blocks": [blocks], "shingles": [s[:, 0].tobytes()]})
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first", ignore_index=True)
+        nodes = pdf["node"].to_numpy(np.int64)
         label = similar_groups([np.frombuffer(x, np.uint64) for x in pdf["shingles"]], similarity)
-        return pd.DataFrame({"node": pdf["node"], "component_id": pdf["first"].to_numpy()[label]}).drop_duplicates("node")
+        moved = nodes != nodes[label]
+        return pd.DataFrame({"u": nodes[moved], "v": nodes[label][moved]})
 
     fps = scratch.table(base.mapInPandas(prints, f"id {kind}, key binary, n long, f0 long, f1 long"))
     distinct = scratch.table(fps.groupBy("key", "n", "f0", "f1").agg(F.min("id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
     some = distinct.filter("n > 0")
     roots = connected_components(candidate_links(some.select("node", "f0", "f1"), some.count(), radius, scratch), scratch)
-    members = distinct.join(roots, "node").select("root", "node", "first", "key")
-    texts = members.join(base, F.col("first") == F.col("id")).select("root", "node", "first", "key", "text")
-    groups = texts.mapInPandas(sets, f"root long, node long, first {kind}, shingles binary").groupBy("root").applyInPandas(verify, f"node long, component_id {kind}")
-    by_key = scratch.table(distinct.join(scratch.table(groups), "node", "left").select("key", F.coalesce("component_id", "first").alias("component_id")))
+    members = scratch.table(distinct.join(roots, "node").select("root", "node", "first", "key", "n"))
+    blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")).filter("blocks > 1")
+    texts = members.join(blocks, "root", "left").join(base, F.col("first") == F.col("id")).select("root", "node", F.coalesce("blocks", F.lit(1)).alias("blocks"), "key", "text")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    met = texts.mapInPandas(sets, "root long, node long, blocks int, shingles binary").withColumn("own", own)
+    met = met.withColumn("other", F.explode(F.expr("filter(sequence(0, blocks - 1), k -> k <> own or blocks = 1)")))
+    verified = met.select("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "shingles").groupBy("root", "a", "b").applyInPandas(verify, "u long, v long")
+    groups = connected_components(verified, scratch)
+    rooted = scratch.table(distinct.join(groups, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "first"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    by_key = scratch.table(rooted.hint("merge").join(least, "root").select("key", "component_id"))
     return fps.select("id", "key").hint("merge").join(by_key, "key").select(F.col("id").alias(id_col), "component_id")

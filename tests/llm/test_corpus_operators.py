@@ -678,7 +678,9 @@ def test_blocks_whose_fingerprints_differ_in_the_first_bits_only(spark, monkeypa
     assert len(roots) == 8 and len({r.root for r in roots}) == 2
 
 
-def test_near_duplicate_groups(spark, corpus):
+@pytest.mark.parametrize("block", (1 << 20, 700))
+def test_near_duplicate_groups(spark, corpus, monkeypatch, block):
+    monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", block)  # at 700 a component has several blocks
     rng = random.Random(12)
     rows = list(corpus)
     for i in range(60):  # copies of copies, edited little by little
@@ -695,6 +697,26 @@ def test_near_duplicate_groups(spark, corpus):
     assert near_duplicates.near_duplicate_groups(frame(spark, [])).count() == 0
 
 
+def test_near_duplicate_links_skip_only_far_tiles(monkeypatch):
+    monkeypatch.setattr(near_duplicates, "TILE", 4)
+    monkeypatch.setattr(near_duplicates, "CELLS", 32)
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 1 << 64, (150, 2), np.uint64)
+    fps[:50] &= rng.integers(0, 1 << 64, (50, 2), np.uint64) & rng.integers(0, 1 << 64, (50, 2), np.uint64)  # few bits
+    fps[50:80] = fps[20:50] ^ (np.uint64(1) << rng.integers(0, 63, (30, 2), np.uint64))
+    a, b = (x[np.argsort(near_duplicates.populations(x), kind="stable")] for x in (fps[:90], fps[90:]))
+    both = np.concatenate([a, b])
+    near = np.bitwise_count(both[:, None] ^ both[None, :]).sum(2) <= 24
+    near[90:, 90:] = np.eye(60, dtype=bool)
+    expected, found = np.arange(150), np.arange(150)
+    u, v = (np.concatenate(x) for x in zip(near_duplicates.links(a, None, 24), near_duplicates.links(a, b, 24)))
+    for _ in range(150):
+        expected = np.array([expected[near[i]].min() for i in range(150)])
+        for i, j in zip(u, v):
+            found[i] = found[j] = min(found[i], found[j])
+    assert (found == expected).all() and len(set(expected.tolist())) < 130
+
+
 def test_links_connect_what_is_within_the_radius(spark, monkeypatch):
     from residua.llm.common import Scratch
     from residua.operators.components import connected_components
