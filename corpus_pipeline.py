@@ -41,11 +41,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     one of them is a near duplicate of a smaller id.
     """
     (gone,) = unused(docs, "gone")
-    found = near_duplicate_groups(docs).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(gone)).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col(gone), "left_anti").select(*docs.columns)
-    repeated = kept.groupBy(F.col("doc_id").alias(gone)).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & F.col(gone).isNotNull()).select(gone)
-    once = kept.join(repeated, F.col("doc_id") == F.col(gone), "left_anti")
-    again = kept.join(repeated, F.col("doc_id") == F.col(gone), "left_semi").dropDuplicates(["doc_id", "text"])
+    scratch = Scratch(spark)  # written, so that a join knows how large the ids are
+    found = scratch.table(near_duplicate_groups(docs).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(gone)).distinct())
+    repeated = docs.groupBy(F.col("doc_id").alias(gone)).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & F.col(gone).isNotNull()).select(gone)
+    repeated = scratch.table(repeated.join(found, gone, "left_anti"))
+    once = docs.join(found.unionByName(repeated), F.col("doc_id") == F.col(gone), "left_anti")
+    again = docs.join(repeated, F.col("doc_id") == F.col(gone), "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(again).select(*docs.columns)
 
 
