@@ -54,6 +54,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Drops documents that hold a benchmark item."""
     (gone,) = unused(docs, "gone")
     found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias(gone)).distinct()
+    found = Scratch(spark).table(found)  # written, so that the join knows how large the ids are
     return docs.join(found, F.col("doc_id") == F.col(gone), "left_anti").select(*docs.columns)
 
 
