@@ -184,7 +184,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     members = scratch.table(distinct.join(roots, "node").select("root", "node", "first", "key", "n"))
     blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")).filter("blocks > 1")
     dealt = scratch.table(members.join(blocks, "root", "left").select("root", "node", "first", "key", F.coalesce("blocks", F.lit(1)).alias("blocks")))
-    texts = dealt.join(base, F.col("first") == F.col("id")).select("root", "node", "blocks", "key", "text")
+    # Members grow with the documents, so their join is a merge join at every size.
+    texts = dealt.hint("merge").join(base, F.col("first") == F.col("id")).select("root", "node", "blocks", "key", "text")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     met = texts.mapInPandas(sets, "root long, node long, blocks int, shingles binary").withColumn("own", own)
     met = met.withColumn("other", F.explode(F.expr("filter(sequence(0, blocks - 1), k -> k <> own or blocks = 1)")))
