@@ -45,10 +45,12 @@ class Pretokens(dict):
     def __init__(self, model):
         self.model, self.letters = model, byte_letters()
 
-    def __missing__(self, piece: str) -> bytes:
+    def encode(self, piece: str) -> bytes:
         letters = self.letters
-        got = np.array([t.id for t in self.model.tokenize("".join([letters[b] for b in piece.encode()]))], "<u4").tobytes()
-        self[piece] = got
+        return np.array([t.id for t in self.model.tokenize("".join([letters[b] for b in piece.encode()]))], "<u4").tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self[piece] = self.encode(piece)
         return got
 
 
@@ -81,7 +83,9 @@ class WordIds(dict):
     def __missing__(self, key: bytes) -> bytes:
         word = key.decode()
         if _PLAIN.match(word) and not any(t in word for t in self.added):
-            got = b"".join([self.pretokens[x] for x in _PRETOKENS.findall(word.lower())])
+            pieces = _PRETOKENS.findall(word.lower())
+            # What is a word by itself is cached as that only.
+            got = b"".join([self.pretokens[x] for x in pieces]) if len(pieces) > 1 else b"".join([self.pretokens.get(x) or self.pretokens.encode(x) for x in pieces])
         else:
             got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         self[key] = got
