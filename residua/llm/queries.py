@@ -12,10 +12,13 @@ from .language_model import lm_score
 from .line_dedup import dedup_lines, dedup_page_lines
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
+from .sharding import assign_shards
 from .simhash import simhash_dedup
+from .spelling import spelling_variants, word_counts
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .url_reputation import judge_urls, page_outcomes
+from .vector_codes import label_errors, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,13 +79,27 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents"))).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = label_errors(vector_codes(table(spark, sf_dir, "embeddings")))
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = assign_shards(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_lm_score, op3_line_dedup, op4_substring_dedup, op5_suffix_dedup, op6_quality, op7_decontamination, op8_url_filter, op9_packing, op10_simhash, line_dedup_pages)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_lm_score, op3_line_dedup, op4_substring_dedup, op5_suffix_dedup, op6_quality, op7_decontamination, op8_url_filter, op9_packing, op10_simhash, op11_spelling_variants, op12_vector_codes, op13_sharding, line_dedup_pages)}
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -188,3 +205,73 @@ ORACLES: dict[str, str] = {
             THEN least(greatest(sum(n * (n - 1) * mean * (1 - mean)) / (sum(pow(k - n * mean, 2)) - sum(n * mean * (1 - mean))) - 1, 1e0), 1e3) ELSE 1e3 END""",
     ),
 }
+
+#: crc32 in SQL: a table of 256 by its rule, then a step a byte. ``crc32_of('x')`` needs the CTE crc_table.
+CRC_TABLE = """crc_table AS (
+    SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crcs)"""
+
+
+def crc32_of(text: str) -> str:
+    byte = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce({byte}, lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+ORACLES["op11_spelling_variants"] = rf"""
+    WITH RECURSIVE {CRC_TABLE}, runs AS (
+        SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+    ), hashed AS (
+        SELECT run, {crc32_of("id || ':' || run")} AS h FROM runs, crc_table WHERE length(run) >= 7
+    ), vocabulary AS (
+        SELECT word, count(*) AS n FROM (
+            SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed
+        ) WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+    ), cut AS (
+        SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)
+    ), near AS (
+        SELECT a.word, a.n, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN vocabulary b ON a.rest = b.word
+        UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN vocabulary b ON a.rest = b.word
+    ), best AS (
+        SELECT word, any_value(n) AS n, count(*) AS n_near, arg_min(other, (-m, other)) AS form, max(m) AS form_n FROM near GROUP BY word
+    ), forms AS (
+        SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * v.n THEN form END AS form, CASE WHEN form_n >= 10 * v.n THEN form_n END AS form_n FROM vocabulary v LEFT JOIN best USING (word)
+    ), chain AS (
+        SELECT word, word AS here, 0 AS k FROM forms
+        UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN forms f ON f.word = c.here WHERE f.form IS NOT NULL
+    ), roots AS (SELECT word, arg_max(here, k) AS root FROM chain GROUP BY word)
+    SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)"""
+
+
+def _lloyd_sql(rounds: int = 2) -> str:
+    """The CTEs b0..b<rounds> (part, entry, k, x) and a0..a<rounds> (id, part, entry, d): plain rounds, every distance measured."""
+    out = ["b0 AS (SELECT part, r - 1 AS entry, k, x FROM firsts JOIN whole USING (id))"]
+    for i in range(rounds + 1):
+        out.append(f"a{i} AS (SELECT id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT id, w.part, entry, sum((w.x - b.x) * (w.x - b.x))::BIGINT AS d FROM whole w JOIN b{i} b ON w.part = b.part AND w.k = b.k GROUP BY ALL) GROUP BY id, part)")
+        if i < rounds:
+            out.append(f"m{i} AS (SELECT part, entry, k, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x FROM a{i} JOIN whole USING (id, part) GROUP BY ALL)")
+            out.append(f"b{i + 1} AS (SELECT b.part, b.entry, b.k, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN m{i} m USING (part, entry, k))")
+    return ", ".join(out)
+
+
+ORACLES["op12_vector_codes"] = f"""
+    WITH kept AS (
+        SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS id, vec_id, label, embedding FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), whole AS (
+        SELECT id, (i - 1) // (len(embedding) // 16) AS part, (i - 1) % (len(embedding) // 16) AS k, floor(256e0 * embedding[i]::DOUBLE)::BIGINT AS x FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM kept)
+    ), firsts AS (SELECT id, id AS r FROM kept WHERE id <= 64
+    ), {_lloyd_sql()}, coded AS (
+        SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY id
+    ), sums AS (SELECT label, sum(error)::BIGINT AS label_error FROM coded JOIN kept USING (id) GROUP BY label)
+    SELECT vec_id, code, error, label_error, sha256((SELECT string_agg(x::VARCHAR, ',' ORDER BY part, entry, k) FROM b2)) AS codebooks_sha256
+    FROM coded JOIN kept USING (id) JOIN sums ON kept.label IS NOT DISTINCT FROM sums.label"""
+
+ORACLES["op13_sharding"] = f"""
+    WITH {CRC_TABLE}, rows_of AS (
+        SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, {crc32_of("coalesce(text, '')")} AS text_crc32, substr(md5('42|' || coalesce(doc_id::VARCHAR, '')), 1, 16) AS key FROM documents, crc_table
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, doc_id NULLS LAST, text_crc32, size) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM rows_of
+    ), placed AS (
+        SELECT *, row_number() OVER (ORDER BY (2 * r + 1)::DOUBLE / (2 * n)::DOUBLE, source NULLS LAST, key, doc_id NULLS LAST, text_crc32, size) - 1 AS p, (SELECT count(*) FROM rows_of) AS total FROM ranked
+    )
+    SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (p * 8 // total)::INT AS shard, p - (p * 8 // total * total + 7) // 8 AS slot, NULL::INT AS grown_shard FROM placed"""
