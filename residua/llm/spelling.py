@@ -145,9 +145,9 @@ def _keyed(rows: DataFrame, segment: str, level: int) -> DataFrame:
 
     Level k cuts a word into 2^k segments; empty ones have no rows.
     """
-    cuts = rows.withColumn("segment", F.expr(segment)).withColumns({"s": F.expr(f"int(segment * of div {1 << level})"), "e": F.expr(f"int((segment + 1) * of div {1 << level})")}).filter("e > s")
+    cuts = rows.withColumn("segment", F.expr(segment)).withColumns({"s": F.expr(f"int(bigint(segment) * of div {1 << level})"), "e": F.expr(f"int(bigint(segment + 1) * of div {1 << level})")}).filter("e > s")
     outside = [F.substring("word", F.lit(1), F.col("s")), F.expr("right(word, int(of - e))")]
-    return cuts.withColumn("key", F.xxhash64(F.col("of"), F.lit(level), F.col("segment"), *outside))
+    return cuts.select("word", "n", "size", "of", "segment", "s", "e", F.xxhash64(F.col("of"), F.lit(level), F.col("segment"), *outside).alias("key"))
 
 
 def spelling_variants(counts: DataFrame, times: int = TIMES, crowd: int = CROWD) -> DataFrame:
