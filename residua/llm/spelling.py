@@ -177,7 +177,7 @@ def spelling_variants(counts: DataFrame, times: int = TIMES, crowd: int = CROWD)
         rows = scratch.table(_keyed(rows.join(crowded, "key", "left_semi").select("word", "n", "size", "of", F.col("segment").alias("up")), "explode(array(2 * up, 2 * up + 1))", level))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def look(pdf: pd.DataFrame) -> pd.DataFrame:
+        def look(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
             known = Vocabulary(pdf["word"].tolist(), pdf["n"].tolist())
             edit = pdf[pdf["size"] == pdf["of"]]
             best: dict[str, tuple[int, int, str]] = {}
@@ -186,17 +186,18 @@ def spelling_variants(counts: DataFrame, times: int = TIMES, crowd: int = CROWD)
                 have = best.get(word)
                 one = (-known.counts[near], near)
                 best[word] = (1, *one) if have is None else (have[0] + 1, *min(have[1:], one))
-            return pd.DataFrame({"word": list(best), "n_near": [b[0] for b in best.values()], "form_n": [-b[1] for b in best.values()], "form": [b[2] for b in best.values()]})
+            if best:
+                yield pd.DataFrame({"word": list(best), "n_near": [b[0] for b in best.values()], "form_n": [-b[1] for b in best.values()], "form": [b[2] for b in best.values()]})
 
         rest = None
         for pdf in batches:
             rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
             whole = int((rest["key"] != rest["key"].iloc[-1]).sum())  # the last key may go on
             if whole >= 16384:
-                yield look(rest.iloc[:whole])
+                yield from look(rest.iloc[:whole])
                 rest = rest.iloc[whole:].reset_index(drop=True)
         if rest is not None:
-            yield look(rest)
+            yield from look(rest)
 
     final = final.select("key", "word", "n", "size", "of", "s", "e").repartition(parallelism(spark), "key").sortWithinPartitions("key")
     found = final.mapInPandas(meet, "word string, n_near long, form_n long, form string")

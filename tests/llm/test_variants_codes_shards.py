@@ -82,6 +82,8 @@ def test_spelling_variants(spark, spelled):
 def test_spelling_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert spelling.spelling_variants(spelling.word_counts(docs)).collect() == []
+    alone = spark.createDataFrame([("lonesome", 3)], "word string, n long")
+    assert [tuple(r) for r in spelling.spelling_variants(alone).collect()] == [("lonesome", None, "lonesome", 3, 0, None)]
 
 
 def test_edits_are_the_whole_neighbourhood():
