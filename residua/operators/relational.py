@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import COMPOSITION_FEATURES
-from ..functions.features import feature_label
+from ..functions.features import feature_label, scaled_position
+from ..plans.storage import stored
+from .quantiles import exact_quantiles
 
 
 def require_columns(df: DataFrame, names: Iterable[str]) -> None:
@@ -49,9 +51,10 @@ def class_name(label: Column) -> Column:
 
 
 def dataset_header(df: DataFrame) -> DataFrame:
-    """rows, unique sequences, median and extreme length, prevalence."""
+    """rows, unique sequences, median and extreme length, prevalence. df is read several times."""
     n = F.length("sequence")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("sequence").alias("unique_sequences"), F.median(n).alias("median_length"), F.min(n).alias("min_length"), F.max(n).alias("max_length"), F.avg(F.col("label").try_cast("double")).alias("prevalence"))
+    median = exact_quantiles(df.select(n.alias("size")), "size", (), (0.5,)).select(F.col("q")[0]).scalar()  # null of an empty table
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("sequence").alias("unique_sequences"), median.alias("median_length"), F.min(n).alias("min_length"), F.max(n).alias("max_length"), F.avg(F.col("label").try_cast("double")).alias("prevalence"))
 
 
 def split_profile(df: DataFrame) -> DataFrame:
@@ -79,17 +82,30 @@ def leaking_groups(df: DataFrame) -> DataFrame:
 
 
 def class_summary(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """(label, feature, median, mean, std) with three decimals."""
-    names = list(names)
-    long = df.unpivot(["label"], names, "feature", "value")
-    return long.groupBy("label", "feature").agg(F.round(F.median("value"), 3).alias("median"), F.round(F.avg("value"), 3).alias("mean"), F.round(F.stddev_samp("value"), 3).alias("std"))
+    """(label, feature, median, mean, std) with three decimals. The named columns are written once and read several times."""
+    long = stored(df.select("label", *names)).unpivot(["label"], list(names), "feature", "value")
+    moments = long.groupBy("label", "feature").agg(F.round(F.avg("value"), 3).alias("mean"), F.round(F.stddev_samp("value"), 3).alias("std"))
+    medians = exact_quantiles(long, "value", ("label", "feature"), (0.5,)).select(F.col("label").alias("__label"), F.col("feature").alias("__feature"), F.round(F.col("q")[0], 3).alias("median"))
+    met = moments.join(medians, moments["label"].eqNullSafe(medians["__label"]) & (moments["feature"] == medians["__feature"]), "left")
+    return met.select("label", "feature", "median", "mean", "std")
 
 
 def distribution_summary(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """(feature, q05, median, q95, amp_median, non_amp_median), exact and interpolated."""
-    long = df.unpivot(["label"], list(names), "feature", "value")
-    q = F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return long.groupBy("feature").agg(q.alias("q"), F.median(F.when(F.col("label") == 1, F.col("value"))).alias("amp_median"), F.median(F.when(F.col("label") == 0, F.col("value"))).alias("non_amp_median")).select("feature", F.col("q")[0].alias("q05"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q95"), "amp_median", "non_amp_median")
+    """(feature, q05, median, q95, amp_median, non_amp_median), exact and interpolated. The named columns are written once."""
+    long = stored(df.select("label", *names)).unpivot(["label"], list(names), "feature", "value")
+    every = exact_quantiles(long, "value", ("feature",), (0.05, 0.5, 0.95))
+    classes = exact_quantiles(long.filter(F.col("label").isin(0, 1)), "value", ("feature", "label"), (0.5,))
+    medians = classes.groupBy("feature").agg(*(F.max(F.when(F.col("label") == y, F.col("q")[0])).alias(c) for y, c in ((1, "amp_median"), (0, "non_amp_median"))))
+    return every.join(medians, "feature", "left").select("feature", F.col("q")[0].alias("q05"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q95"), "amp_median", "non_amp_median")
+
+
+def scaled_positions(df: DataFrame, names: Iterable[str], keep: Iterable[str]) -> DataFrame:
+    """The kept columns, and for each named one a value's place between the column's 5 % and 95 % quantiles. df is read several times."""
+    names = list(names)
+    found = exact_quantiles(df.unpivot([], names, "feature", "value"), "value", ("feature",), (0.05, 0.95))
+    q = {r.feature: r.q for r in found.collect()}  # one row a feature
+    nothing = [None, None]
+    return df.select(*keep, *(scaled_position(F.col(n), *(F.lit(x).cast("double") for x in q.get(n, nothing))).alias(n) for n in names))
 
 
 def composition_difference(df: DataFrame, top: int | None = 12) -> DataFrame:

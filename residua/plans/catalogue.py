@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.features import feature_columns, scaled_position, with_features
+from ..functions.features import feature_columns, with_features
 from ..functions.sequence import cluster_id, edit_similarity, fragment, fragment_id, invalid_symbols, normalize_sequence, parent_sequence, sequence_sha256, status_title, without_gaps
 from ..operators import audits, dataset, metrics, models, relational, similarity, splitting
 from ..sources import fasta, tables
@@ -155,9 +155,8 @@ def distribution_summary(spark, sf_dir):
 @query(f"""WITH {featured_sql(FIVE)}, {long_sql(FIVE)}, q AS (SELECT feature, quantile_cont(value, 0.05) AS low, quantile_cont(value, 0.95) AS high FROM long GROUP BY feature)
     SELECT source_id, {', '.join(f"round((SELECT CASE WHEN high <= low THEN 0.5e0 ELSE least(greatest(({n} - low) / (high - low), 0e0), 1e0) END FROM q WHERE feature = '{n}'), 6) + 0e0 AS {n}" for n in FIVE)} FROM featured""")
 def scaled_positions(spark, sf_dir):
-    rows = featured(spark, sf_dir, FIVE)
-    q = rows.agg(*(F.percentile(n, F.array(F.lit(0.05), F.lit(0.95))).alias(n) for n in FIVE)).first()
-    return rows.select("source_id", *(r6(scaled_position(F.col(n), F.lit(q[n][0]), F.lit(q[n][1]))).alias(n) for n in FIVE))
+    rows = stored(featured(spark, sf_dir, FIVE).select("source_id", *FIVE))
+    return relational.scaled_positions(rows, FIVE, ("source_id",)).select("source_id", *(r6(F.col(n)).alias(n) for n in FIVE))
 
 
 _AA = K.COMPOSITION_FEATURES
@@ -230,7 +229,7 @@ def dataset_quality_audit(spark, sf_dir):
 
 @query(f"""WITH {X.LAB} SELECT count(*) AS "rows", count(DISTINCT sequence) AS unique_sequences, median(length(sequence))::DOUBLE AS median_length, min(length(sequence))::INT AS min_length, max(length(sequence))::INT AS max_length, round(avg(label), 6) AS prevalence FROM lab""")
 def dataset_header(spark, sf_dir):
-    return relational.dataset_header(X.lab(spark, sf_dir)).withColumn("prevalence", F.round("prevalence", 6))
+    return relational.dataset_header(stored(X.lab(spark, sf_dir).select("sequence", "label"))).withColumn("prevalence", F.round("prevalence", 6))
 
 
 _INTERPRET = f"CASE WHEN score BETWEEN {THRESHOLD - 0.1} AND {THRESHOLD + 0.1} THEN 'Uncertain / borderline' WHEN score > {THRESHOLD + 0.1} THEN 'AMP-like' ELSE 'Non-AMP-like' END"
@@ -512,19 +511,22 @@ def lr_embeddings(spark, sf_dir):
     return models.fit_and_test(split, models.fit_logistic, "embedding")[3]
 
 
+def _forest(train):
+    return models.fit_forest(train, key="source_id")
+
+
 def _forest_rows(spark, sf_dir):
-    # A forest reads its rows once a level, so they are written first.
     return stored(splitting.random_split(stored(with_features(X.lab(spark, sf_dir))), "source_id"))
 
 
 @query()
 def rf_features(spark, sf_dir):
-    return models.fit_and_test(_forest_rows(spark, sf_dir), models.fit_forest)[3]
+    return models.fit_and_test(_forest_rows(spark, sf_dir), _forest)[3]
 
 
 @query()
 def rf_importance(spark, sf_dir):
-    return models.importance_table(models.fit_forest(_forest_rows(spark, sf_dir).filter("split = 'train'")), spark)
+    return models.importance_table(_forest(_forest_rows(spark, sf_dir).filter("split = 'train'")), spark)
 
 
 def toy_sql() -> str:
