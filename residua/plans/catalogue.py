@@ -246,22 +246,32 @@ def random_split(spark, sf_dir):
     return splitting.random_split(X.lab(spark, sf_dir), "source_id").select("source_id", "label", "split")
 
 
-@query(f"""WITH {X.PARTS}, d AS (SELECT DISTINCT sequence AS s, length(sequence) AS n FROM parts WHERE length(sequence) >= 5)
-    SELECT a.s AS a, b.s AS b, round(1 - levenshtein(a.s, b.s) / a.n::DOUBLE, 6) AS similarity FROM d a JOIN d b ON (b.n < a.n OR b.n = a.n AND b.s < a.s) AND b.n >= a.n * 0.8e0 - 1e-9
-    WHERE 1 - levenshtein(a.s, b.s) / a.n::DOUBLE >= 0.8e0""")
+#: Of d + 1 segments one is whole and shifted by d at most; what shares one is measured.
+@query(f"""WITH {X.PEP}, d AS (SELECT DISTINCT sequence AS s, length(sequence)::INT AS n FROM pep), parts_of AS (
+        SELECT n, e, i, (i * n) // (e + 1) AS at_, ((i + 1) * n) // (e + 1) - (i * n) // (e + 1) AS size FROM (
+            SELECT n, floor(0.2e0 * n + 1e-9)::INT AS e, unnest(range(0, floor(0.2e0 * n + 1e-9)::INT + 1)) AS i FROM (SELECT DISTINCT n FROM d))
+    ), own AS (SELECT s, n, i, substr(s, at_ + 1, size) AS piece FROM d JOIN parts_of USING (n)
+    ), probe AS (
+        SELECT DISTINCT s, longer, i, substr(s, p + 1, size) AS piece FROM (
+            SELECT d.s, q.n AS longer, q.i, q.size, unnest(range(greatest(0, q.at_ - q.e), least(d.n - q.size, q.at_ + q.e) + 1)) AS p FROM d JOIN parts_of q ON d.n <= q.n AND d.n >= q.n * 0.8e0 - 1e-9)
+    ), met AS (SELECT DISTINCT a.s AS a, b.s AS b FROM own a JOIN probe b ON a.n = b.longer AND a.i = b.i AND a.piece = b.piece AND (length(b.s) < a.n OR b.s < a.s))
+    SELECT a, b, round(1 - levenshtein(a, b) / length(a)::DOUBLE, 6) AS similarity FROM met WHERE 1 - levenshtein(a, b) / length(a)::DOUBLE >= 0.8e0""")
 def similarity_pairs(spark, sf_dir):
-    return similarity.similar_pairs(X.parts(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
+    return similarity.similar_pairs(stored(X.pep(spark, sf_dir).select("sequence").distinct())).withColumn("similarity", F.round("similarity", 6))
 
 
 @query()
 def similarity_groups(spark, sf_dir):
-    return similarity.greedy_groups(X.parts(spark, sf_dir))
+    return similarity.greedy_groups(stored(X.pep(spark, sf_dir).select("sequence").distinct()))
+
+
+def _labelled_sequences(spark, sf_dir):
+    return stored(X.lab(spark, sf_dir).groupBy("sequence").agg(F.max("label").alias("label")))
 
 
 @query()
 def similarity_split(spark, sf_dir):
-    rows = X.parts(spark, sf_dir).groupBy("sequence").agg(F.max("label").alias("label"))
-    return splitting.similarity_split(rows)
+    return splitting.similarity_split(_labelled_sequences(spark, sf_dir))
 
 
 def _parents(spark, sf_dir):
@@ -631,10 +641,10 @@ def negative_fragment_checks(spark, sf_dir):
     return each.select(F.length("sequence").alias("size"), (F.col("bad") + F.col("repeats") + F.coalesce("forbidden", F.lit(0).cast("long"))).alias("misplaced"))
 
 
-@query(f"WITH {X.PARTS}, p AS (SELECT DISTINCT sequence FROM parts) SELECT sequence, true AS near_its_representative, 0::BIGINT AS near_representatives_before FROM p")
+@query(f"WITH {X.PEP}, p AS (SELECT DISTINCT sequence FROM pep) SELECT sequence, true AS near_its_representative, 0::BIGINT AS near_representatives_before FROM p")
 def similarity_group_checks(spark, sf_dir):
     """What must hold of greedy groups: all are near their representative, which is near no representative before it."""
-    rows = stored(similarity.greedy_groups(X.parts(spark, sf_dir)))
+    rows = stored(similarity_groups(spark, sf_dir))
     leaders = rows.filter("sequence = representative").select("sequence", "group_number")
     pairs = similarity.similar_pairs(leaders)
     number = leaders.select(F.col("sequence").alias("a"), "group_number")
@@ -643,7 +653,7 @@ def similarity_group_checks(spark, sf_dir):
     return rows.join(late, "representative", "left").select("sequence", near.alias("near_its_representative"), F.coalesce("k", F.lit(0).cast("long")).alias("near_representatives_before"))
 
 
-@query(f"""WITH {X.PARTS}, p AS (SELECT sequence, max(label) AS label FROM parts GROUP BY sequence)
+@query(f"""WITH {X.LAB}, p AS (SELECT sequence, max(label) AS label FROM lab GROUP BY sequence)
     SELECT count(*) AS "rows", sum(label)::BIGINT AS amps, 0::BIGINT AS duplicate_rows, 0::BIGINT AS conflicting_sequences, 0::BIGINT AS leaking_groups, 0::BIGINT AS one_class_splits, true AS even FROM p""")
 def similarity_split_checks(spark, sf_dir):
     """The split is sound: integrity_report finds nothing, and no split is far from its share."""
