@@ -1,8 +1,9 @@
-"""Near duplicates: candidates by 128-bit SimHash, verified by the Jaccard similarity of their five-word shingles.
+"""Near duplicates: candidates by 256-bit SimHash, verified by the Jaccard similarity of their five-word shingles.
 
-Where the similarity is 0.8, shingle sets are at an angle that makes 19.4 of 128 bits differ on average; the
-radius is 3.4 standard deviations above that, while of unrelated texts 64 bits differ. All pairs of distinct shingle
-sets are compared, block by block and tile by tile; tiles whose population counts differ by more than the radius are skipped. Links
+Where the similarity is 0.8, shingle sets are at an angle that makes 38.8 of 256 bits differ on average; the
+radius is 3.4 standard deviations above that. Of unrelated texts 128 bits differ, and two of them lie within the radius with a chance of
+about 10^-18, so candidates don't grow together by chance at any number of documents (with 128 bits they would from some 10^7 on). All
+pairs of distinct shingle sets are compared, block by block and tile by tile; tiles whose population counts differ by more than the radius are skipped. Links
 connect candidates to components, and in a component the sets themselves decide: what a chain of pairs at or above the
 similarity connects is one group. A component's sets are dealt to blocks of bounded size, and every two of its blocks
 meet in a task, which returns a spanning forest of the links it has verified.
@@ -20,10 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..operators.forest import mixed
 from .common import Scratch, text_of
 from .simhash import CELLS, TILE, labels_of
 
-WORDS, SIMILARITY, RADIUS = 5, 0.8, 33
+WORDS, SIMILARITY, RADIUS = 5, 0.8, 58
+#: 64-bit numbers of a fingerprint.
+PIECES = 4
+PRINTS = [f"f{k}" for k in range(PIECES)]
 #: Rows of a block on average.
 BLOCK_ROWS = 1 << 16
 #: Shingles on average of a block of a component's sets, eight bytes each; a task holds two blocks.
@@ -41,15 +46,17 @@ def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
 
 
 def fingerprint(shingles: np.ndarray) -> np.ndarray:
-    """128 bits as two numbers: the majority of the shingles' bits."""
-    counts = np.zeros(128, np.int64)
-    for at in range(0, len(shingles), 1 << 15):
-        counts += np.unpackbits(np.ascontiguousarray(shingles[at : at + (1 << 15)]).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    """256 bits as four numbers: the majority of the bits of the shingles' hashes and of what these are mixed to."""
+    counts = np.zeros(64 * PIECES, np.int64)
+    for at in range(0, len(shingles), 1 << 14):
+        h = shingles[at : at + (1 << 14)]
+        wide = np.ascontiguousarray(np.concatenate([h, mixed(h)], 1))
+        counts += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return np.packbits(counts * 2 > len(shingles), bitorder="little").view(np.uint64)
 
 
 def populations(fps: np.ndarray) -> np.ndarray:
-    """Population counts of 128-bit fingerprints, a row of two numbers each."""
+    """Population counts of fingerprints, a row of numbers each."""
     return np.bitwise_count(fps).sum(1, dtype=np.int16)
 
 
@@ -65,7 +72,7 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray,
     """
     other, first = (a, 0) if b is None else (b, len(a))
     pops, step = populations(other), CELLS // TILE
-    o0, o1 = np.ascontiguousarray(other[:, 0]), np.ascontiguousarray(other[:, 1])
+    columns = [np.ascontiguousarray(c) for c in other.T]
     found_u, found_v = [], []
     for at in range(0, len(a), TILE):
         tile = a[at : at + TILE]
@@ -73,8 +80,10 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray,
         for k in range(at if b is None else 0, len(other), step):
             if max(own[0] - pops[k : k + step][-1], pops[k] - own[-1]) > radius:
                 continue
-            d = np.bitwise_count(tile[:, :1] ^ o0[None, k : k + step])
-            d += np.bitwise_count(tile[:, 1:] ^ o1[None, k : k + step])
+            # Eight bits a count: of exactly opposite fingerprints it wraps to nought, one more candidate to be verified.
+            d = np.bitwise_count(tile[:, 0, None] ^ columns[0][None, k : k + step])
+            for own_bits, bits in zip(tile.T[1:], columns[1:]):
+                d += np.bitwise_count(own_bits[:, None] ^ bits[None, k : k + step])
             i, j = np.nonzero(d <= radius)
             u, v = i + at, j + k + first
             if b is None:
@@ -94,11 +103,11 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray,
 
 
 def candidate_links(rows: DataFrame, n: int, radius: int, scratch: Scratch) -> DataFrame:
-    """n rows (node, f0, f1) to links (u, v) that connect what lies within the radius."""
+    """n rows (node, PRINTS) to links (u, v) that connect what lies within the radius."""
     count = -(-n // BLOCK_ROWS)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        fps = np.stack([pdf["f0"].to_numpy(np.int64), pdf["f1"].to_numpy(np.int64)], 1)
+        fps = np.ascontiguousarray(pdf[PRINTS].to_numpy(np.int64))
         order = np.argsort(populations(fps.view(np.uint64)), kind="stable")
         return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "nodes": [pdf["node"].to_numpy(np.int64)[order].tobytes()], "fps": [fps[order].tobytes()]})
 
@@ -110,7 +119,7 @@ def candidate_links(rows: DataFrame, n: int, radius: int, scratch: Scratch) -> D
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["nodes"]])
-        sides = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in pdf["fps"]]
+        sides = [np.frombuffer(x, np.uint64).reshape(-1, PIECES) for x in pdf["fps"]]
         u, v = links(sides[0], sides[1] if len(sides) > 1 else None, radius)
         return pd.DataFrame({"u": nodes[u], "v": nodes[v]})
 
@@ -156,13 +165,13 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys, fps, sizes = [], np.zeros((len(pdf), 2), np.uint64), []
+            keys, fps, sizes = [], np.zeros((len(pdf), PIECES), np.uint64), []
             for k, text in enumerate(pdf["text"]):
                 s = shingle_set(text, words)
                 keys.append(set_key(s))
                 sizes.append(len(s))
                 fps[k] = fingerprint(s)
-            yield pd.DataFrame({"id": pdf["id"], "key": keys, "n": sizes, "f0": fps[:, 0].view(np.int64), "f1": fps[:, 1].view(np.int64)})
+            yield pd.DataFrame({"id": pdf["id"], "key": keys, "n": sizes, **{c: fps[:, k].view(np.int64) for k, c in enumerate(PRINTS)}})
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -177,10 +186,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         moved = nodes != nodes[label]
         return pd.DataFrame({"u": nodes[moved], "v": nodes[label][moved]})
 
-    fps = scratch.table(base.mapInPandas(prints, f"id {kind}, key binary, n long, f0 long, f1 long"))
-    distinct = scratch.table(fps.groupBy("key", "n", "f0", "f1").agg(F.min("id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    fps = scratch.table(base.mapInPandas(prints, f"id {kind}, key binary, n long, " + ", ".join(f"{c} long" for c in PRINTS)))
+    distinct = scratch.table(fps.groupBy("key", "n", *PRINTS).agg(F.min("id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
     some = distinct.filter("n > 0")
-    roots = connected_components(candidate_links(some.select("node", "f0", "f1"), some.count(), radius, scratch), scratch)
+    roots = connected_components(candidate_links(some.select("node", *PRINTS), some.count(), radius, scratch), scratch)
     members = scratch.table(distinct.join(roots, "node").select("root", "node", "first", "key", "n"))
     blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")).filter("blocks > 1")
     dealt = scratch.table(members.join(blocks, "root", "left").select("root", "node", "first", "key", F.coalesce("blocks", F.lit(1)).alias("blocks")))
