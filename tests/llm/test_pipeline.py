@@ -52,3 +52,26 @@ def test_stages_and_run(spark, tmp_path):
     whole = {(r.doc_id, r.piece, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert whole == {(r.doc_id, r.piece, r.length, r.ids_crc32) for r in now.collect()}
     assert {x[0] for x in whole} == set(kept["decontamination"])
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    """A verdict is a row's own: null ids are judged, and rows that share an id with a dropped one stay."""
+    rng = random.Random(2)
+    words = [f"{a}{b}" for a in ("lo", "mi", "ru", "za") for b in range(60)]
+    prose = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(8)]
+    item = " ".join(rng.choice(words) + "q" for _ in range(40))
+    held = prose[0] + " " + item + " " + prose[1]
+    near = prose[2].replace(prose[2].split()[60], "changed", 1)
+    rows = [(1, held), (None, held), (1, prose[3]), (None, prose[4]), (2, prose[2]), (3, near), (3, prose[5]), (None, prose[2]), (4, prose[6]), (4, prose[6]), (4, prose[7]), (5, prose[5]), (-7, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "x", 1, True) for i, t in rows], "doc_id long, text string, gone string, number int, known boolean").repartition(3)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in clean.collect()), key=str)
+    assert kept == sorted(((i, t) for i, t in rows if t != held), key=str)
+    out = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    want = [(1, held), (1, prose[3]), (None, prose[4]), (2, prose[2]), (3, prose[5]), (4, prose[6]), (4, prose[7]), (-7, "")]
+    assert kept == sorted(want, key=str)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), str(tmp_path)).count() == 0
