@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import RESIDUES
 from ..functions.sequence import fragment, fragment_id, normalize_sequence, parent_sequence, seeded_draw, sequence_sha256
-from ..plans.storage import stored
+from ..plans.storage import Scratch, stored
+from .similarity import in_order
 
-#: Tries for a fragment, positives needed.
-TRIES, LEAST_POSITIVES = 250, 20
+#: Fixed value: positives needed.
+LEAST_POSITIVES = 20
+#: Rounds of the permutation, slots of a size's space, steps of the walk that one row stands for.
+ROUNDS, SLOTS, CHUNK = 4, 1024, 4096
 
 
 def dedup_first(df: DataFrame, key: str = "sequence", order: str = "ordinal") -> DataFrame:
@@ -77,48 +78,90 @@ def _ranked_parents(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(p.join(F.broadcast(sizes), "n").select((F.col("start") + inside).alias("rank"), "parent_id", "parent", "n")), sizes
 
 
-def one_round(todo: DataFrame, ranked: DataFrame, eligible: DataFrame, taken: DataFrame, seed: int, number: int) -> DataFrame:
-    """One try for each (fragment_index, size): a uniform parent, a uniform start; accepted if new.
+def permuted(index: Column, half: Column, key: Column, seed: int | str) -> Column:
+    """A keyed permutation of [0, 4^half): a Feistel network of ROUNDS rounds, each half hashed by md5 with the key and the round's number."""
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), half) - 1
+    left, right = F.call_function("shiftright", index, half), index.bitwiseAND(mask)
+    for number in range(ROUNDS):
+        left, right = right, left.bitwiseXOR(seeded_draw(F.concat_ws("|", key, F.lit(number), right), seed).bitwiseAND(mask))
+    return F.call_function("shiftleft", left, half) + right
+
+
+def fragment_space(wanted: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(size, m, total, half) of wanted sizes (size, m), and (size, slot, low, high, n, first): where parents of a length lie in a size's space.
 
-    Of equal fragments the lowest index wins; fragments in ``taken`` (sequence) lose.
+    The space of a size numbers all (parent, start) of its fragments: longest parents first, each parent's starts together. Lengths are
+    found by slots, of which a size has SLOTS, so that a number meets few of them.
     """
-    drawn = todo.join(eligible, "size").withColumn("rank", F.pmod(seeded_draw(F.col("fragment_index"), f"{seed}|parent|{number}"), F.col("eligible")))
-    met = drawn.join(ranked, "rank").withColumn("start", F.pmod(seeded_draw(F.col("fragment_index"), f"{seed}|start|{number}"), F.col("n") - F.col("size") + 1))
-    cut = met.select("fragment_index", "size", "parent_id", "start", fragment(F.col("parent"), F.col("start").cast("int"), F.col("size")).alias("sequence"))
-    return dedup_first(cut, "sequence", "fragment_index").join(taken.select("sequence").distinct(), "sequence", "left_anti")
+    fit = wanted.join(sizes, sizes["n"] >= wanted["size"], "left").withColumn("starts", (F.col("upto") - F.col("start")) * (F.col("n") - F.col("size") + 1))
+    upto = F.sum("starts").over(Window.partitionBy("size").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))  # one row a length
+    spans = stored(fit.select("size", "m", "n", F.col("start").alias("first"), (upto - F.col("starts")).alias("low"), upto.alias("high")))
+    # The least half with 4^half >= total, in whole numbers.
+    half = F.size(F.filter(F.sequence(F.lit(0), F.lit(31)), lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), 2 * k) < F.col("total")))
+    space = stored(spans.groupBy("size", "m").agg(F.max("high").alias("total")).withColumn("half", half))
+    width = F.greatest(F.lit(1), F.ceil(F.col("total") / SLOTS)).cast("long")
+    met = spans.filter("n is not null").join(space.select("size", width.alias("width")), "size")
+    slots = met.withColumn("slot", F.explode(F.expr("sequence(low div width, (high - 1) div width)")))
+    return space, stored(slots.select("size", "width", "slot", "low", "high", "n", "first"))
 
 
 def negative_fragments(parents: DataFrame, targets: DataFrame, forbidden: DataFrame, seed: int = 42, source: str = "UniProt fragment") -> DataFrame:
-    """Length-matched fragments of parents (id, sequence), one for each (fragment_index, size), none in forbidden.
+    """Length-matched fragments of parents (id, sequence), one for each (fragment_index, size), none in forbidden and none twice.
 
-    Raises if there is no parent, none is long enough for a size, or TRIES rounds don't suffice.
+    Each size's space of (parent, start) is walked in a keyed permutation's order, so no draw repeats. What is forbidden, or equals an
+    earlier fragment of the walk, is passed over; the j-th left goes to the size's j-th index. How far a step of the walk goes changes nothing.
+    Raises if there is no parent, none is long enough for a size, or a size's space has too few fragments.
     """
+    scratch = Scratch(parents.sparkSession)
     ranked, sizes = _ranked_parents(parents)
     if ranked.isEmpty():
         raise ValueError("no canonical parent proteins to cut fragments from")
-    wanted = targets.select("size").distinct()
-    eligible = stored(wanted.join(sizes, sizes["n"] >= wanted["size"], "left").groupBy("size").agg(F.max("upto").alias("eligible")))
-    short = eligible.filter("eligible is null").first()
+    targets = scratch.table(targets.select("fragment_index", "size"))
+    space, slots = fragment_space(stored(targets.groupBy("size").agg(F.count(F.lit(1)).alias("m"))), sizes)
+    short = space.filter("total is null").first()
     if short is not None:
         raise ValueError(f"no parent protein is long enough for a fragment of {short['size']} residues")
-    todo, done = stored(targets), []
-    for number in range(TRIES):
-        if todo.isEmpty():
+    banned = forbidden.select("sequence").distinct()
+    walk, found = space.select("size", "total", "half", "m", F.lit(0).cast("long").alias("begin"), F.col("m").alias("open")), None
+    size = F.col("size").cast("string")
+    while True:
+        # As many steps as are likely to do: at least a quarter of the permutation's numbers lie in the space.
+        end = F.least(F.expr("shiftleft(1L, 2 * half)"), F.col("begin") + 4 * F.col("open") + 256)
+        walk = scratch.table(walk.withColumn("end", end))
+        chunks = walk.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (end - 1 - begin) div {CHUNK}L)"))).repartition("size", "chunk")
+        steps = chunks.withColumn("step", F.explode(F.expr(f"sequence(begin + chunk * {CHUNK}L, least(end, begin + (chunk + 1) * {CHUNK}L) - 1)")))
+        drawn = steps.withColumn("x", permuted(F.col("step"), F.col("half"), size, f"{seed}|walk")).filter("x < total").select("size", "step", "x")
+        at = drawn.join(slots.select(F.col("size").alias("of"), "width", "slot", "low", "high", "n", "first"), (F.col("size") == F.col("of")) & (F.expr("x div width") == F.col("slot")) & (F.col("x") >= F.col("low")) & (F.col("x") < F.col("high")))
+        place = F.col("x") - F.col("low")
+        starts = (F.col("n") - F.col("size") + 1).cast("long")
+        cut = at.select("size", "step", (F.col("first") + F.floor(place / starts)).alias("rank"), F.pmod(place, starts).alias("start")).join(ranked.select("rank", "parent_id", "parent"), "rank")
+        each = cut.select("size", "step", "parent_id", "start", fragment(F.col("parent"), F.col("start").cast("int"), F.col("size")).alias("sequence"))
+        new = dedup_first(each, "sequence", "step").join(banned, "sequence", "left_anti")
+        if found is not None:
+            new = new.join(found.select("sequence"), "sequence", "left_anti")
+        new = scratch.table(new)
+        found = new if found is None else found.unionByName(new)
+        have = found.groupBy(F.col("size").alias("of")).agg(F.count(F.lit(1)).alias("have"))
+        left = scratch.table(walk.join(have, F.col("size") == F.col("of"), "left").withColumn("open", F.col("m") - F.coalesce("have", F.lit(0))).filter("open > 0").select("size", "total", "half", "m", F.col("end").alias("begin"), "open"))
+        if left.isEmpty():
             break
-        taken = reduce(DataFrame.unionByName, [d.select("sequence") for d in done], forbidden.select("sequence"))
-        got = stored(one_round(todo, ranked, eligible, taken, seed, number))
-        done.append(got)
-        todo = stored(todo.join(got.select("fragment_index"), "fragment_index", "left_anti"))
-    else:
-        if not todo.isEmpty():
+        if not left.filter("begin >= shiftleft(1L, 2 * half)").isEmpty():
             raise RuntimeError("not enough unique negative fragments: add parents or lower the ratio")
-    if not done:
-        done = [stored(one_round(targets, ranked, eligible, forbidden, seed, 0))]
-    rows = reduce(DataFrame.unionByName, done)
+        walk = left
+    taken = _nth(found, "step").withColumnsRenamed({"size": "of", "nth": "of_nth"})
+    rows = _nth(targets, "fragment_index").join(taken, (F.col("size") == F.col("of")) & (F.col("nth") == F.col("of_nth")))
     # Label and class name.
     return rows.select("sequence", F.lit(0).alias("label"), F.lit("Putative non-AMP").alias("class_name"), F.lit(source).alias("source"), fragment_id(F.col("parent_id"), F.col("start"), F.col("size")).alias("source_id"), "parent_id", F.col("fragment_index").cast("int").alias("fragment_index"))
 
 
+def _nth(rows: DataFrame, order: str) -> DataFrame:
+    """rows with ``nth``: their number within their size, from 0. One sort in ranges, so that no size passes through one task."""
+    placed, _ = in_order(rows, [F.col("size"), F.col(order)])
+    placed = stored(placed)
+    first = stored(placed.groupBy(F.col("size").alias("__size")).agg(F.min("place").alias("__first")))
+    return placed.join(first, F.col("size") == F.col("__size")).withColumn("nth", F.col("place") - F.col("__first")).drop("__size", "__first", "place")
+
+
 def labelled_union(positives: DataFrame, negatives: DataFrame, seed: int = 42) -> DataFrame:
     """Both classes with sequence_sha256, length and a seeded shuffle key."""
     both = positives.unionByName(negatives, allowMissingColumns=True)

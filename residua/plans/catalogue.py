@@ -278,11 +278,63 @@ def _parents(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.upper(F.regexp_replace("text", f"[^{X.BOTH_CASES}]", "")).alias("sequence"))
 
 
-@query()
+#: Lengths drawn for as many negatives as there are positives in p(sequence).
+_LENGTHS = f"""lengths AS (SELECT length(sequence) AS size, count(*) AS k FROM p GROUP BY 1
+    ), ends AS (SELECT size, sum(k) OVER (ORDER BY size) - k AS low, sum(k) OVER (ORDER BY size) AS high FROM lengths
+    ), draws AS (SELECT i AS fragment_index, {draw_sql('i', '42|size')} % (SELECT count(*) FROM p) AS d FROM range(0, (SELECT count(*) FROM p)) t(i)
+    ), targets AS (SELECT fragment_index, size::INT AS size FROM draws JOIN ends ON d >= low AND d < high)"""
+_TARGETS = f"p AS (SELECT DISTINCT sequence FROM lab WHERE label = 1), {_LENGTHS}"
+
+
+def _feistel_sql() -> str:
+    """CTEs f0 (size, step, half, l, r) to f<rounds>: a quarter of a permutation's numbers at least lie in the space, so eight times the need does."""
+    out = ["f0 AS (SELECT size, total, half, step, step >> half AS l, step & ((1::BIGINT << half) - 1) AS r FROM (SELECT *, unnest(range(0, least(1::BIGINT << (2 * half), 8 * m + 512))) AS step FROM space))"]
+    for k in range(dataset.ROUNDS):
+        draw = draw_sql(f"size || '|{k}|' || r", "42|walk")
+        out.append(f"f{k + 1} AS (SELECT size, total, half, step, r AS l, xor(l, {draw} & ((1::BIGINT << half) - 1)) AS r FROM f{k})")
+    return ", ".join(out)
+
+
+#: From p and targets to negatives: each size's space of (parent, start), walked in the permutation's order.
+_NEGATIVES = f"""parents AS (
+        SELECT doc_id::VARCHAR AS parent_id, upper(regexp_replace(text, '[^{X.BOTH_CASES}]', '', 'g')) AS parent FROM documents WHERE text IS NOT NULL
+    ), wanted AS (SELECT size, count(*) AS m FROM targets GROUP BY size
+    ), lows AS (
+        SELECT size, m, parent_id, parent, length(parent) - size + 1 AS starts, sum(length(parent) - size + 1) OVER (PARTITION BY size ORDER BY length(parent) DESC, parent_id, parent ROWS UNBOUNDED PRECEDING)::BIGINT AS high
+        FROM wanted JOIN parents ON length(parent) >= size AND parent <> ''
+    ), space AS (
+        SELECT size, m, max(high) AS total, len(list_filter(range(0, 32), lambda k: (1::BIGINT << (2 * k)) < max(high)))::INT AS half FROM lows GROUP BY size, m
+    ), {_feistel_sql()}, drawn AS (
+        SELECT size, step, (l << half) + r AS x FROM f{dataset.ROUNDS} WHERE (l << half) + r < total
+    ), cut AS (
+        SELECT d.size, step, parent_id, x - (high - starts) AS start, substr(parent, (x - (high - starts))::INT + 1, d.size) AS sequence
+        FROM drawn d ASOF JOIN lows w ON d.size = w.size AND d.x < w.high
+    ), once AS (
+        SELECT size, min(step) AS step, arg_min(parent_id, step) AS parent_id, arg_min(start, step) AS start, sequence FROM cut WHERE sequence NOT IN (SELECT sequence FROM p) GROUP BY size, sequence
+    ), taken AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY step) AS nth FROM once
+    ), wants AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY fragment_index) AS nth FROM targets), negatives AS (
+        SELECT sequence, 0 AS label, 'Putative non-AMP' AS class_name, 'UniProt fragment' AS source, parent_id || ':' || (start + 1) || '-' || (start + size) AS source_id, parent_id, fragment_index::INT AS fragment_index
+        FROM wants JOIN taken USING (size, nth))"""
+
+
+@query(f"WITH {X.LAB}, {_TARGETS}, {_NEGATIVES} SELECT * FROM negatives")
 def negative_fragments(spark, sf_dir):
-    positives = dataset.dedup_first(X.parts(spark, sf_dir).select("sequence", F.col("p_partkey").alias("ordinal")))
-    n = positives.count()
-    return dataset.negative_fragments(_parents(spark, sf_dir), dataset.target_lengths(positives, n), positives)
+    positives = stored(X.lab(spark, sf_dir).filter("label = 1").select("sequence").distinct())
+    return dataset.negative_fragments(_parents(spark, sf_dir), dataset.target_lengths(positives, positives.count()), positives)
+
+
+@query(f"""WITH {X.LAB}, cleaned AS (SELECT sequence, arg_min(source_id, doc_id * 1000000 + k) AS source_id FROM lab WHERE label = 1 AND length(sequence) BETWEEN 8 AND 80 GROUP BY sequence
+    ), p AS (SELECT sequence FROM cleaned), {_LENGTHS}, {_NEGATIVES}, rows_of AS (
+        SELECT sequence, 1 AS label, 'AMP' AS class_name, 'APD' AS source, source_id, source_id AS parent_id, NULL::INT AS fragment_index FROM cleaned UNION ALL SELECT * FROM negatives
+    ), ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {draw_sql('sequence', '42|split')}, sequence) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM rows_of)
+    SELECT sequence, label, class_name, source, source_id, parent_id, fragment_index, sha256(sequence) AS sequence_sha256, length(sequence)::INT AS length, {draw_sql('sequence', '42|shuffle')} AS shuffle_key,
+           CASE WHEN i < round(n * 0.2e0) THEN 'test' WHEN i < round(n * 0.4e0) THEN 'validation' ELSE 'train' END AS split, 'row_' || sha256(sequence) AS split_group FROM ranked""")
+def build_dataset(spark, sf_dir):
+    """From raw records with header lines and small letters to the split dataset."""
+    lab = X.lab(spark, sf_dir).filter("label = 1")
+    records = stored(lab.select(F.col("source_id").alias("record_id"), (F.col("doc_id") * 1000000 + F.col("k")).alias("ordinal"), F.concat(F.lit(">r\n"), F.lower("sequence")).alias("sequence")))
+    out, _ = dataset.build_dataset(records, _parents(spark, sf_dir), split_mode="random")
+    return out.select("sequence", "label", "class_name", "source", "source_id", "parent_id", "fragment_index", "sequence_sha256", "length", "shuffle_key", "split", "split_group")
 
 
 @query(f"""WITH {X.PARTS}, p AS (SELECT sequence, min(p_partkey) AS ordinal FROM parts WHERE length(sequence) >= 5 GROUP BY sequence), sizes AS (
@@ -373,10 +425,11 @@ _INT = metrics.INTERVALS
         SELECT b, s.label, {draw_sql("b || '|' || s.label || '|' || i", 42)} % size AS place FROM sizes s, unnest(range(0, size)) u(i), range(0, 1000) v(b)),
     drawn AS (SELECT b, t.label, score FROM draws JOIN t USING (label, place)), {metrics_sql('drawn', 'b')},
     bounds AS ({' UNION ALL '.join(f"SELECT '{x}' AS metric, quantile_cont({x}, 0.025) AS lower, quantile_cont({x}, 0.975) AS upper FROM m" for x in _INT)})
-    SELECT metric, round(lower, 6) AS lower, round(upper, 6) AS upper FROM bounds""")
+    SELECT metric, round(estimate, 6) AS estimate, round(lower, 6) AS lower, round(upper, 6) AS upper FROM bounds JOIN (
+        WITH whole AS (SELECT 0 AS one, label, score FROM t), {metrics_sql('whole', 'one')} {' UNION ALL '.join(f"SELECT '{x}' AS metric, {x} AS estimate FROM m" for x in _INT)}) USING (metric)""")
 def bootstrap_intervals(spark, sf_dir):
     out = metrics.bootstrap_intervals(X.scored(spark, sf_dir).filter("split = 'test'"), "source_id", THRESHOLD)
-    return out.select("metric", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"))
+    return out.select("metric", *(F.round(c, 6).alias(c) for c in ("estimate", "lower", "upper")))
 
 
 @query(f"""WITH {X.SCORED}, held AS (SELECT * FROM scored WHERE split <> 'train'), {metrics_sql('held', 'split')}
@@ -539,6 +592,14 @@ def rf_importance(spark, sf_dir):
     return models.importance_table(_forest(_forest_rows(spark, sf_dir).filter("split = 'train'")), spark)
 
 
+@query()
+def predict_sequences(spark, sf_dir):
+    """A forest fitted on the labelled peptides' train split, and all peptides as raw text predicted with it."""
+    model = models.fit_forest(_forest_rows(spark, sf_dir).filter("split = 'train'"), trees=50, key="source_id")
+    raw = stored(X.pep(spark, sf_dir).select("sequence").distinct()).select(F.concat(F.lit(">p\n"), F.lower("sequence")).alias("raw"))
+    return models.predict_sequences(model, {"kind": models.FOREST_KIND, "threshold": THRESHOLD}, raw, "raw")
+
+
 def toy_sql() -> str:
     """Candidates of both classes by the same draws, the first 120 new ones of each by number."""
     parts = []
@@ -627,7 +688,7 @@ def screening_record_fields(spark, sf_dir):
     return screening_record(spark, sf_dir).select("sequence", made).select("sequence", F.round("r.score", 6).alias("score"), "r.threshold", "r.interpretation", F.size("r.audit").alias("checks"), (F.col("r.features")["gravy"] + F.lit(0.0)).alias("gravy"), F.size("r.unmeasured_endpoints").alias("unmeasured"))
 
 
-@query(f"SELECT size, 0::BIGINT AS misplaced FROM ({ORACLES['target_lengths']})")
+@query(f"WITH {X.LAB}, {_TARGETS} SELECT size, 0::BIGINT AS misplaced FROM targets")
 def negative_fragment_checks(spark, sf_dir):
     """Per fragment its size and what is wrong with it: repeated, forbidden, or not what its id says of its parent."""
     got = stored(negative_fragments(spark, sf_dir))
@@ -636,7 +697,7 @@ def negative_fragment_checks(spark, sf_dir):
     cut = got.withColumns({"first": ends[0].cast("int"), "last": ends[1].cast("int")}).join(parents, "parent_id", "left")
     bad = F.coalesce(F.expr("substr(parent, first, last - first + 1)") != F.col("sequence"), F.lit(True)).cast("long")
     repeated = got.groupBy("sequence").agg((F.count(F.lit(1)) - 1).alias("repeats"))
-    forbidden = X.parts(spark, sf_dir).select("sequence", F.lit(1).cast("long").alias("forbidden")).distinct()
+    forbidden = X.lab(spark, sf_dir).filter("label = 1").select("sequence", F.lit(1).cast("long").alias("forbidden")).distinct()
     each = cut.withColumn("bad", bad).join(repeated, "sequence").join(forbidden, "sequence", "left")
     return each.select(F.length("sequence").alias("size"), (F.col("bad") + F.col("repeats") + F.coalesce("forbidden", F.lit(0).cast("long"))).alias("misplaced"))
 

@@ -277,3 +277,35 @@ def test_scratch_is_deleted(spark):
     assert os.listdir(folder) == ["2"] and b.count() == 4
     storage.clean(spark)
     assert not os.path.exists(folder)
+
+
+def test_fragments_use_up_a_space(spark):
+    """Sixteen fragments of five there are, and sixteen are found, whatever the walk's order; the seventeenth isn't."""
+    one = spark.createDataFrame([("p", "ACDEFGHIKLMNPQRSTVWY"), ("q", "ACDEF")], "id string, sequence string")
+    nothing = spark.createDataFrame([], "sequence string")
+    want = spark.createDataFrame([(i, 5) for i in range(16)], "fragment_index long, size int")
+    made = dataset.negative_fragments(one, want, nothing, 3).collect()
+    assert {r.sequence for r in made} == {"ACDEFGHIKLMNPQRSTVWY"[i : i + 5] for i in range(16)} and {r.fragment_index for r in made} == set(range(16))
+    with pytest.raises(RuntimeError, match="not enough"):
+        dataset.negative_fragments(one, spark.createDataFrame([(i, 5) for i in range(17)], "fragment_index long, size int"), nothing, 3)
+    walked = spark.range(256).select(dataset.permuted(F.col("id"), F.lit(4), F.lit("5"), "s").alias("x")).collect()
+    assert sorted(r.x for r in walked) == list(range(256)) and [r.x for r in walked] != list(range(256))
+
+
+def test_representatives_by_blocks(spark):
+    """The sequential rule on a chain longer than its blocks, and on a random graph."""
+    names = [f"{i:05d}" for i in range(10_001)]
+    chain = spark.createDataFrame(list(zip(names, names[1:])), "u string, v string")
+    assert sorted(r.node for r in similarity.representatives(chain, 6000).collect()) == names[::2]
+    rng = random.Random(2)
+    edges = {tuple(sorted(rng.sample(names[:600], 2))) for _ in range(1500)}
+    near = {}
+    for a, b in edges:
+        near.setdefault(b, set()).add(a)
+    leads = set()
+    for x in sorted({x for e in edges for x in e}):
+        if not near.get(x, set()) & leads:
+            leads.add(x)
+    graph = spark.createDataFrame(sorted(edges), "u string, v string")
+    for block in (1 << 20, 300):
+        assert {r.node for r in similarity.representatives(graph, block).collect()} == leads
