@@ -420,11 +420,39 @@ def pr_points(spark, sf_dir):
 _INT = metrics.INTERVALS
 
 
-@query(f"""WITH {X.SCORED}, t AS (SELECT source_id, label, score, row_number() OVER (PARTITION BY label ORDER BY {draw_sql('source_id', '42|place')}, source_id) - 1 AS place FROM scored WHERE split = 'test'),
-    sizes AS (SELECT label, count(*) AS size FROM t GROUP BY label), draws AS (
-        SELECT b, s.label, {draw_sql("b || '|' || s.label || '|' || i", 42)} % size AS place FROM sizes s, unnest(range(0, size)) u(i), range(0, 1000) v(b)),
-    drawn AS (SELECT b, t.label, score FROM draws JOIN t USING (label, place)), {metrics_sql('drawn', 'b')},
-    bounds AS ({' UNION ALL '.join(f"SELECT '{x}' AS metric, quantile_cont({x}, 0.025) AS lower, quantile_cont({x}, 0.975) AS upper FROM m" for x in _INT)})
+#: Draws of a node's left child: chunks of at most ONCE draws, each the least k at which the distribution function reaches its number.
+_BINOMIAL = f"""list_sum(list_transform(range(0, (n + {metrics.ONCE - 1}) // {metrics.ONCE}), lambda c: list_reduce(
+        list_transform(range(0, least({metrics.ONCE}, n - c * {metrics.ONCE}) + 1), lambda i: {{'k': 0e0, 'pmf': pow(1e0 - s, least({metrics.ONCE}, n - c * {metrics.ONCE})::DOUBLE), 'cdf': pow(1e0 - s, least({metrics.ONCE}, n - c * {metrics.ONCE})::DOUBLE)}}),
+        lambda a, x: CASE WHEN a.cdf < ({draw_sql("b || '|' || label || '|' || level || '|' || node || '|' || c", '42|boot')} + 0.5e0) / 4294967296e0 THEN {{
+            'k': a.k + 1e0, 'pmf': a.pmf * ((least({metrics.ONCE}, n - c * {metrics.ONCE}) - a.k) / (a.k + 1e0)) * (s / (1e0 - s)),
+            'cdf': a.cdf + a.pmf * ((least({metrics.ONCE}, n - c * {metrics.ONCE}) - a.k) / (a.k + 1e0)) * (s / (1e0 - s))}} ELSE a END).k))::BIGINT"""
+
+
+@query(f"""WITH RECURSIVE {X.SCORED}, t AS (SELECT label, score FROM scored WHERE split = 'test'
+    ), cells AS (SELECT score, sum(label)::BIGINT AS pos, (count(*) - sum(label))::BIGINT AS neg, row_number() OVER (ORDER BY score DESC) - 1 AS place FROM t GROUP BY score
+    ), size AS (SELECT greatest({metrics.LEVEL}, len(list_filter(range(0, 40), lambda k: (1::BIGINT << k) < count(*)))) AS height, sum(pos)::BIGINT AS p, sum(neg)::BIGINT AS q FROM cells
+    ), weights AS (SELECT label, level, place >> level AS node, sum(w)::BIGINT AS w FROM (
+        SELECT 1 AS label, place, pos AS w FROM cells UNION ALL SELECT 0, place, neg FROM cells), size, unnest(range(0, height + 1)) l(level) GROUP BY ALL
+    ), splits AS (
+        SELECT a.label, a.level, a.node, coalesce(b.w, 0) AS left_w, a.w FROM weights a LEFT JOIN weights b ON a.label = b.label AND b.level = a.level - 1 AND b.node = 2 * a.node WHERE a.level > 0 AND a.w > 0
+    ), tree AS (
+        SELECT b, label, height AS level, 0::BIGINT AS node, CASE label WHEN 1 THEN p ELSE q END AS n FROM size, range(0, 1000) r(b), (VALUES (0), (1)) v(label)
+        UNION ALL
+        SELECT b, label, level - 1, 2 * node + side, CASE side WHEN 0 THEN gone ELSE n - gone END FROM (
+            SELECT *, CASE WHEN left_w = 0 THEN 0 WHEN left_w = w THEN n WHEN left_w > w - left_w THEN n - k ELSE k END AS gone FROM (
+                SELECT *, CASE WHEN left_w > 0 AND left_w < w THEN {_BINOMIAL} END AS k FROM (
+                    SELECT tree.*, left_w, w, least(left_w / w::DOUBLE, 1e0 - left_w / w::DOUBLE) AS s FROM tree JOIN splits USING (label, level, node) WHERE n > 0))), (VALUES (0), (1)) x(side)
+        WHERE CASE side WHEN 0 THEN gone ELSE n - gone END > 0
+    ), leaves AS (
+        SELECT b, score, sum(CASE label WHEN 1 THEN n ELSE 0 END)::DOUBLE AS pos, sum(CASE label WHEN 0 THEN n ELSE 0 END)::DOUBLE AS neg FROM tree JOIN cells ON node = place WHERE level = 0 GROUP BY b, score
+    ), cum AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM leaves WINDOW w AS (PARTITION BY b ORDER BY score DESC)
+    ), sums AS (
+        SELECT b, any_value(p)::DOUBLE AS p, any_value(q)::DOUBLE AS q, sum(CASE WHEN score >= {THRESHOLD} THEN pos ELSE 0 END) AS tp, sum(CASE WHEN score >= {THRESHOLD} THEN neg ELSE 0 END) AS fp,
+               sum(neg * (tp - pos / 2)) AS area, sum(pos * tp / (tp + fp)) AS precisions, sum(pos * pow(score - 1, 2) + neg * pow(score, 2)) AS squares FROM cum, size GROUP BY b
+    ), m AS (
+        SELECT area / (p * q) AS roc_auc, precisions / p AS average_precision, (tp * (q - fp) - fp * (p - tp)) / sqrt((tp + fp) * p * q * (q - fp + p - tp)) AS mcc,
+               (tp / p + (q - fp) / q) / 2 AS balanced_accuracy, tp / p AS recall, (q - fp) / q AS specificity, 2 * tp / (2 * tp + fp + p - tp) AS f1, squares / (p + q) AS brier FROM sums
+    ), bounds AS ({' UNION ALL '.join(f"SELECT '{x}' AS metric, quantile_cont({x}, 0.025) AS lower, quantile_cont({x}, 0.975) AS upper FROM m" for x in _INT)})
     SELECT metric, round(estimate, 6) AS estimate, round(lower, 6) AS lower, round(upper, 6) AS upper FROM bounds JOIN (
         WITH whole AS (SELECT 0 AS one, label, score FROM t), {metrics_sql('whole', 'one')} {' UNION ALL '.join(f"SELECT '{x}' AS metric, {x} AS estimate FROM m" for x in _INT)}) USING (metric)""")
 def bootstrap_intervals(spark, sf_dir):
