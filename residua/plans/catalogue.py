@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import sql as session_sql
 from ..functions.features import feature_columns, with_features
 from ..functions.sequence import cluster_id, edit_similarity, fragment, fragment_id, invalid_symbols, normalize_sequence, parent_sequence, sequence_sha256, status_title, without_gaps
 from ..operators import audits, dataset, metrics, models, relational, similarity, splitting
 from ..sources import fasta, tables
+from ..streaming import states
 from . import fixtures as X
 from .fixtures import THRESHOLD, count_sql, draw_sql, gravy_sql, share_sql
 from .storage import Scratch, stored
@@ -767,6 +769,45 @@ def fit_checks(spark, sf_dir):
     return made.agg(F.count(F.lit(1)).alias("predicted"), F.min(F.col("score").between(0, 1)).alias("scores_in_range")).withColumns({"threshold_in_range": F.lit(0 < threshold < 1), "report_rows": F.lit(report.count()), "intervals": F.lit(sound)})
 
 
+def _pep_in_spark(sf_dir: str) -> str:
+    """The CTE pep in Spark's SQL."""
+    return f"""letters AS (SELECT doc_id, upper(regexp_replace(text, '[^{X.BOTH_CASES}]', '')) AS s, int(10 + doc_id % 40) AS w FROM parquet.`{sf_dir}/documents.parquet` WHERE text IS NOT NULL
+        ), pep AS (SELECT concat_ws(':', doc_id, k) AS source_id, sequence FROM letters LATERAL VIEW posexplode(regexp_extract_all(s, concat('.{{1,', w, '}}'), 0)) e AS k, sequence WHERE length(sequence) >= 5)"""
+
+
+_IN_SQL = {"gravy": "screen_gravy(sequence)", "molecular_weight": "screen_weight(sequence)", "net_charge_pH7": "screen_charge(sequence, 7D)", "shannon_entropy": "screen_entropy(sequence)", "hydrophobic_moment": "screen_moment(sequence)", "instability_index": "screen_instability(sequence)", "aromaticity": "screen_share(sequence, 'FWY')"}
+
+
+@query(f"WITH {X.PEP} SELECT source_id, sha256(sequence) AS sequence_sha256, {', '.join(r6_sql(FEATURE_SQL[n], n) for n in _IN_SQL)} FROM pep")
+def sql_features(spark, sf_dir):
+    """Features by the session's SQL functions, in one SQL text."""
+    session_sql.register(spark)
+    return spark.sql(f"WITH {_pep_in_spark(sf_dir)} SELECT source_id, screen_sha256(sequence) AS sequence_sha256, {', '.join(f'round({e}, 6) + 0D AS {n}' for n, e in _IN_SQL.items())} FROM pep")
+
+
+@query(f"""WITH {X.PEP}, f AS (SELECT source_id, length(sequence) AS n, {FEATURE_SQL['shannon_entropy']} AS entropy, {FEATURE_SQL['fraction_hydrophobic']} AS hydrophobic, {FEATURE_SQL['charge_density']} AS density FROM pep)
+    SELECT source_id, 'Length domain' AS "check", CASE WHEN n BETWEEN 10 AND 42 THEN 'Within model range' ELSE 'Outside model range' END AS status FROM f
+    UNION ALL SELECT source_id, 'Sequence complexity', CASE WHEN entropy < 2.5e0 THEN 'Low-complexity flag' ELSE 'No strong flag' END FROM f
+    UNION ALL SELECT source_id, 'Hydrophobic burden', CASE WHEN hydrophobic > 0.65e0 THEN 'High-hydrophobicity flag' ELSE 'No strong flag' END FROM f
+    UNION ALL SELECT source_id, 'Charge density', CASE WHEN abs(density) > 0.4e0 THEN 'Extreme-charge flag' ELSE 'No strong flag' END FROM f""")
+def sql_audit(spark, sf_dir):
+    """Audit rows by a table function of the session, joined laterally in one SQL text."""
+    session_sql.register(spark)
+    return spark.sql(f"WITH {_pep_in_spark(sf_dir)} SELECT source_id, a.check, a.status FROM pep, LATERAL screen_audit(sequence, 10, 42) a")
+
+
+@query(f"WITH {X.LAB} SELECT sequence, min(source_id) AS first, count(*) AS n, count(*) - 1 AS duplicates, count(DISTINCT label)::INT AS n_labels FROM lab GROUP BY sequence")
+def stream_states(spark, sf_dir):
+    """The labelled peptides as a stream of three batches, the query ended and started anew between them."""
+    rows = stored(X.lab(spark, sf_dir).select("sequence", "label", "source_id"))
+    root = written(spark)
+    for k in range(3):
+        rows.filter(F.pmod(F.xxhash64("source_id"), F.lit(3)) == k).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        states.run_states(states.sequence_states(stream), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return states.latest_states(spark, f"{root}/out")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to peptides, normalised, featured, labelled and summarised by class."""
     return class_summary(spark, sf_dir)

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from residua.sources import fasta, tables
-from residua.streaming import screening
+from residua.functions import sql as session_sql
+from residua.functions.features import feature_columns
+from residua.streaming import screening, states
 
 
 def test_fasta(spark, tmp_path):
@@ -76,3 +78,28 @@ def test_stream_screens_as_a_batch_does(spark, tmp_path):
     out = screening.screen_stream(stream, 1 / (1 + F.exp(-F.col("net_charge_pH7"))), 0.5).select("sequence", "score", "interpretation")
     screening.run_available(out, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     assert {r.sequence: r.interpretation for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"KWKLFKKIGAVLKVL": "AMP-like", "DDDDDD": "Non-AMP-like"}
+
+
+def test_states_survive_restarts_and_replays(spark, tmp_path):
+    kind = "sequence string, label int, source_id string"
+    batches = [[("AC", 1, "b"), ("AC", 1, "c"), ("DE", 0, "d")], [("AC", 0, "a"), (None, 1, "n"), ("FG", None, "z")], [("DE", 0, "d"), (None, None, "m")]]
+    for rows in batches:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        states.run_states(states.sequence_states(stream), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    got = {r.sequence: tuple(r)[1:] for r in states.latest_states(spark, str(tmp_path / "out")).collect()}
+    assert got == {"AC": ("a", 3, 2, 2), "DE": ("d", 2, 1, 1), "FG": ("z", 1, 0, 0), None: ("m", 2, 1, 1)}
+    assert [r.sequence for r in states.conflicting(states.latest_states(spark, str(tmp_path / "out"))).collect()] == ["AC"]
+
+
+def test_functions_in_sql(spark):
+    session_sql.register(spark)
+    spark.createDataFrame([("KWKLFKKIGAVLKVL",), (None,)], "s string").createOrReplaceTempView("some_peptides")
+    made = feature_columns(F.col("s"), ("gravy", "net_charge_pH7", "hydrophobic_moment", "instability_index", "molecular_weight", "shannon_entropy"))
+    want = spark.table("some_peptides").filter("s is not null").select(*(c.alias(n) for n, c in made.items())).first()
+    got = spark.sql("SELECT screen_gravy(s) g, screen_charge(s, 7D) c, screen_moment(s) m, screen_instability(s) i, screen_weight(s) w, screen_entropy(s) e FROM some_peptides WHERE s IS NOT NULL").first()
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))
+    assert tuple(spark.sql("SELECT screen_gravy(s), screen_parent(s), screen_sha256(s) FROM some_peptides WHERE s IS NULL").first()) == (None, None, None)
+    assert [tuple(r) for r in spark.sql("SELECT screen_parent('ac d-E'), screen_parent('acx!')").collect()] == [("ACDE", "")]
+    assert spark.sql("SELECT a.check FROM some_peptides p, LATERAL screen_audit(p.s, 5, 10) a WHERE a.status = 'Outside model range'").count() == 1
+    assert spark.sql("SELECT a.status FROM some_peptides p, LATERAL screen_audit(p.s, 5, 10) a WHERE p.s IS NULL AND a.status IS NULL").count() == 4
