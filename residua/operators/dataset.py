@@ -68,6 +68,13 @@ def target_lengths(positives: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return draws.join(F.broadcast(ends), (F.col("draw") >= F.col("low")) & (F.col("draw") < F.col("high"))).select("fragment_index", "size")
 
 
+def shuffled_lengths(positives: DataFrame, seed: int = 42) -> DataFrame:
+    """(fragment_index, size): the length of every row of positives once, in the order of a draw by seed and sequence."""
+    rows = positives.select(F.length("sequence").alias("size"), seeded_draw(F.col("sequence"), f"{seed}|lengths").alias("draw"), "sequence")
+    placed, _ = in_order(rows, [F.col("draw"), F.col("sequence")])
+    return placed.select(F.col("place").alias("fragment_index"), "size")
+
+
 def _ranked_parents(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parents by falling length: (rank, id, sequence), and (size, eligible): parents at least that long."""
     p = parents.select(F.col("id").cast("string").alias("parent_id"), parent_sequence(F.col("sequence")).alias("parent")).filter("parent <> ''").withColumn("n", F.length("parent"))

@@ -108,6 +108,17 @@ def scaled_positions(df: DataFrame, names: Iterable[str], keep: Iterable[str]) -
     return df.select(*keep, *(scaled_position(F.col(n), *(F.lit(x).cast("double") for x in q.get(n, nothing))).alias(n) for n in names))
 
 
+def filled_with_medians(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """df with nulls and NaN of the named columns replaced by the column's exact median; a column without values stays null.
+
+    df is read several times.
+    """
+    names = list(names)
+    present = df.select(*(F.when(~F.isnan(n), F.col(n).cast("double")).alias(n) for n in names)).unpivot([], names, "feature", "value")
+    medians = {r.feature: r.q[0] for r in exact_quantiles(present, "value", ("feature",), (0.5,)).collect()}  # one row a column
+    return df.withColumns({n: F.coalesce(F.when(~F.isnan(n), F.col(n).cast("double")), F.lit(medians.get(n)).cast("double")) for n in names})
+
+
 def composition_difference(df: DataFrame, top: int | None = 12) -> DataFrame:
     """(residue, difference of mean composition between the labels), the largest by absolute value."""
     means = df.agg(*(F.avg(F.when(F.col("label") == 1, F.col(c))).alias(f"{c}_1") for c in COMPOSITION_FEATURES), *(F.avg(F.when(F.col("label") == 0, F.col(c))).alias(f"{c}_0") for c in COMPOSITION_FEATURES))

@@ -808,6 +808,27 @@ def stream_states(spark, sf_dir):
     return states.latest_states(spark, f"{root}/out")
 
 
+@query(f"WITH {X.PEP}, d AS (SELECT DISTINCT sequence FROM pep) SELECT sequence, row_number() OVER (ORDER BY length(sequence) DESC, sequence) - 1 AS place FROM d")
+def sequence_order(spark, sf_dir):
+    """The running index of the greedy rule's order: longest first, then by bytes."""
+    placed, _ = similarity.in_order(stored(X.pep(spark, sf_dir).select("sequence").distinct()), [F.length("sequence").desc(), F.col("sequence")])
+    return placed.select("sequence", "place")
+
+
+@query(f"WITH {X.LAB}, p AS (SELECT DISTINCT sequence FROM lab WHERE label = 1) SELECT row_number() OVER (ORDER BY {draw_sql('sequence', '42|lengths')}, sequence) - 1 AS fragment_index, length(sequence)::INT AS size FROM p")
+def shuffled_lengths(spark, sf_dir):
+    return dataset.shuffled_lengths(stored(X.lab(spark, sf_dir).filter("label = 1").select("sequence").distinct()))
+
+
+@query(f"""WITH {featured_sql(FIVE + ('length',))}, gaps AS (SELECT source_id, {', '.join(f"CASE WHEN length % {k + 5} > 0 THEN {n} END AS {n}" for k, n in enumerate(FIVE))} FROM featured)
+    SELECT source_id, {', '.join(f'round(coalesce({n}, (SELECT median({n}) FROM gaps)), 6) + 0e0 AS {n}' for n in FIVE)} FROM gaps""")
+def median_imputation(spark, sf_dir):
+    """Features with gaps, set by the length, filled with the medians of what is there."""
+    rows = featured(spark, sf_dir, FIVE + ("length",))
+    gaps = stored(rows.select("source_id", *(F.when(F.col("length") % (k + 5) > 0, F.col(n)).alias(n) for k, n in enumerate(FIVE))))
+    return relational.filled_with_medians(gaps, FIVE).select("source_id", *(r6(F.col(n)).alias(n) for n in FIVE))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to peptides, normalised, featured, labelled and summarised by class."""
     return class_summary(spark, sf_dir)
