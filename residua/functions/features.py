@@ -109,7 +109,10 @@ def with_features(df: DataFrame, sequence: str = "sequence", names: tuple[str, .
 
     Residues are counted in a projection of their own: expressions that share them would count anew in each.
     """
-    counted = {a: f"__count_{a}" for a in K.RESIDUES}
+    prefix = "__count_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = f"_{prefix}"
+    counted = {a: f"{prefix}{a}" for a in K.RESIDUES}
     rows = df.withColumns({c: residue_count(F.col(sequence), a) for a, c in counted.items()})
     return rows.withColumns(feature_columns(F.col(sequence), names, {a: F.col(c) for a, c in counted.items()})).drop(*counted.values())
 

@@ -81,8 +81,8 @@ def _ranked_parents(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = p.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
     upto = F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))  # one row a length
     sizes = stored(sizes.select("n", (upto - F.col("k")).alias("start"), upto.alias("upto")))
-    inside = F.row_number().over(Window.partitionBy("n").orderBy("parent_id", "parent")) - 1
-    return stored(p.join(F.broadcast(sizes), "n").select((F.col("start") + inside).alias("rank"), "parent_id", "parent", "n")), sizes
+    placed, _ = in_order(p.select("parent_id", "parent", "n"), [F.desc("n"), F.col("parent_id"), F.col("parent")])
+    return stored(placed.select(F.col("place").alias("rank"), "parent_id", "parent", "n")), sizes
 
 
 def permuted(index: Column, half: Column, key: Column, seed: int | str) -> Column:

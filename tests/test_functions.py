@@ -52,3 +52,9 @@ def test_features(spark):
         assert r.instability_index == pytest.approx(10 / len(s) * sum(K.INSTABILITY[a].get(b, 1.0) for a, b in zip(s, s[1:])))
         assert abs(plain_charge(s, r.isoelectric_point)) < 0.01 or r.isoelectric_point < 4.06 or r.isoelectric_point > 11.99
     assert rows["KKKKK"].net_charge_pH7 > 0 > rows["DDDDD"].net_charge_pH7 and rows["KKKKK"].shannon_entropy == 0
+
+
+def test_counts_leave_columns_of_their_name(spark):
+    df = spark.createDataFrame([("ACDEF", "mine")], "sequence string, __count_A string")
+    row = with_features(df, names=("aa_A",)).first()
+    assert row["__count_A"] == "mine" and row.aa_A == 0.2
