@@ -248,21 +248,37 @@ def random_split(spark, sf_dir):
     return splitting.random_split(X.lab(spark, sf_dir), "source_id").select("source_id", "label", "split")
 
 
-#: Of d + 1 segments one is whole and shifted by d at most; what shares one is measured.
-@query(f"""WITH {X.PEP}, d AS (SELECT DISTINCT sequence AS s, length(sequence)::INT AS n FROM pep), parts_of AS (
+#: Of d + 1 segments one is whole and shifted by d at most; what shares one is measured. d has the sequences, pairs the similar ones.
+_PAIRS = f"""d AS (SELECT DISTINCT sequence AS s, length(sequence)::INT AS n FROM pep), parts_of AS (
         SELECT n, e, i, (i * n) // (e + 1) AS at_, ((i + 1) * n) // (e + 1) - (i * n) // (e + 1) AS size FROM (
             SELECT n, floor(0.2e0 * n + 1e-9)::INT AS e, unnest(range(0, floor(0.2e0 * n + 1e-9)::INT + 1)) AS i FROM (SELECT DISTINCT n FROM d))
     ), own AS (SELECT s, n, i, substr(s, at_ + 1, size) AS piece FROM d JOIN parts_of USING (n)
     ), probe AS (
         SELECT DISTINCT s, longer, i, substr(s, p + 1, size) AS piece FROM (
             SELECT d.s, q.n AS longer, q.i, q.size, unnest(range(greatest(0, q.at_ - q.e), least(d.n - q.size, q.at_ + q.e) + 1)) AS p FROM d JOIN parts_of q ON d.n <= q.n AND d.n >= q.n * 0.8e0 - 1e-9)
-    ), met AS (SELECT DISTINCT a.s AS a, b.s AS b FROM own a JOIN probe b ON a.n = b.longer AND a.i = b.i AND a.piece = b.piece AND (length(b.s) < a.n OR b.s < a.s))
-    SELECT a, b, round(1 - levenshtein(a, b) / length(a)::DOUBLE, 6) AS similarity FROM met WHERE 1 - levenshtein(a, b) / length(a)::DOUBLE >= 0.8e0""")
+    ), met AS (SELECT DISTINCT a.s AS a, b.s AS b FROM own a JOIN probe b ON a.n = b.longer AND a.i = b.i AND a.piece = b.piece AND (length(b.s) < a.n OR b.s < a.s)), pairs AS (
+        SELECT a, b, 1 - levenshtein(a, b) / length(a)::DOUBLE AS similarity FROM met WHERE 1 - levenshtein(a, b) / length(a)::DOUBLE >= 0.8e0)"""
+
+
+@query(f"WITH {X.PEP}, {_PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM pairs")
 def similarity_pairs(spark, sf_dir):
     return similarity.similar_pairs(stored(X.pep(spark, sf_dir).select("sequence").distinct())).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+#: The sequential rule, a step a sequence that has a neighbour; a list of representatives is all it carries.
+@query(f"""WITH RECURSIVE {X.PEP}, {_PAIRS}, links AS (
+        SELECT CASE WHEN length(a) > length(b) THEN a ELSE b END AS u, CASE WHEN length(a) > length(b) THEN b ELSE a END AS v, similarity FROM pairs
+    ), nodes AS (SELECT s, row_number() OVER (ORDER BY length(s) DESC, s) AS k FROM (SELECT u AS s FROM links UNION SELECT v FROM links)
+    ), earlier AS (SELECT n.k, list(m.k) FILTER (WHERE m.k IS NOT NULL) AS near FROM nodes n LEFT JOIN links l ON l.v = n.s LEFT JOIN nodes m ON m.s = l.u GROUP BY n.k
+    ), walk AS (
+        SELECT 0::BIGINT AS k, []::BIGINT[] AS leads
+        UNION ALL SELECT e.k, CASE WHEN list_has_any(coalesce(e.near, []::BIGINT[]), leads) THEN leads ELSE list_append(leads, e.k) END FROM walk w JOIN earlier e ON e.k = w.k + 1
+    ), leads AS (SELECT s, k FROM nodes JOIN (SELECT unnest(arg_max(leads, k)) AS k FROM walk) USING (k)
+    ), joined AS (
+        SELECT v AS s, arg_min(u, (-similarity, length(u), n.k)) AS representative FROM links JOIN leads n ON n.s = u WHERE v NOT IN (SELECT s FROM leads) GROUP BY v
+    ), grouped AS (SELECT d.s AS sequence, coalesce(representative, d.s) AS representative FROM d LEFT JOIN joined USING (s)
+    ), numbers AS (SELECT sequence AS representative, row_number() OVER (ORDER BY length(sequence) DESC, sequence) - 1 AS group_number FROM grouped WHERE sequence = representative)
+    SELECT sequence, representative, group_number, printf('cluster_%06d', group_number) AS split_group FROM grouped JOIN numbers USING (representative)""")
 def similarity_groups(spark, sf_dir):
     return similarity.greedy_groups(stored(X.pep(spark, sf_dir).select("sequence").distinct()))
 

@@ -3,6 +3,9 @@ import sys
 
 import pytest
 
+# Spark gives its Python workers one thread for matrices; sums that are compared with theirs are taken in the same order.
+for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
+    os.environ.setdefault(name, "1")
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])
 
