@@ -441,7 +441,7 @@ _INT = metrics.INTERVALS
 #: Draws of a node's left child: chunks of at most ONCE draws, each the least k at which the distribution function reaches its number.
 _BINOMIAL = f"""list_sum(list_transform(range(0, (n + {metrics.ONCE - 1}) // {metrics.ONCE}), lambda c: list_reduce(
         list_transform(range(0, least({metrics.ONCE}, n - c * {metrics.ONCE}) + 1), lambda i: {{'k': 0e0, 'pmf': pow(1e0 - s, least({metrics.ONCE}, n - c * {metrics.ONCE})::DOUBLE), 'cdf': pow(1e0 - s, least({metrics.ONCE}, n - c * {metrics.ONCE})::DOUBLE)}}),
-        lambda a, x: CASE WHEN a.cdf < ({draw_sql("b || '|' || label || '|' || level || '|' || node || '|' || c", '42|boot')} + 0.5e0) / 4294967296e0 THEN {{
+        lambda a, x: CASE WHEN a.cdf < (('0x' || substr(md5('42|boot|' || label || '|' || level || '|' || node || '|' || c || '|' || (b // 4)), 1 + 8 * (b % 4), 8))::BIGINT + 0.5e0) / 4294967296e0 THEN {{
             'k': a.k + 1e0, 'pmf': a.pmf * ((least({metrics.ONCE}, n - c * {metrics.ONCE}) - a.k) / (a.k + 1e0)) * (s / (1e0 - s)),
             'cdf': a.cdf + a.pmf * ((least({metrics.ONCE}, n - c * {metrics.ONCE}) - a.k) / (a.k + 1e0)) * (s / (1e0 - s))}} ELSE a END).k))::BIGINT"""
 
