@@ -55,6 +55,10 @@ def terms(text: bytes) -> np.ndarray:
     return out
 
 
+#: Similarities this near are equal.
+ROUNDING = 1e-6
+
+
 @dataclass
 class QualityModel:
     """idf and singular vectors (TERMS x rank), unit vectors of the labelled sample and their labels."""
@@ -76,8 +80,8 @@ class QualityModel:
             return np.full(len(z), 0.5)
         s = z @ self.vectors.T
         if self.k < n:
-            # All that are as near as the k-th vote, so that ties need no order.
-            s = np.where(s >= -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1 : self.k], s, 0)
+            # All that are as near as the k-th vote, so that ties need no order; products of equal vectors may differ by rounding.
+            s = np.where(s >= -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1 : self.k] - ROUNDING, s, 0)
         rows, near = np.nonzero(s > 0) if self.k < n else np.divmod(np.arange(s.size), n)
         w = np.maximum(s[rows, near], 1e-6).astype(np.float64) ** self.power
         total = np.bincount(rows, w, len(s))
