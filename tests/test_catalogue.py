@@ -1,7 +1,9 @@
 """Queries against their SQL on a few of the driver's rows, where these are there."""
 
+import inspect
 import os
 
+import numpy as np
 import pytest
 
 import __spark_entry__
@@ -17,16 +19,12 @@ def test_every_oracle_has_a_query():
 @pytest.mark.parametrize("name", ("rf_features", "rf_importance"))
 def test_registered_forests_are_the_full_setting(monkeypatch, name):
     from residua.functions.constants import FEATURES
-    from residua.operators import models
+    from residua.operators import forest, models
     from residua.plans import catalogue
 
     class Fitted(Exception):
         pass
 
-    class Stop:
-        def __init__(self, **given):
-            raise Fitted(given)
-
     class Frame:
         def filter(self, _):
             return self
@@ -37,14 +35,20 @@ def test_registered_forests_are_the_full_setting(monkeypatch, name):
     monkeypatch.setattr(catalogue.splitting, "random_split", lambda df, *_: df)
     monkeypatch.setattr(catalogue, "stored", lambda df: df)
     monkeypatch.setattr(models, "training_frame", lambda df: None)
-    for stage in ("Imputer", "VectorAssembler"):
-        monkeypatch.setattr(models, stage, lambda **given: asked.append(tuple(given["inputCols"])))
-    monkeypatch.setattr(models, "RandomForestClassifier", Stop)
+    fit = inspect.signature(forest.fit_forest)
+
+    def stop(*given, **named):
+        asked_of = fit.bind(*given, **named)
+        asked_of.apply_defaults()
+        raise Fitted(asked_of.arguments)
+
+    monkeypatch.setattr(models.forest, "fit_forest", stop)
     with pytest.raises(Fitted) as e:
         catalogue.QUERIES[name](None, "")
     given = e.value.args[0]
-    assert (given["numTrees"], given["maxDepth"], given["minInstancesPerNode"], given["featureSubsetStrategy"]) == (500, 30, 2, "sqrt")
-    assert asked[:2] == [FEATURES, FEATURES] and len(FEATURES) == 34
+    assert (given["trees"], given["depth"], given["leaf"], given["key"]) == (500, 30, 2, "source_id")
+    assert (asked[0], given["features"]) == (FEATURES, FEATURES) and len(FEATURES) == 34
+    assert forest.drawn_features(np.arange(1, 9), len(FEATURES), 42, 0).shape == (8, 5)  # the root of 34
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
