@@ -21,15 +21,15 @@ def _map(table: dict) -> str:
 
 
 def _weighted(table: dict) -> str:
-    return " + ".join(f"screen_count(s, '{a}') * {float(w)!r}D" for a, w in table.items())
+    return " + ".join(f"screen_one(s, '{a}') * {float(w)!r}D" for a, w in table.items())
 
 
 def _charge() -> str:
     """Henderson-Hasselbalch terms of the residues and of both ends."""
     first = f"coalesce(try_element_at({_map(K.PK_N_TERMINUS_OF)}, substr(s, 1, 1)), {K.PK_N_TERMINUS!r}D)"
     last = f"coalesce(try_element_at({_map(K.PK_C_TERMINUS_OF)}, right(s, 1)), {K.PK_C_TERMINUS!r}D)"
-    plus = [f"screen_count(s, '{a}') / (1 + pow(10D, ph - {v!r}D))" for a, v in K.PK_POSITIVE.items()] + [f"1 / (1 + pow(10D, ph - {first}))"]
-    minus = [f"screen_count(s, '{a}') / (1 + pow(10D, {v!r}D - ph))" for a, v in K.PK_NEGATIVE.items()] + [f"1 / (1 + pow(10D, {last} - ph))"]
+    plus = [f"screen_one(s, '{a}') / (1 + pow(10D, ph - {v!r}D))" for a, v in K.PK_POSITIVE.items()] + [f"1 / (1 + pow(10D, ph - {first}))"]
+    minus = [f"screen_one(s, '{a}') / (1 + pow(10D, {v!r}D - ph))" for a, v in K.PK_NEGATIVE.items()] + [f"1 / (1 + pow(10D, {last} - ph))"]
     return f"({' + '.join(plus)}) - ({' + '.join(minus)})"
 
 
@@ -41,7 +41,8 @@ def _turned(turn: str) -> str:
 def functions() -> dict[str, tuple[str, str, str]]:
     """Name to (parameters, what it returns, body). A null sequence gives null, and an audit of nulls."""
     pairs = {a + b: w for a, row in K.INSTABILITY.items() for b, w in row.items()}
-    entropy = " + ".join(f"if(screen_count(s, '{a}') > 0, screen_share(s, '{a}') * log2(screen_share(s, '{a}')), 0D)" for a in K.RESIDUES)
+    # Counts appear outside of conditions only, so that expressions which share them count once.
+    entropy = " + ".join(f"screen_one(s, '{a}') * log2(greatest(screen_one(s, '{a}'), 1))" for a in K.RESIDUES)
     hydrophobic = next(g for n, g in K.CLASSES.items() if n == "fraction_hydrophobic")
     flags = (  # Fixed values: checks and their statuses.
         ("Length domain", "length(s) BETWEEN low AND high", "Within model range", "Outside model range"),
@@ -54,11 +55,12 @@ def functions() -> dict[str, tuple[str, str, str]]:
         "screen_parent": ("raw STRING", "STRING", f"if(raw IS NULL, NULL, if(upper(regexp_replace(raw, '(?U)[\\\\s-]+', '')) RLIKE '^[{K.RESIDUES}]+$', upper(regexp_replace(raw, '(?U)[\\\\s-]+', '')), ''))"),
         "screen_sha256": ("s STRING", "STRING", "sha2(s, 256)"),
         "screen_count": ("s STRING, residues STRING", "INT", "length(s) - length(translate(s, residues, ''))"),
+        "screen_one": ("s STRING, residue STRING", "INT", "length(s) - length(replace(s, residue, ''))"),
         "screen_share": ("s STRING, residues STRING", "DOUBLE", "screen_count(s, residues) / length(s)"),
         "screen_gravy": ("s STRING", "DOUBLE", f"({_weighted(K.KYTE_DOOLITTLE)}) / length(s)"),
         "screen_weight": ("s STRING", "DOUBLE", f"{_weighted(K.MASSES)} - (length(s) - 1) * {K.WATER!r}D"),
         "screen_charge": ("s STRING, ph DOUBLE", "DOUBLE", _charge()),
-        "screen_entropy": ("s STRING", "DOUBLE", f"if(s IS NULL, NULL, -({entropy}))"),
+        "screen_entropy": ("s STRING", "DOUBLE", f"log2(length(s)) - ({entropy}) / length(s)"),
         "screen_moment": ("s STRING", "DOUBLE", f"sqrt(pow({_turned('cos')}, 2) + pow({_turned('sin')}, 2)) / length(s)"),
         "screen_instability": ("s STRING", "DOUBLE", f"10D / length(s) * if(length(s) > 1, aggregate(sequence(1, length(s) - 1), 0D, (a, i) -> a + coalesce(try_element_at({_map(pairs)}, substr(s, i, 2)), 1D)), 0D)"),
         "screen_audit": ("s STRING, low INT, high INT", "TABLE (check STRING, status STRING)", f"SELECT r.check, r.status FROM (SELECT array({rows}) AS flags) LATERAL VIEW explode(flags) e AS r"),
