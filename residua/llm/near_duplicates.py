@@ -2,8 +2,10 @@
 
 Where the similarity is 0.8, shingle sets are at an angle that makes 38.8 of 256 bits differ on average; the
 radius is 3.4 standard deviations above that. Of unrelated texts 128 bits differ, and two of them lie within the radius with a chance of
-about 10^-18, so candidates don't grow together by chance at any number of documents (with 128 bits they would from some 10^7 on). All
-pairs of distinct shingle sets are compared, block by block and tile by tile; tiles whose population counts differ by more than the radius are skipped. Links
+about 10^-18, so candidates don't grow together by chance at any number of documents (with 128 bits they would from some 10^7 on).
+Fingerprints are compared where sets meet in a shingle of their prefixes: of n shingles the n - ceil(0.8 n) + 1 of smallest hash. Two sets of
+similarity 0.8 have one of those in common, so no pair is lost. What meets in a frequent shingle is compared
+block by block and tile by tile; tiles whose population counts differ by more than the radius are skipped. Links
 connect candidates to components, and in a component the sets themselves decide: what a chain of pairs at or above the
 similarity connects is one group. A component's sets are dealt to blocks of bounded size, and every two of its blocks
 meet in a task, which returns a spanning forest of the links it has verified.
@@ -12,6 +14,7 @@ meet in a task, which returns a spanning forest of the links it has verified.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +32,8 @@ WORDS, SIMILARITY, RADIUS = 5, 0.8, 58
 #: 64-bit numbers of a fingerprint.
 PIECES = 4
 PRINTS = [f"f{k}" for k in range(PIECES)]
-#: Rows of a block on average.
-BLOCK_ROWS = 1 << 16
+#: Rows of a block on average, of those that have a shingle in common; up to FEW rows are paired by a join.
+BLOCK_ROWS, FEW = 1 << 16, 32
 #: Shingles on average of a block of a component's sets, eight bytes each; a task holds two blocks.
 BLOCK_SHINGLES = 1 << 20
 
@@ -102,30 +105,65 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray,
     return nodes[moved], nodes[label[moved]]
 
 
-def candidate_links(rows: DataFrame, n: int, radius: int, scratch: Scratch) -> DataFrame:
-    """n rows (node, PRINTS) to links (u, v) that connect what lies within the radius."""
-    count = -(-n // BLOCK_ROWS)
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        fps = np.ascontiguousarray(pdf[PRINTS].to_numpy(np.int64))
-        order = np.argsort(populations(fps.view(np.uint64)), kind="stable")
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "nodes": [pdf["node"].to_numpy(np.int64)[order].tobytes()], "fps": [fps[order].tobytes()]})
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for block, nodes, fps in zip(pdf["block"], pdf["nodes"], pdf["fps"]):
-                for k in range(count):
-                    yield pd.DataFrame({"a": [min(block, k)], "b": [max(block, k)], "nodes": [nodes], "fps": [fps]})
+def prefix_length(n: int, similarity: float) -> int:
+    """Of two sets of n and more shingles with at least this Jaccard similarity, the so many smallest have one in common."""
+    return n - math.ceil(similarity * n - 1e-6) + 1
+
+
+def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, prefix) to a row (h, node) per shingle."""
+    for pdf in batches:
+        for at in range(0, len(pdf), 1024):
+            part = pdf.iloc[at : at + 1024]
+            found = [np.frombuffer(x, np.int64) for x in part["prefix"]]
+            yield pd.DataFrame({"h": np.concatenate(found), "node": np.repeat(part["node"].to_numpy(np.int64), [len(x) for x in found])})
+
+
+def repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows (h, node) in the order of h those whose h another row has. One row is carried from batch to batch."""
+    h, node, kept = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    for pdf in batches:
+        h, node = np.concatenate([h, pdf["h"].to_numpy(np.int64)]), np.concatenate([node, pdf["node"].to_numpy(np.int64)])
+        if not len(h):
+            continue
+        keep, same = np.zeros(len(h), bool), h[1:] == h[:-1]
+        keep[0] = kept
+        keep[1:] |= same
+        keep[:-1] |= same
+        yield pd.DataFrame({"h": h[:-1][keep[:-1]], "node": node[:-1][keep[:-1]]})
+        h, node, kept = h[-1:], node[-1:], keep[-1]
+    if kept:
+        yield pd.DataFrame({"h": h, "node": node})
+
+
+def candidate_links(rows: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """Rows (node, prefix, PRINTS) to links (u, v) that connect what has a shingle of its prefix in common and lies within the radius."""
+    prints = [F.col(c) for c in PRINTS]
+    single = rows.select("node", "prefix").mapInPandas(flat, "h long, node long")
+    met = scratch.table(single.repartition("h").sortWithinPartitions("h").mapInPandas(repeated, "h long, node long"))
+    many = met.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > FEW)
+    # Both sides grow with the documents, so their join is a merge join at every size.
+    tagged = scratch.table(met.hint("merge").join(rows.select("node", *PRINTS), "node").join(many, "h", "left"))
+
+    few = tagged.filter("m is null").select("h", "node", *PRINTS)
+    other = few.select("h", F.col("node").alias("v"), *(c.alias(f"v{k}") for k, c in enumerate(prints)))
+    bits = sum((F.bit_count(c.bitwiseXOR(F.col(f"v{k}"))) for k, c in enumerate(prints)), F.lit(0))
+    pairs = few.hint("merge").join(other, "h").filter((F.col("node") < F.col("v")) & (bits <= radius)).select(F.col("node").alias("u"), "v")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["nodes"]])
-        sides = [np.frombuffer(x, np.uint64).reshape(-1, PIECES) for x in pdf["fps"]]
-        u, v = links(sides[0], sides[1] if len(sides) > 1 else None, radius)
-        return pd.DataFrame({"u": nodes[u], "v": nodes[v]})
+        own, nodes = pdf["own"].to_numpy(), pdf["node"].to_numpy(np.int64)
+        fps = np.ascontiguousarray(pdf[PRINTS].to_numpy(np.int64)).view(np.uint64)
+        order = np.lexsort((populations(fps), own))
+        sides = np.split(order, np.flatnonzero(np.diff(own[order])) + 1)
+        if len(sides) == 1 and pdf["a"].iloc[0] != pdf["b"].iloc[0]:
+            return pd.DataFrame({"u": nodes[:0], "v": nodes[:0]})
+        u, v = links(fps[sides[0]], fps[sides[1]] if len(sides) > 1 else None, radius)
+        return pd.DataFrame({"u": nodes[order][u], "v": nodes[order][v]})
 
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(max(1, count))).cast("int"))
-    packed = scratch.table(blocks.groupBy("block").applyInPandas(pack, "block int, nodes binary, fps binary"))
-    return packed.mapInPandas(emit, "a int, b int, nodes binary, fps binary").groupBy("a", "b").applyInPandas(compare, "u long, v long")
+    blocks = tagged.filter("m is not null").withColumn("blocks", F.ceil(F.col("m") / BLOCK_ROWS).cast("int"))
+    dealt = blocks.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("h", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", *PRINTS)
+    return pairs.unionByName(dealt.groupBy("h", "a", "b").applyInPandas(compare, "u long, v long"))
 
 
 def similar_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -165,13 +203,14 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys, fps, sizes = [], np.zeros((len(pdf), PIECES), np.uint64), []
+            keys, fps, sizes, prefixes = [], np.zeros((len(pdf), PIECES), np.uint64), [], []
             for k, text in enumerate(pdf["text"]):
                 s = shingle_set(text, words)
                 keys.append(set_key(s))
                 sizes.append(len(s))
+                prefixes.append(s[: prefix_length(len(s), similarity) if len(s) else 0, 0].tobytes())
                 fps[k] = fingerprint(s)
-            yield pd.DataFrame({"id": pdf["id"], "key": keys, "n": sizes, **{c: fps[:, k].view(np.int64) for k, c in enumerate(PRINTS)}})
+            yield pd.DataFrame({"id": pdf["id"], "key": keys, "n": sizes, "prefix": prefixes, **{c: fps[:, k].view(np.int64) for k, c in enumerate(PRINTS)}})
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -186,10 +225,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         moved = nodes != nodes[label]
         return pd.DataFrame({"u": nodes[moved], "v": nodes[label][moved]})
 
-    fps = scratch.table(base.mapInPandas(prints, f"id {kind}, key binary, n long, " + ", ".join(f"{c} long" for c in PRINTS)))
-    distinct = scratch.table(fps.groupBy("key", "n", *PRINTS).agg(F.min("id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    fps = scratch.table(base.mapInPandas(prints, f"id {kind}, key binary, n long, prefix binary, " + ", ".join(f"{c} long" for c in PRINTS)))
+    distinct = scratch.table(fps.groupBy("key", "n", *PRINTS).agg(F.min("id").alias("first"), F.any_value("prefix").alias("prefix")).withColumn("node", F.monotonically_increasing_id()))
     some = distinct.filter("n > 0")
-    roots = connected_components(candidate_links(some.select("node", *PRINTS), some.count(), radius, scratch), scratch)
+    roots = connected_components(candidate_links(some.select("node", "prefix", *PRINTS), radius, scratch), scratch)
     members = scratch.table(distinct.join(roots, "node").select("root", "node", "first", "key", "n"))
     blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")).filter("blocks > 1")
     dealt = scratch.table(members.join(blocks, "root", "left").select("root", "node", "first", "key", F.coalesce("blocks", F.lit(1)).alias("blocks")))

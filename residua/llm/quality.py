@@ -127,13 +127,24 @@ def fit_quality(
         .sort_values(["id", "at"], ignore_index=True)
     )
     n = len(got)
-    x = np.zeros((n, TERMS), np.float32)
-    for i in range(n):
-        x[i, np.frombuffer(got["at"][i], "<u2")] = np.frombuffer(got["value"][i], "<f4")
-    idf = np.log((1 + n) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32)
+
+    def dense() -> np.ndarray:
+        x = np.zeros((n, TERMS), np.float32)
+        for i in range(n):
+            x[i, np.frombuffer(got["at"][i], "<u2")] = np.frombuffer(got["value"][i], "<f4")
+        return x
+
+    seen = np.zeros(TERMS, np.int64)
+    for at, value in zip(got["at"], got["value"]):
+        seen[np.frombuffer(at, "<u2")] += np.frombuffer(value, "<f4") != 0
+    idf = np.log((1 + n) / (1 + seen)).astype(np.float32)
     idf[TRIGRAMS:] = 1
-    scaled = x * idf
-    scaled /= np.maximum(np.linalg.norm(scaled, axis=1, keepdims=True), 1e-9)
+    # The driver holds the sample once, 100 MB at the default bound; it is scaled in place and made anew for the last product.
+    scaled = dense()
+    scaled *= idf
+    for at in range(0, n, 256):
+        rows = scaled[at : at + 256]
+        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
     # Randomised subspace iteration for the leading right singular vectors.
     rng = np.random.default_rng(0)
     basis = rng.standard_normal((TERMS, min(rank + 16, TERMS))).astype(np.float32)
@@ -142,8 +153,9 @@ def fit_quality(
     if n:
         small = np.linalg.svd(scaled @ basis, full_matrices=False)[2]
         basis = basis @ small.T
+    del scaled
     model = QualityModel(np.ascontiguousarray(idf[:, None] * basis[:, :rank]), np.zeros((0, rank), np.float32), got["label"].to_numpy(np.float64) if n else np.zeros(0), k, power)
-    model.vectors = model.project(x) if n else model.vectors
+    model.vectors = model.project(dense()) if n else model.vectors
     return model
 
 

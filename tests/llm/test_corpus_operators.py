@@ -697,6 +697,27 @@ def test_near_duplicate_groups(spark, corpus, monkeypatch, block):
     assert near_duplicates.near_duplicate_groups(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("few, rows_of", ((32, 1 << 16), (2, 1 << 16), (2, 9)))
+def test_candidate_links_meet_in_prefixes(spark, monkeypatch, few, rows_of):
+    """Every pair of the similarity is linked, by join, in a block and across blocks; sets without a common shingle never meet, whatever the radius."""
+    from residua.llm.common import Scratch
+    from residua.operators.components import connected_components
+
+    monkeypatch.setattr(near_duplicates, "FEW", few)
+    monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", rows_of)
+    rng = np.random.default_rng(3)
+    families = [rng.integers(0, 1 << 63, 40, np.uint64) for _ in range(4)]
+    sets = [np.unique(rng.choice(f, 38, replace=False)) for f in families for _ in range(20)]
+    sets += [np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for n in (1, 2, 7, 40)]
+    rows = [(k, s[: near_duplicates.prefix_length(len(s), 0.8)].tobytes(), 0, 0, 0, 0) for k, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node long, prefix binary, f0 long, f1 long, f2 long, f3 long").repartition(3)
+    scratch = Scratch(spark)
+    root = {r.node: r.root for r in connected_components(near_duplicates.candidate_links(df, 0, scratch), scratch).collect()}
+    similar = [(i, j) for j in range(len(sets)) for i in range(j) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    assert len(similar) > 200 and all(root[i] == root[j] for i, j in similar)
+    assert set(root.values()) == {0, 20, 40, 60} and set(root) == set(range(80))
+
+
 def test_near_duplicate_links_skip_only_far_tiles(monkeypatch):
     monkeypatch.setattr(near_duplicates, "TILE", 4)
     monkeypatch.setattr(near_duplicates, "CELLS", 32)
