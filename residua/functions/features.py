@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from string import ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,11 @@ def _lookup(table: dict[str, float], default: float | None, key: Column) -> Colu
     return got if default is None else F.coalesce(got, F.lit(default))
 
 
+def _letter(sequence: Column, place: Column) -> Column:
+    """The number of the letter at a 1-based place: 0 for A to 25 for Z; anything else lies outside of that."""
+    return F.ascii(F.substr(sequence, place, F.lit(1))) - F.lit(ord("A"))
+
+
 def _terminal_pks(first: Column, last: Column) -> tuple[Column, Column]:
     return _lookup(K.PK_N_TERMINUS_OF, K.PK_N_TERMINUS, first), _lookup(K.PK_C_TERMINUS_OF, K.PK_C_TERMINUS, last)
 
@@ -67,17 +73,21 @@ def hydrophobic_moment(sequence: Column, degrees: float = 100.0) -> Column:
     """Length of the mean hydrophobicity vector, each residue turned by the helix angle."""
     n = F.length(sequence)
     angle = math.radians(degrees)
+    # An array by letter: a map is searched entry by entry.
+    weights = F.array(*(F.lit(K.EISENBERG.get(a)).cast("double") for a in ascii_uppercase))
 
     def part(turn) -> Column:
-        return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda a, i: a + _lookup(K.EISENBERG, None, F.substr(sequence, i + 1, F.lit(1))) * turn(i * angle))
+        return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda a, i: a + F.get(weights, _letter(sequence, i + 1)) * turn(i * angle))
 
     return F.sqrt(F.pow(part(F.cos), 2) + F.pow(part(F.sin), 2)) / n
 
 
 def instability_index(sequence: Column) -> Column:
-    weights = {a + b: w for a, row in K.INSTABILITY.items() for b, w in row.items()}
+    # Rows by the first letter, in them places by the second; from text, so that the plan holds a row as one value.
+    rows = (",".join(repr(float(K.INSTABILITY.get(a, {}).get(b, 1.0))) for b in ascii_uppercase) for a in ascii_uppercase)
+    weights = F.array(*(F.split(F.lit(r), ",").cast("array<double>") for r in rows))
     n = F.length(sequence)
-    total = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda a, i: a + _lookup(weights, 1.0, F.substr(sequence, i, F.lit(2))))
+    total = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda a, i: a + F.coalesce(F.get(F.get(weights, _letter(sequence, i)), _letter(sequence, i + 1)), F.lit(1.0)))
     return 10.0 / n * F.when(n > 1, total).otherwise(0.0)
 
 
