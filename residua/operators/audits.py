@@ -98,22 +98,26 @@ def context_rules(rf_model: bool = False) -> Column:
     return F.array(*parts)
 
 
-def sequence_audit(df: DataFrame, length_min: int = 0, length_max: int = 10**9) -> DataFrame:
-    """Five audit rows per sequence: (key columns, check, status, evidence, implication), from feature columns."""
+def audit_array(length_min: int = 0, length_max: int = 10**9) -> Column:
+    """A sequence's five audit rows as an array of (check, status, evidence, implication), from feature columns."""
     n, entropy, hydro, density = F.round("length").cast("int"), F.col("shannon_entropy"), F.col("fraction_hydrophobic"), F.col("charge_density")
 
     def row(check: str, flag: Column, yes: str, no: str, evidence: Column, why: str, why_not: str) -> Column:
         return F.struct(F.lit(check).alias("check"), F.when(flag, yes).otherwise(no).alias("status"), evidence.alias("evidence"), F.when(flag, why).otherwise(why_not).alias("implication"))
 
     # Checks, statuses and implications.
-    rows = F.array(
+    return F.array(
         row("Length domain", n.between(length_min, length_max), "Within model range", "Outside model range", F.format_string(f"%d aa; model range {length_min}–{length_max} aa", n), "No length extrapolation flag", "Treat score as out-of-domain and do not rank with in-domain peptides"),
         row("Sequence complexity", entropy < LOW_ENTROPY, "Low-complexity flag", "No strong flag", F.format_string("Shannon entropy %.2f bits", entropy), "Composition-driven predictions may be unstable", "Residue diversity is not unusually low by this teaching rule"),
         row("Hydrophobic burden", hydro > HIGH_HYDROPHOBIC, "High-hydrophobicity flag", "No strong flag", F.format_string("Hydrophobic residue fraction %.2f", hydro), "Aggregation, solubility, and host-cell toxicity require attention", "No extreme composition flag; experimental safety remains unknown"),
         row("Charge density", F.abs(density) > HIGH_CHARGE_DENSITY, "Extreme-charge flag", "No strong flag", F.format_string("Charge per residue %.3f", density), "May be outside common training behavior; inspect nearest sequences", "Charge is not extreme by this teaching rule"),
         row("Chemical representation", F.lit(True), "Sequence-only limitation", "", F.lit("Canonical L-amino-acid one-letter sequence"), "Termini, D-residues, cyclization, disulfide connectivity, and other modifications are absent", ""),
     )
-    return df.select("sequence", F.explode(rows).alias("a")).select("sequence", "a.*")
+
+
+def sequence_audit(df: DataFrame, length_min: int = 0, length_max: int = 10**9) -> DataFrame:
+    """Five audit rows per sequence: (key columns, check, status, evidence, implication), from feature columns."""
+    return df.select("sequence", F.explode(audit_array(length_min, length_max)).alias("a")).select("sequence", "a.*")
 
 
 def dataset_audit(df: DataFrame) -> DataFrame:
