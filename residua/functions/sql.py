@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import math
+from string import ascii_uppercase
 
 from pyspark.sql import SparkSession
 
@@ -33,22 +34,28 @@ def _charge() -> str:
     return f"({' + '.join(plus)}) - ({' + '.join(minus)})"
 
 
+def _letter(place: str) -> str:
+    """The number of the letter at a place, from 0 for A; an array by letters is read at once, a map is searched."""
+    return f"ascii(substr(s, {place}, 1)) - 65"
+
+
 def _turned(turn: str) -> str:
     """The sum of hydrophobicities, each times sine or cosine of its turn."""
-    return f"aggregate(sequence(0, length(s) - 1), 0D, (a, i) -> a + {_map(K.EISENBERG)}[substr(s, i + 1, 1)] * {turn}(i * {math.radians(100)!r}D))"
+    weights = ", ".join(f"{float(K.EISENBERG[a])!r}D" if a in K.EISENBERG else "CAST(NULL AS DOUBLE)" for a in ascii_uppercase)
+    return f"aggregate(sequence(0, length(s) - 1), 0D, (a, i) -> a + get(array({weights}), {_letter('i + 1')}) * {turn}(i * {math.radians(100)!r}D))"
 
 
 def functions() -> dict[str, tuple[str, str, str]]:
     """Name to (parameters, what it returns, body). A null sequence gives null, and an audit of nulls."""
-    pairs = {a + b: w for a, row in K.INSTABILITY.items() for b, w in row.items()}
+    pairs = ", ".join("CAST(split('" + ",".join(repr(float(K.INSTABILITY.get(a, {}).get(b, 1.0))) for b in ascii_uppercase) + "', ',') AS ARRAY<DOUBLE>)" for a in ascii_uppercase)
     # Counts appear outside of conditions only, so that expressions which share them count once.
     entropy = " + ".join(f"screen_one(s, '{a}') * log2(greatest(screen_one(s, '{a}'), 1))" for a in K.RESIDUES)
     hydrophobic = next(g for n, g in K.CLASSES.items() if n == "fraction_hydrophobic")
     flags = (  # Fixed values: checks and their statuses.
-        ("Length domain", "length(s) BETWEEN low AND high", "Within model range", "Outside model range"),
-        ("Sequence complexity", f"screen_entropy(s) < {LOW_ENTROPY}D", "Low-complexity flag", "No strong flag"),
-        ("Hydrophobic burden", f"screen_share(s, '{hydrophobic}') > {HIGH_HYDROPHOBIC}D", "High-hydrophobicity flag", "No strong flag"),
-        ("Charge density", f"abs(screen_charge(s, 7D) / length(s)) > {HIGH_CHARGE_DENSITY}D", "Extreme-charge flag", "No strong flag"),
+        ("Length domain", "n BETWEEN low AND high", "Within model range", "Outside model range"),
+        ("Sequence complexity", f"entropy < {LOW_ENTROPY}D", "Low-complexity flag", "No strong flag"),
+        ("Hydrophobic burden", f"share > {HIGH_HYDROPHOBIC}D", "High-hydrophobicity flag", "No strong flag"),
+        ("Charge density", f"density > {HIGH_CHARGE_DENSITY}D", "Extreme-charge flag", "No strong flag"),
     )
     rows = ", ".join(f"struct('{c}' AS check, CASE WHEN {f} THEN '{yes}' WHEN NOT ({f}) THEN '{no}' END AS status)" for c, f, yes, no in flags)
     return {
@@ -62,8 +69,11 @@ def functions() -> dict[str, tuple[str, str, str]]:
         "screen_charge": ("s STRING, ph DOUBLE", "DOUBLE", _charge()),
         "screen_entropy": ("s STRING", "DOUBLE", f"log2(length(s)) - ({entropy}) / length(s)"),
         "screen_moment": ("s STRING", "DOUBLE", f"sqrt(pow({_turned('cos')}, 2) + pow({_turned('sin')}, 2)) / length(s)"),
-        "screen_instability": ("s STRING", "DOUBLE", f"10D / length(s) * if(length(s) > 1, aggregate(sequence(1, length(s) - 1), 0D, (a, i) -> a + coalesce(try_element_at({_map(pairs)}, substr(s, i, 2)), 1D)), 0D)"),
-        "screen_audit": ("s STRING, low INT, high INT", "TABLE (check STRING, status STRING)", f"SELECT r.check, r.status FROM (SELECT array({rows}) AS flags) LATERAL VIEW explode(flags) e AS r"),
+        "screen_instability": ("s STRING", "DOUBLE", f"10D / length(s) * if(length(s) > 1, aggregate(sequence(1, length(s) - 1), 0D, (a, i) -> a + coalesce(get(get(array({pairs}), {_letter('i')}), {_letter('i + 1')}), 1D)), 0D)"),
+        "screen_flags": ("n INT, entropy DOUBLE, share DOUBLE, density DOUBLE, low INT, high INT", "ARRAY<STRUCT<check: STRING, status: STRING>>", f"array({rows})"),
+        # For whole tables, select screen_checks(s, low, high) and explode that: a lateral table function becomes a join of the table with itself.
+        "screen_checks": ("s STRING, low INT, high INT", "ARRAY<STRUCT<check: STRING, status: STRING>>", f"screen_flags(length(s), screen_entropy(s), screen_share(s, '{hydrophobic}'), abs(screen_charge(s, 7D) / length(s)), low, high)"),
+        "screen_audit": ("s STRING, low INT, high INT", "TABLE (check STRING, status STRING)", "SELECT r.check, r.status FROM (SELECT screen_checks(s, low, high) AS flags) LATERAL VIEW explode(flags) e AS r"),
     }
 
 

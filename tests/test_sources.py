@@ -103,3 +103,32 @@ def test_functions_in_sql(spark):
     assert [tuple(r) for r in spark.sql("SELECT screen_parent('ac d-E'), screen_parent('acx!')").collect()] == [("ACDE", "")]
     assert spark.sql("SELECT a.check FROM some_peptides p, LATERAL screen_audit(p.s, 5, 10) a WHERE a.status = 'Outside model range'").count() == 1
     assert spark.sql("SELECT a.status FROM some_peptides p, LATERAL screen_audit(p.s, 5, 10) a WHERE p.s IS NULL AND a.status IS NULL").count() == 4
+
+
+def test_audits_of_whole_tables_join_and_shuffle_nothing(spark, tmp_path):
+    from residua.plans import catalogue
+
+    rows = [(7, "a", "ACDEFGHIKLMNPQRSTVWY" * 3), (8, "a", "GGGGGGGGGGGGGG"), (9, "b", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    long = catalogue.sql_audit(spark, str(tmp_path))
+    plan = long._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert "Generate explode" not in catalogue.sequence_audit(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    found = {}
+    for r in long.collect():
+        found.setdefault(r.source_id, {})[r.check] = r.status
+    wide = {r.source_id: (r.length_domain, r.complexity, r.hydrophobic, r.charge) for r in catalogue.sequence_audit(spark, str(tmp_path)).collect()}
+    assert wide == {k: tuple(v.values()) for k, v in found.items()} and len(wide) == 5
+
+
+def test_features_read_letters_by_place(spark):
+    from residua.functions import constants as K
+    from residua.functions.features import hydrophobic_moment, instability_index
+
+    df = spark.createDataFrame([("ACDEFGHIKLMNPQRSTVWYWWCKRRAD",), ("A",), ("AaC\u00e9D",)], "s string")
+    got = df.select("s", hydrophobic_moment(F.col("s")).alias("m"), instability_index(F.col("s")).alias("i"))
+    assert "try_element_at" not in got._jdf.queryExecution().optimizedPlan().toString()
+    for r in got.collect():
+        want = 10 / len(r.s) * sum(K.INSTABILITY.get(a, {}).get(b, 1.0) for a, b in zip(r.s, r.s[1:])) if len(r.s) > 1 else 0.0
+        assert abs(r.i - want) < 1e-9 and (r.m is None) == (r.s == "AaC\u00e9D")
