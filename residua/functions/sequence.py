@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .constants import RESIDUES
 
 _CANONICAL = f"^[{RESIDUES}]+$"
+#: The characters of Unicode's property White_Space, which ``(?U)\\s`` matches.
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def without_gaps(raw: Column) -> Column:
@@ -22,7 +26,12 @@ def is_canonical(sequence: Column) -> Column:
 
 def invalid_symbols(sequence: Column) -> Column:
     """Symbols that are no residue, sorted, joined by a comma and a space."""
-    return F.array_join(F.array_sort(F.array_distinct(F.split(F.regexp_replace(sequence, f"[{RESIDUES}]", ""), ""))), ", ")
+    return F.array_join(F.array_sort(F.array_distinct(F.split(F.regexp_replace(sequence, f"[{RESIDUES}]+", ""), ""))), ", ")
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often use names it: a variable of a lambda, where a column expression is put in everywhere."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def normalize_sequence(raw: Column, min_length: int = 5, max_length: int = 200) -> Column:
@@ -31,28 +40,36 @@ def normalize_sequence(raw: Column, min_length: int = 5, max_length: int = 200)
     Checks in order: missing, empty, no_residues, invalid_symbol, too_short, too_long. One leading header line
     that starts with ``>`` is dropped. Null is ``missing``.
     """
-    text = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
-    body = F.when(text.startswith(">"), F.regexp_replace(text, r"^[^\n\r]*(\r\n|[\n\r]|$)", "")).otherwise(text)
-    sequence = without_gaps(body)
-    n = F.length(sequence)
-    code = (
-        F.when(raw.isNull(), "missing")
-        .when(text == "", "empty")
-        .when(sequence == "", "no_residues")
-        .when(~is_canonical(sequence), "invalid_symbol")
-        .when(n < min_length, "too_short")
-        .when(n > max_length, "too_long")
-    )
-    # The messages.
-    error = (
-        F.when(code == "missing", "Sequence is missing.")
-        .when(code == "empty", "Sequence is empty.")
-        .when(code == "no_residues", "No amino-acid residues were found.")
-        .when(code == "invalid_symbol", F.concat(F.lit("Only the 20 canonical one-letter amino-acid codes are accepted. Invalid symbol(s): "), invalid_symbols(sequence), F.lit(".")))
-        .when(code == "too_short", F.concat(F.lit("Sequence is too short ("), n, F.lit(f" aa); minimum is {min_length}.")))
-        .when(code == "too_long", F.concat(F.lit("Sequence is too long ("), n, F.lit(f" aa); maximum is {max_length}.")))
-    )
-    return F.struct(F.when(code.isNull(), sequence).alias("sequence"), code.alias("error_code"), error.alias("error"))
+
+    def checked(text: Column, sequence: Column) -> Column:
+        n = F.length(sequence)
+        return (
+            F.when(text.isNull(), "missing")
+            .when(text == "", "empty")
+            .when(sequence == "", "no_residues")
+            .when(~is_canonical(sequence), "invalid_symbol")
+            .when(n < min_length, "too_short")
+            .when(n > max_length, "too_long")
+        )
+
+    def result(sequence: Column, code: Column) -> Column:
+        n = F.length(sequence)
+        # The messages.
+        error = (
+            F.when(code == "missing", "Sequence is missing.")
+            .when(code == "empty", "Sequence is empty.")
+            .when(code == "no_residues", "No amino-acid residues were found.")
+            .when(code == "invalid_symbol", F.concat(F.lit("Only the 20 canonical one-letter amino-acid codes are accepted. Invalid symbol(s): "), invalid_symbols(sequence), F.lit(".")))
+            .when(code == "too_short", F.concat(F.lit("Sequence is too short ("), n, F.lit(f" aa); minimum is {min_length}.")))
+            .when(code == "too_long", F.concat(F.lit("Sequence is too long ("), n, F.lit(f" aa); maximum is {max_length}.")))
+        )
+        return F.struct(F.when(code.isNull(), sequence).alias("sequence"), code.alias("error_code"), error.alias("error"))
+
+    def of(text: Column) -> Column:
+        rest = F.when(text.startswith(">"), F.regexp_replace(text, r"^[^\n\r]*(\r\n|[\n\r]|$)", "")).otherwise(text)
+        return once(without_gaps(rest), lambda sequence: once(checked(text, sequence), lambda code: result(sequence, code)))
+
+    return once(F.btrim(raw, F.lit(WHITE_SPACE)), of)
 
 
 def parent_sequence(raw: Column) -> Column:

@@ -58,3 +58,12 @@ def test_counts_leave_columns_of_their_name(spark):
     df = spark.createDataFrame([("ACDEF", "mine")], "sequence string, __count_A string")
     row = with_features(df, names=("aa_A",)).first()
     assert row["__count_A"] == "mine" and row.aa_A == 0.2
+
+
+def test_normalisation_computes_each_step_once(spark):
+    """Column expressions were put in wherever a message or a code named them: some hundred regular expressions a row."""
+    rows = spark.createDataFrame([(" >h\nac-de fg\u0085",), ("ACDXB",), (None,), ("　",)], "raw string")
+    got = rows.select(normalize_sequence(F.col("raw"))["error"].alias("message"), normalize_sequence(F.col("raw"))["sequence"].alias("sequence"))
+    assert [tuple(r) for r in got.collect()] == [(None, "ACDEFG"), ("Only the 20 canonical one-letter amino-acid codes are accepted. Invalid symbol(s): B, X.", None), ("Sequence is missing.", None), ("Sequence is empty.", None)]
+    plan = rows.select(normalize_sequence(F.col("raw"))["error"].alias("message"))._jdf.queryExecution().optimizedPlan().expressions().toString()
+    assert 0 < plan.lower().count("regexp_replace") <= 3
