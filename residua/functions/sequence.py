@@ -74,8 +74,7 @@ def normalize_sequence(raw: Column, min_length: int = 5, max_length: int = 200)
 
 def parent_sequence(raw: Column) -> Column:
     """A parent protein cleaned of white space and hyphens; empty if anything else than residues is left."""
-    s = without_gaps(raw)
-    return F.when(is_canonical(s), s).otherwise("")
+    return once(without_gaps(raw), lambda s: F.when(is_canonical(s), s).otherwise(""))
 
 
 def sequence_sha256(sequence: Column) -> Column:

@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import RESIDUES
-from ..functions.sequence import fragment, fragment_id, normalize_sequence, parent_sequence, seeded_draw, sequence_sha256
+from ..functions.sequence import fragment, fragment_id, normalize_sequence, once, parent_sequence, seeded_draw, sequence_sha256
 from ..plans.storage import Scratch, stored
 from .similarity import in_order
 
 #: Fixed value: positives needed.
 LEAST_POSITIVES = 20
 #: Rounds of the permutation, slots of a size's space, steps of the walk that one row stands for.
-ROUNDS, SLOTS, CHUNK = 4, 1024, 4096
+ROUNDS, SLOTS, CHUNK = 4, 1024, 1024
+#: Residues of a parent that lie in one row, so that a fragment of a long parent is not sought from its first residue on.
+PIECE = 1024
+#: How many more numbers of a size's space are walked than fragments are open: some are repeated or forbidden.
+MARGIN = 1.1
 
 
 def dedup_first(df: DataFrame, key: str = "sequence", order: str = "ordinal") -> DataFrame:
@@ -61,11 +65,14 @@ def target_lengths(positives: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """(fragment_index, size): n lengths drawn from the positives' lengths, by md5 of seed and index."""
     each = positives.groupBy(F.length("sequence").alias("size")).agg(F.count(F.lit(1)).alias("k"))
     upto = F.sum("k").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, 0))  # one row a length
-    ends = stored(each.select("size", (upto - F.col("k")).alias("low"), upto.alias("high")))
-    total = ends.agg(F.max("high")).first()[0] or 0
+    ends = sorted((r["high"], r["size"]) for r in each.select("size", upto.alias("high")).collect())  # one row a length
     spark = positives.sparkSession
-    draws = spark.range(n).select(F.col("id").alias("fragment_index"), F.pmod(seeded_draw(F.col("id"), f"{seed}|size"), F.lit(max(1, total))).alias("draw"))
-    return draws.join(F.broadcast(ends), (F.col("draw") >= F.col("low")) & (F.col("draw") < F.col("high"))).select("fragment_index", "size")
+    if not ends:
+        return spark.createDataFrame([], "fragment_index long, size int")
+    highs, sizes = (F.array(*map(F.lit, x)) for x in zip(*ends))
+    draw = F.pmod(seeded_draw(F.col("id"), f"{seed}|size"), F.lit(ends[-1][0]))
+    # Looked up in the array by a draw made once; a join on a range would draw again for each length.
+    return spark.range(n).select(F.col("id").alias("fragment_index"), once(draw, lambda d: F.get(sizes, F.size(F.filter(highs, lambda high: high <= d)))).alias("size"))
 
 
 def shuffled_lengths(positives: DataFrame, seed: int = 42) -> DataFrame:
@@ -77,7 +84,8 @@ def shuffled_lengths(positives: DataFrame, seed: int = 42) -> DataFrame:
 
 def _ranked_parents(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parents by falling length: (rank, id, sequence), and (size, eligible): parents at least that long."""
-    p = parents.select(F.col("id").cast("string").alias("parent_id"), parent_sequence(F.col("sequence")).alias("parent")).filter("parent <> ''").withColumn("n", F.length("parent"))
+    cleaned = stored(parents.select(F.col("id").cast("string").alias("parent_id"), parent_sequence(F.col("sequence")).alias("parent")))
+    p = cleaned.filter("parent <> ''").withColumn("n", F.length("parent"))
     sizes = p.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
     upto = F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))  # one row a length
     sizes = stored(sizes.select("n", (upto - F.col("k")).alias("start"), upto.alias("upto")))
@@ -88,10 +96,17 @@ def _ranked_parents(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
 def permuted(index: Column, half: Column, key: Column, seed: int | str) -> Column:
     """A keyed permutation of [0, 4^half): a Feistel network of ROUNDS rounds, each half hashed by md5 with the key and the round's number."""
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), half) - 1
-    left, right = F.call_function("shiftright", index, half), index.bitwiseAND(mask)
-    for number in range(ROUNDS):
-        left, right = right, left.bitwiseXOR(seeded_draw(F.concat_ws("|", key, F.lit(number), right), seed).bitwiseAND(mask))
-    return F.call_function("shiftleft", left, half) + right
+    start = F.struct(F.call_function("shiftright", index, half).alias("left"), index.bitwiseAND(mask).alias("right"))
+
+    def turned(s: Column, number: Column) -> Column:
+        return F.struct(s["right"].alias("left"), s["left"].bitwiseXOR(seeded_draw(F.concat_ws("|", key, number, s["right"]), seed).bitwiseAND(mask)).alias("right"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turned, lambda s: F.call_function("shiftleft", s["left"], half) + s["right"])
+
+
+def slot_width() -> Column:
+    """How many numbers of a space of ``total`` a slot has."""
+    return F.greatest(F.lit(1), F.ceil(F.col("total") / SLOTS)).cast("long")
 
 
 def fragment_space(wanted: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -106,8 +121,7 @@ def fragment_space(wanted: DataFrame, sizes: DataFrame) -> tuple[DataFrame, Data
     # The least half with 4^half >= total, in whole numbers.
     half = F.size(F.filter(F.sequence(F.lit(0), F.lit(31)), lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), 2 * k) < F.col("total")))
     space = stored(spans.groupBy("size", "m").agg(F.max("high").alias("total")).withColumn("half", half))
-    width = F.greatest(F.lit(1), F.ceil(F.col("total") / SLOTS)).cast("long")
-    met = spans.filter("n is not null").join(space.select("size", width.alias("width")), "size")
+    met = spans.filter("n is not null").join(space.select("size", slot_width().alias("width")), "size")
     slots = met.withColumn("slot", F.explode(F.expr("sequence(low div width, (high - 1) div width)")))
     return space, stored(slots.select("size", "width", "slot", "low", "high", "n", "first"))
 
@@ -129,20 +143,28 @@ def negative_fragments(parents: DataFrame, targets: DataFrame, forbidden: DataFr
     if short is not None:
         raise ValueError(f"no parent protein is long enough for a fragment of {short['size']} residues")
     banned = forbidden.select("sequence").distinct()
+    longest = space.agg(F.max("size")).first()[0] or 1
+    cuts = F.transform(F.expr(f"sequence(0, (n - 1) div {PIECE})"), lambda i: F.substr(F.col("parent").cast("binary"), (i * PIECE + 1).cast("int"), F.lit(PIECE + longest - 1)).cast("string"))
+    pieces = scratch.table(ranked.select("rank", "parent_id", F.posexplode(cuts).alias("piece", "residues")).withColumn("piece", F.col("piece").cast("long")))
+    parts = max(int(parents.sparkSession.conf.get("spark.sql.shuffle.partitions")), parents.sparkSession.sparkContext.defaultParallelism)
     walk, found = space.select("size", "total", "half", "m", F.lit(0).cast("long").alias("begin"), F.col("m").alias("open")), None
     size = F.col("size").cast("string")
     while True:
-        # As many steps as are likely to do: at least a quarter of the permutation's numbers lie in the space.
-        end = F.least(F.expr("shiftleft(1L, 2 * half)"), F.col("begin") + 4 * F.col("open") + 256)
+        # As many steps as are likely to do: of the permutation's numbers the share total / 4^half lies in the space, a quarter at least.
+        end = F.least(F.expr("shiftleft(1L, 2 * half)"), F.col("begin") + F.ceil(F.col("open") * MARGIN * F.expr("shiftleft(1L, 2 * half)") / F.col("total")) + 256)
         walk = scratch.table(walk.withColumn("end", end))
-        chunks = walk.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (end - 1 - begin) div {CHUNK}L)"))).repartition("size", "chunk")
-        steps = chunks.withColumn("step", F.explode(F.expr(f"sequence(begin + chunk * {CHUNK}L, least(end, begin + (chunk + 1) * {CHUNK}L) - 1)")))
-        drawn = steps.withColumn("x", permuted(F.col("step"), F.col("half"), size, f"{seed}|walk")).filter("x < total").select("size", "step", "x")
-        at = drawn.join(slots.select(F.col("size").alias("of"), "width", "slot", "low", "high", "n", "first"), (F.col("size") == F.col("of")) & (F.expr("x div width") == F.col("slot")) & (F.col("x") >= F.col("low")) & (F.col("x") < F.col("high")))
+        # A given number of partitions: the chunks are few bytes, which adaptive execution would bring together in one task.
+        chunks = walk.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (end - 1 - begin) div {CHUNK}L)"))).repartition(parts, "size", "chunk")
+        steps = F.expr(f"sequence(begin + chunk * {CHUNK}L, least(end, begin + (chunk + 1) * {CHUNK}L) - 1)")
+        # Drawn within the array: a column would be drawn anew in every filter that is pushed below it.
+        each = F.transform(steps, lambda step: F.struct(step.alias("step"), permuted(step, F.col("half"), size, f"{seed}|walk").alias("x")))
+        drawn = chunks.select("size", "total", slot_width().alias("width"), F.inline(each)).filter("x < total").select("size", "step", "x", F.expr("x div width").alias("slot"))
+        # Slots are known on both sides, so this is a join by size and slot: sought by a column of the other side, each number would meet all spans of its size.
+        at = drawn.join(slots.select("size", "slot", "low", "high", "n", "first"), ["size", "slot"]).filter("x >= low and x < high")
         place = F.col("x") - F.col("low")
         starts = (F.col("n") - F.col("size") + 1).cast("long")
-        cut = at.select("size", "step", (F.col("first") + F.floor(place / starts)).alias("rank"), F.pmod(place, starts).alias("start")).join(ranked.select("rank", "parent_id", "parent"), "rank")
-        each = cut.select("size", "step", "parent_id", "start", fragment(F.col("parent"), F.col("start").cast("int"), F.col("size")).alias("sequence"))
+        cut = at.select("size", "step", (F.col("first") + F.floor(place / starts)).alias("rank"), F.pmod(place, starts).alias("start")).withColumn("piece", F.expr(f"start div {PIECE}L"))
+        each = cut.join(pieces, ["rank", "piece"]).select("size", "step", "parent_id", "start", fragment(F.col("residues"), (F.col("start") % PIECE).cast("int"), F.col("size")).alias("sequence"))
         new = dedup_first(each, "sequence", "step").join(banned, "sequence", "left_anti")
         if found is not None:
             new = new.join(found.select("sequence"), "sequence", "left_anti")

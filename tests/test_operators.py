@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -309,3 +310,28 @@ def test_representatives_by_blocks(spark):
     graph = spark.createDataFrame(sorted(edges), "u string, v string")
     for block in (1 << 20, 300):
         assert {r.node for r in similarity.representatives(graph, block).collect()} == leads
+
+
+def test_fragments_of_long_parents_and_joins_by_slot(spark):
+    """Every walked number met all spans of its size, and all were drawn in one task: adaptive execution brought the chunks together."""
+    parents = spark.createDataFrame([(k, "".join(np.random.default_rng(k).choice(list("ACDEFGHIKLMNPQRSTVWY"), 40 + 700 * k))) for k in range(6)], "id long, sequence string")
+    targets = spark.range(600).selectExpr("id AS fragment_index", "cast(10 + id % 3 AS int) AS size")
+    joins = []
+    real = dataset.Scratch.table
+
+    def seen(self, df):
+        if "step" in df.columns and "sequence" in df.columns and "nth" not in df.columns:
+            joins.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(self, df)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(dataset.Scratch, "table", seen)
+        rows = dataset.negative_fragments(parents, targets, spark.createDataFrame([], "sequence string")).collect()
+    texts = {str(r.id): r.sequence for r in parents.collect()}
+    assert len(rows) == 600 and len({r.sequence for r in rows}) == 600
+    for r in rows:
+        first, last = map(int, r.source_id.rsplit(":", 1)[1].split("-"))
+        assert texts[r.parent_id][first - 1 : last] == r.sequence
+    assert any(int(r.source_id.rsplit(":", 1)[1].split("-")[0]) > 2 * dataset.PIECE for r in rows)
+    assert "RepartitionByExpression [size" in joins[0] and re.search(r"\(slot#\d+L? = slot#\d+L?\)", joins[0])
+    assert not re.search(r"RepartitionByExpression \[size[^\]]*\]\n", joins[0])  # a number of partitions follows
