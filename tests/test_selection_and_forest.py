@@ -105,6 +105,18 @@ def test_scores_walked_in_sql(spark, labelled, tmp_path):
     assert found.importance().keys() == set(NAMES) and sum(sorted(found.importance().values())[-2:]) > 0.5
 
 
+def test_scores_by_some_trees_at_a_time(spark, labelled, monkeypatch):
+    """A forest of more nodes than are sent met its rows in joins: a row a tree and level, though each tree was small."""
+    found = forest.fit_forest(labelled, NAMES, key="id", trees=7, depth=8)
+    whole = {r.id: r.score for r in forest.forest_scores(found, labelled).collect()}
+    largest = max(r["count"] for r in found.nodes.groupBy("tree").count().collect())
+    written, real = [], forest.Scratch.table
+    monkeypatch.setattr(forest.Scratch, "table", lambda self, df: written.append(df.columns) or real(self, df))
+    parts = {r.id: r.score for r in forest.forest_scores(found, labelled, sent=2 * largest).collect()}
+    assert parts == whole and len(written) > 4
+    assert not any("tree" in c for c in written)
+
+
 def test_one_class_and_nothing(spark, labelled):
     only = forest.fit_forest(labelled.filter("label = 1"), NAMES, key="id", trees=2)
     assert {(r.node, r.feature, r.score) for r in only.nodes.collect()} == {(1, -1, 1.0)}
