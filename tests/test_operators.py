@@ -54,6 +54,33 @@ def test_similar_pairs(family, threshold):
     assert found == pytest.approx(expected)
 
 
+def test_pairs_are_judged_where_they_meet(family):
+    """Every pair that met was measured whole, without a bound: the threshold's filter went into the join before the bounded distance."""
+    plan = similarity.similar_pairs(family[1], 0.8)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line and "levenshtein" in line]
+    assert len(joins) == 1 and joins[0].index("bit_count") < joins[0].index("levenshtein")
+    assert not re.search(r"levenshtein\([^()]*, None\)", joins[0])
+    assert not any("Filter" in line and "levenshtein" in line for line in plan.splitlines())
+
+
+def test_pairs_of_repeated_letters_and_shifts(spark):
+    """Counts beyond what the bits hold, letters that are no residues, and edits at both ends lose no pair."""
+    rng = random.Random(5)
+    rows = {"A" * k for k in range(1, 50)} | {"AÄ" * k for k in range(1, 20)} | {"bjz" * k + "K" for k in range(1, 14)}
+    for _ in range(30):
+        s = "".join(rng.choice("ACD") for _ in range(rng.randint(5, 49)))
+        rows |= {s, s[1:] + "A", "C" + s[:-1], s[2:], s + "DD", edited(rng, s)}
+    rows = sorted(rows - {""})
+    found = {(r.a, r.b): r.similarity for r in similarity.similar_pairs(spark.createDataFrame([(s,) for s in rows], "sequence string")).collect()}
+    expected = {}
+    for i, x in enumerate(rows):
+        for y in rows[:i]:
+            a, b = (x, y) if (len(x), x.encode()) > (len(y), y.encode()) else (y, x)
+            if 1 - lev(a, b) / len(a) >= 0.8:
+                expected[a, b] = 1 - lev(a, b) / len(a)
+    assert found == pytest.approx(expected)
+
+
 def test_greedy_groups(family):
     rows, df = family
     found = {r.sequence: (r.representative, r.group_number) for r in similarity.greedy_groups(df, 0.8).collect()}
