@@ -148,3 +148,19 @@ def test_growth_against_plain_splits():
         assert abs(r.gain - max(o[0] for o in options)) < 1e-9
         assert abs(next(o[0] for o in options if o[1:] == (r.feature, r.bin)) - r.gain) < 1e-9
         members[2 * node], members[2 * node + 1] = i[bins[i, r.feature] <= r.bin], i[bins[i, r.feature] > r.bin]
+
+
+def test_growth_looks_at_filled_bins_only(monkeypatch):
+    """All 64 bins of every small node were filled and judged; the trees of both ways are the same, to the last bit."""
+    rng = np.random.default_rng(9)
+    bins = rng.integers(0, 64, (4000, 7)).astype(np.uint8)
+    bins[:, 1] //= 16
+    y = (bins[:, 0] + rng.integers(0, 80, 4000) > 90).astype(np.int64)
+    times = rng.integers(1, 4, 4000).astype(float)
+    given = (bins, y, times, 1, 3, (0.6, 2.3), 4, 30, 2)
+    with monkeypatch.context() as m:
+        m.setattr(forest, "DIGITS", 1)  # too few for these counts
+        whole = forest.grow(*given)
+    monkeypatch.setattr(forest, "_count", None)
+    filled = forest.grow(*given)
+    assert len(whole) > 500 and whole.equals(filled)
