@@ -199,6 +199,32 @@ def test_metrics_and_threshold(spark):
         metrics.bootstrap_intervals(df, "id", 0.5, 10)
 
 
+def test_whole_chunks_are_searched():
+    """Each draw of a whole chunk walked up the distribution function by itself, some 256 steps; the counts are the same."""
+    rng = np.random.default_rng(11)
+    share = rng.choice([0.5, 0.03, 0.97, 0.31, 0.499], 3000)
+    n, u = np.full(3000, float(metrics.ONCE)), rng.random(3000)
+    u[:5] = 0.5 / 2**32, 1 - 0.5 / 2**32, 0.5, 1e-3, 0.999
+    p = np.minimum(share, 1 - share)
+    pmf = np.power(1 - p, n)
+    cdf, k, odds = pmf.copy(), np.zeros(3000), p / (1 - p)
+    for step in range(metrics.ONCE):
+        going = (cdf < u) & (k == step)
+        pmf = pmf * ((n - step) / (step + 1)) * odds
+        cdf, k = np.where(going, cdf + pmf, cdf), np.where(going, step + 1, k)
+    assert (metrics._inverted(n, share, u) == np.where(share > 0.5, n - k, k)).all()
+
+    class Seen(np.ndarray):
+        reads = 0
+
+        def __getitem__(self, at):
+            Seen.reads += 1
+            return super().__getitem__(at)
+
+    metrics._inverted(n, share, u.view(Seen))
+    assert Seen.reads < 50  # the walk read it at every step
+
+
 def test_audits(spark):
     df = spark.createDataFrame([("ACDEF", 1, "train", "g"), ("ac-def", 0, "test", "g"), ("KKKKK", 1, "train", "h"), (None, 0, "test", "i")], "sequence string, label int, split string, split_group string")
     got = {r.domain: r.status for r in audits.dataset_audit(df).collect()}
