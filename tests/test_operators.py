@@ -199,6 +199,13 @@ def test_metrics_and_threshold(spark):
         metrics.bootstrap_intervals(df, "id", 0.5, 10)
 
 
+def test_blocks_of_scores_stay_dealt_out(spark):
+    """All blocks were brought into one task by adaptive execution."""
+    df = spark.createDataFrame([(i, i % 2, (i * 7919 % 9000) / 9000) for i in range(9000)], "id long, label int, score double")
+    plan = metrics.bootstrap_intervals(df, "id", 0.5, 100)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(block#\d+L?, 9\), REPARTITION_BY_NUM", plan)
+
+
 def test_whole_chunks_are_searched():
     """Each draw of a whole chunk walked up the distribution function by itself, some 256 steps; the counts are the same."""
     rng = np.random.default_rng(11)
