@@ -160,7 +160,8 @@ def negative_fragments(parents: DataFrame, targets: DataFrame, forbidden: DataFr
         each = F.transform(steps, lambda step: F.struct(step.alias("step"), permuted(step, F.col("half"), size, f"{seed}|walk").alias("x")))
         drawn = chunks.select("size", "total", slot_width().alias("width"), F.inline(each)).filter("x < total").select("size", "step", "x", F.expr("x div width").alias("slot"))
         # Slots are known on both sides, so this is a join by size and slot: sought by a column of the other side, each number would meet all spans of its size.
-        at = drawn.join(slots.select("size", "slot", "low", "high", "n", "first"), ["size", "slot"]).filter("x >= low and x < high")
+        # By merge: the chunks' few bytes are all that Spark knows of the numbers, and it would broadcast them, however many they are.
+        at = drawn.hint("merge").join(slots.select("size", "slot", "low", "high", "n", "first"), ["size", "slot"]).filter("x >= low and x < high")
         place = F.col("x") - F.col("low")
         starts = (F.col("n") - F.col("size") + 1).cast("long")
         cut = at.select("size", "step", (F.col("first") + F.floor(place / starts)).alias("rank"), F.pmod(place, starts).alias("start")).withColumn("piece", F.expr(f"start div {PIECE}L"))
@@ -178,7 +179,8 @@ def negative_fragments(parents: DataFrame, targets: DataFrame, forbidden: DataFr
             raise RuntimeError("not enough unique negative fragments: add parents or lower the ratio")
         walk = left
     taken = _nth(found, "step").withColumnsRenamed({"size": "of", "nth": "of_nth"})
-    rows = _nth(targets, "fragment_index").join(taken, (F.col("size") == F.col("of")) & (F.col("nth") == F.col("of_nth")))
+    # By merge: numbers in order take next to nothing in a file, and by the file's size all of them would be broadcast.
+    rows = _nth(targets, "fragment_index").hint("merge").join(taken, (F.col("size") == F.col("of")) & (F.col("nth") == F.col("of_nth")))
     # Label and class name.
     return rows.select("sequence", F.lit(0).alias("label"), F.lit("Putative non-AMP").alias("class_name"), F.lit(source).alias("source"), fragment_id(F.col("parent_id"), F.col("start"), F.col("size")).alias("source_id"), "parent_id", F.col("fragment_index").cast("int").alias("fragment_index"))
 

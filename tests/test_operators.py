@@ -395,3 +395,16 @@ def test_fragments_of_long_parents_and_joins_by_slot(spark):
     assert any(int(r.source_id.rsplit(":", 1)[1].split("-")[0]) > 2 * dataset.PIECE for r in rows)
     assert "RepartitionByExpression [size" in joins[0] and re.search(r"\(slot#\d+L? = slot#\d+L?\)", joins[0])
     assert not re.search(r"RepartitionByExpression \[size[^\]]*\]\n", joins[0])  # a number of partitions follows
+
+
+def test_negative_fragments_broadcast_no_walked_numbers(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    parents = spark.createDataFrame([(i, "ACDEFGHIKLMNPQRSTVWY" * 5 + "ACDEF"[i:]) for i in range(4)], "id int, sequence string")
+    targets = spark.createDataFrame([(i, 5 + i % 3) for i in range(30)], "fragment_index long, size int")
+    made = dataset.negative_fragments(parents, targets, spark.createDataFrame([("ACDEF",)], "sequence string"))
+    assert len({r.sequence for r in made.collect()}) == 30
+    runs = store.executionsList()
+    plans = "\n".join(runs.apply(i).physicalPlanDescription() for i in range(int(before), runs.size()))
+    inputs = re.findall(r"\) BroadcastExchange\nInput \[\d+\]: \[(.*?)\]", plans)
+    assert inputs and not [c for c in inputs if re.search(r"\b(x|nth|of_nth)#", c)]
