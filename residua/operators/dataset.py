@@ -90,7 +90,8 @@ def _ranked_parents(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
     upto = F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))  # one row a length
     sizes = stored(sizes.select("n", (upto - F.col("k")).alias("start"), upto.alias("upto")))
     placed, _ = in_order(p.select("parent_id", "parent", "n"), [F.desc("n"), F.col("parent_id"), F.col("parent")])
-    return stored(placed.select(F.col("place").alias("rank"), "parent_id", "parent", "n")), sizes
+    Scratch(parents.sparkSession).drop(cleaned)
+    return placed.select(F.col("place").alias("rank"), "parent_id", "parent", "n"), sizes
 
 
 def permuted(index: Column, half: Column, key: Column, seed: int | str) -> Column:
@@ -146,6 +147,7 @@ def negative_fragments(parents: DataFrame, targets: DataFrame, forbidden: DataFr
     longest = space.agg(F.max("size")).first()[0] or 1
     cuts = F.transform(F.expr(f"sequence(0, (n - 1) div {PIECE})"), lambda i: F.substr(F.col("parent").cast("binary"), (i * PIECE + 1).cast("int"), F.lit(PIECE + longest - 1)).cast("string"))
     pieces = scratch.table(ranked.select("rank", "parent_id", F.posexplode(cuts).alias("piece", "residues")).withColumn("piece", F.col("piece").cast("long")))
+    scratch.drop(ranked)  # the parents' text is kept once, in pieces, and until the walk is over
     parts = max(int(parents.sparkSession.conf.get("spark.sql.shuffle.partitions")), parents.sparkSession.sparkContext.defaultParallelism)
     walk, found = space.select("size", "total", "half", "m", F.lit(0).cast("long").alias("begin"), F.col("m").alias("open")), None
     size = F.col("size").cast("string")
@@ -178,6 +180,7 @@ def negative_fragments(parents: DataFrame, targets: DataFrame, forbidden: DataFr
         if not left.filter("begin >= shiftleft(1L, 2 * half)").isEmpty():
             raise RuntimeError("not enough unique negative fragments: add parents or lower the ratio")
         walk = left
+    scratch.drop(pieces)
     taken = _nth(found, "step").withColumnsRenamed({"size": "of", "nth": "of_nth"})
     # By merge: numbers in order take next to nothing in a file, and by the file's size all of them would be broadcast.
     rows = _nth(targets, "fragment_index").hint("merge").join(taken, (F.col("size") == F.col("of")) & (F.col("nth") == F.col("of_nth")))
